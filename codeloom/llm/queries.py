@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import copies, splits, terms, words
+from codeloom.llm import copies, near, splits, terms, words
 from codeloom.sources.tables import table
 
 
@@ -35,6 +35,18 @@ def _all_texts(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).union(raw)
 
 
+#: The pairs of TESTDATA: runs of three words, 0.7 or more.
+FOUND = near.Similarity(7, 10, 3)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return near.near_pairs(_texts(spark, d), FOUND)
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near.near_groups(_texts(spark, d), near.Similarity())
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies(_all_texts(spark, d))
 

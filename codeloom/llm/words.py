@@ -14,6 +14,8 @@ LEAST_WORDS = 10
 WORD = r"[\p{L}\p{N}_]+"
 _WORD = re.compile(r"\w+")
 _U = np.uint64
+_BASES = (_U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95))
+_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Texts are folded in slices of about so many code points, to bound memory.
 SLICE = 1_000_000
 
@@ -49,7 +51,7 @@ class Folder:
         self.known = np.zeros(0x110000, bool)
         self.odd = np.zeros(0x110000, bool)
         self._learn(range(128))
-        self.powers = [np.ones(1, _U), np.ones(1, _U)]
+        self.powers = [np.ones(1, _U) for _ in range(3)]
 
     def _learn(self, codes) -> None:
         for c in codes:
@@ -70,20 +72,44 @@ class Folder:
 
     def hashes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Two polynomial hashes and the number of words of each text."""
-        done: list[tuple] = []
+        done = [self._slice(texts[a:b]) for a, b in self.slices(texts)]
+        if not done:
+            return np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*done, strict=True))
+
+    def slices(self, texts: list[str]):
+        """Ranges of rows whose texts have together about SLICE code points."""
         at = 0
         while at < len(texts):
             size, end = 0, at
             while end < len(texts) and (end == at or size + len(texts[end]) < SLICE):
                 size += len(texts[end]) + 1
                 end += 1
-            done.append(self._slice(texts[at:end]))
+            yield at, end
             at = end
-        if not done:
-            return np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64)
-        return tuple(np.concatenate(x) for x in zip(*done, strict=True))
+
+    def word_hashes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each word of all texts, in order, and the row of each word."""
+        where, starts, place, record, symbol, _, _, _ = self._fold(texts)
+        powers = self._powers(0, _BASES[0], int(place.max(initial=0)) + 2)
+        run = np.concatenate([np.zeros(1, _U), np.cumsum(mix(symbol + _U(0x632BE59BD9B4E019)) * powers[place], dtype=_U)])
+        first = np.flatnonzero(starts)
+        after = np.append(first[1:], len(where))
+        back = self._powers(2, _INVERSE, len(powers))
+        return mix((run[after] - run[first]) * back[place[first]]), record[first]
 
     def _slice(self, texts: list[str]) -> tuple:
+        where, starts, place, record, symbol, edges, last, n_words = self._fold(texts)
+        out = []
+        for i, base in enumerate(_BASES):
+            powers = self._powers(i, base, int(place.max(initial=0)) + 2)
+            value = mix(symbol + _U(0x632BE59BD9B4E019) * _U(i + 1)) * powers[place]
+            value += np.where(starts, powers[np.maximum(place - 1, 0)] * _U(0x2545F4914F6CDD1D), _U(0))
+            run = np.concatenate([np.zeros(1, _U), np.cumsum(value, dtype=_U)])
+            out.append(run[last] - run[edges])
+        return out[0], out[1], n_words
+
+    def _fold(self, texts: list[str]) -> tuple:
         codes = self._codes("\x00".join(texts) + "\x00")
         if self.odd[codes].any():
             texts = [t if t.isascii() else t.lower() for t in texts]
@@ -105,14 +131,7 @@ class Folder:
         last = np.searchsorted(where, ends)
         n_words = words[last] - words[edges]
         symbol = folded[where].astype(_U)
-        out = []
-        for i, base in enumerate((_U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95))):
-            powers = self._powers(i, base, int(place.max(initial=0)) + 2)
-            value = mix(symbol + _U(0x632BE59BD9B4E019) * _U(i + 1)) * powers[place]
-            value += np.where(starts, powers[np.maximum(place - 1, 0)] * _U(0x2545F4914F6CDD1D), _U(0))
-            run = np.concatenate([np.zeros(1, _U), np.cumsum(value, dtype=_U)])
-            out.append(run[last] - run[edges])
-        return out[0], out[1], n_words
+        return where, starts, place, record, symbol, edges, last, n_words
 
     def _powers(self, i: int, base: np.uint64, n: int) -> np.ndarray:
         if len(self.powers[i]) < n:
@@ -135,3 +154,23 @@ def same_words(a: str, b: str) -> bool:
 
 def word_count(text: str) -> int:
     return sum(1 for _ in _WORD.finditer(text.lower()))
+
+
+_P, _Q = _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)
+
+
+def shingles(words: np.ndarray, record: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs of ``n`` consecutive words of each record as hashes, sorted by record and hash, and their records."""
+    m = len(words) - n + 1
+    if m <= 0:
+        return words[:0], record[:0]
+    run = mix(words[n - 1 :] * _P)
+    for i in range(n - 2, -1, -1):
+        run = mix((words[i : i + m] + run * _Q) ^ _P)
+    whole = record[:m] == record[n - 1 :]
+    run, owner = run[whole], record[:m][whole]
+    order = np.lexsort((run, owner))
+    run, owner = run[order], owner[order]
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])
+    return run[new], owner[new]
