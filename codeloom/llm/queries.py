@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import copies, near, splits, terms, words
+from codeloom.llm import copies, near, overlap, splits, terms, words
 from codeloom.sources.tables import table
 
 
@@ -47,6 +47,18 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return near.near_groups(_texts(spark, d), near.Similarity())
 
 
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.memberships(table(spark, d, "split_index"), table(spark, d, "functions_raw"), table(spark, d, "cs"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.pairs(_texts(spark, d), _members(spark, d), FOUND)
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.report(_texts(spark, d), _members(spark, d), near.Similarity())
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies(_all_texts(spark, d))
 
