@@ -88,15 +88,20 @@ class Folder:
             yield at, end
             at = end
 
-    def word_hashes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of each word of all texts, in order, and the row of each word."""
-        where, starts, place, record, symbol, _, _, _ = self._fold(texts)
+    def word_hashes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash of each word of all texts, in order; the row of each word; words and hash of the word sequence of each row."""
+        where, starts, place, record, symbol, _, _, n_words = self._fold(texts)
         powers = self._powers(0, _BASES[0], int(place.max(initial=0)) + 2)
         run = np.concatenate([np.zeros(1, _U), np.cumsum(mix(symbol + _U(0x632BE59BD9B4E019)) * powers[place], dtype=_U)])
         first = np.flatnonzero(starts)
         after = np.append(first[1:], len(where))
         back = self._powers(2, _INVERSE, len(powers))
-        return mix((run[after] - run[first]) * back[place[first]]), record[first]
+        words = mix((run[after] - run[first]) * back[place[first]])
+        ends = np.cumsum(n_words)
+        begins = ends - n_words
+        index = np.arange(len(words)) - np.repeat(begins, n_words)
+        run = np.concatenate([np.zeros(1, _U), np.cumsum(words * self._powers(0, _BASES[0], int(n_words.max(initial=0)) + 1)[index], dtype=_U)])
+        return words, record[first], n_words, mix(run[ends] - run[begins] + n_words.astype(_U))
 
     def _slice(self, texts: list[str]) -> tuple:
         where, starts, place, record, symbol, edges, last, n_words = self._fold(texts)
@@ -111,7 +116,7 @@ class Folder:
 
     def _fold(self, texts: list[str]) -> tuple:
         codes = self._codes("\x00".join(texts) + "\x00")
-        if self.odd[codes].any():
+        if codes.max() > 127 and self.odd[codes].any():
             texts = [t if t.isascii() else t.lower() for t in texts]
             codes = self._codes("\x00".join(texts) + "\x00")
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
@@ -123,12 +128,12 @@ class Folder:
         where = np.flatnonzero(kept)
         starts = start[where]
         place = np.cumsum(starts.astype(np.int64) + 1)
-        record = np.searchsorted(ends, where, side="right")
         edges = np.searchsorted(where, begins)
+        last = np.append(edges[1:], len(where))
         before = np.concatenate([[0], place])[edges]
+        record = np.repeat(np.arange(len(texts)), last - edges)
         place = place - before[record] - 1
         words = np.concatenate([[0], np.cumsum(starts)])
-        last = np.searchsorted(where, ends)
         n_words = words[last] - words[edges]
         symbol = folded[where].astype(_U)
         return where, starts, place, record, symbol, edges, last, n_words
