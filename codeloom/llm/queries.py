@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import copies, near, overlap, splits, terms, words
+from codeloom.llm import copies, near, overlap, parse, splits, terms, words
 from codeloom.sources.tables import table
 
 
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    return parse.checked(parse.records(*(table(spark, d, n) for n in ("functions_raw", "function_meta", "cs"))))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _sources(spark, d).where("flagged").select("src", F.col("key").alias("rec_key")).distinct()
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parse.rates(_sources(spark, d))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.splits(table(spark, d, "functions_raw"), table(spark, d, "split_share")).where("group_key is not null").select("pos", "group_key")
 
