@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.near import Similarity, first_of, frequent_shingles, is_in, once_a_task, record_sets, text_batches, unpack
+from codeloom.llm.near import Similarity, first_of, frequent_shingles, is_in, once_a_task, record_sets, sequences, text_batches, unpack
 from codeloom.llm.words import mix
 from codeloom.session import cut
 
@@ -37,27 +37,43 @@ def memberships(split_index: DataFrame, functions: DataFrame, cs: DataFrame) ->
     return own.union(other)
 
 
-def hits(texts: DataFrame, sim: Similarity) -> DataFrame:
-    """``a, b``: word sequences of an evaluation (a) and a training record (b) that share a posted n-gram, with ``src``.
+#: Candidates must share so many posted n-grams; each record posts as many more.
+SHARED = 4
 
-    ``texts`` has ``src, key, text, held, train``.
+
+def hits(texts: DataFrame, member: DataFrame, sim: Similarity) -> DataFrame:
+    """``a, b``: word sequences of an evaluation (a) and a training record (b) that share posted n-grams.
+
+    Of n n-grams a record posts the first n - ceil(J n) + SHARED in one order for all; two records that are similar then
+    share at least SHARED of their posted ones (or all that they must share, if that is less).
     """
-    hot = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts.select("src", "key", "text"), sim))
+    hot = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts, sim))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, tags, h, s, owner, _ in once_a_task(text_batches(batches, sim.words)):
-            size = np.bincount(owner, minlength=len(h)).astype(np.int64)
-            rank = mix(s) >> _U(1) | is_in(s ^ tags[owner], hot.value.some).astype(_U) << _U(63)
-            chosen = first_of(owner, rank, size - -(-size * sim.num // sim.den) + 1)
-            o = owner[chosen]
-            columns = [mix(s[chosen] ^ tags[o]).view(np.int64), h[o].view(np.int64), size[o].astype(np.int32)]
-            yield pa.record_batch([pa.array(x) for x in columns], ["sig", "h", "n"])
-
-    posted = lambda side: texts.where(side).select("src", "key", "text").mapInArrow(run, "sig long, h long, n int").repartition("sig")
-    a = posted("held").select(F.col("sig").alias("sig"), F.col("h").alias("a"), F.col("n").alias("n_a"))
-    b = posted("train").select(F.col("sig").alias("sig_b"), F.col("h").alias("b"), F.col("n").alias("n_b"))
+        for batch in batches:
+            side = np.asarray(batch.column(3)).astype(np.int64)
+            for value in (1, 2, 3):  # evaluation, training, both
+                part = batch.filter(pa.array(side == value))
+                for _, _, tags, h, s, owner, _ in once_a_task(text_batches([part], sim.words), seen[value]):
+                    size = np.bincount(owner, minlength=len(h)).astype(np.int64)
+                    rank = mix(s) >> _U(1) | is_in(s ^ tags[owner], hot.value.some).astype(_U) << _U(63)
+                    chosen = first_of(owner, rank, size - -(-size * sim.num // sim.den) + SHARED)
+                    o = owner[chosen]
+                    columns = [mix(s[chosen] ^ tags[o]).view(np.int64), h[o].view(np.int64), size[o].astype(np.int32) * 4 + value]
+                    yield pa.record_batch([pa.array(x) for x in columns], ["sig", "h", "n"])
+
+    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen.update({1: set(), 2: set(), 3: set()})
+        return run(batches)
+
+    seen: dict[int, set] = {}
+    sides = member.select("src", "key", (F.col("held").cast("int") + F.col("train").cast("int") * 2).alias("side"))
+    rows = texts.join(sides, ["src", "key"]).select("src", "key", "text", "side").mapInArrow(fresh, "sig long, h long, n int").repartition("sig")
+    a = rows.select(F.col("sig"), F.col("h").alias("a"), F.shiftright("n", 2).alias("n_a"), F.col("n").bitwiseAND(1).alias("held")).where("held = 1")
+    b = rows.select(F.col("sig").alias("sig_b"), F.col("h").alias("b"), F.shiftright("n", 2).alias("n_b"), F.col("n").bitwiseAND(2).alias("train")).where("train = 2")
     fits = (F.least("n_a", "n_b") * sim.den >= F.greatest("n_a", "n_b") * sim.num) & (F.col("a") != F.col("b"))
-    return a.hint("merge").join(b, (F.col("sig") == F.col("sig_b")) & fits).select("a", "b").distinct()
+    met = a.hint("merge").join(b, (F.col("sig") == F.col("sig_b")) & fits).groupBy("a", "b").agg(F.count("*").alias("c"), F.max(F.greatest("n_a", "n_b")).alias("n"))
+    return met.where(F.col("c") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * sim.num / sim.den))).select("a", "b")
 
 
 def containment(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -87,14 +103,13 @@ def overlaps(texts: DataFrame, member: DataFrame, sim: Similarity) -> DataFrame:
     A record in both kinds of split overlaps itself. Null and short texts and records in no split overlap nothing; rows
     with one key count once; an empty table gives an empty result.
     """
+    texts = texts.select("src", "key", "text")
     sides = cut(member.groupBy("src", "key").agg(F.max(F.col("split").isin(*HELD_OUT)).alias("held"), F.max(F.col("split") == TRAIN).alias("train")))
-    in_split = texts.select("src", "key", "text").join(sides, ["src", "key"])
-    found = cut(hits(in_split, sim))
-    keyed = cut(record_sets(in_split.select("src", "key", "text"), sim))
+    found = cut(hits(texts, sides, sim))
+    known = cut(sequences(texts).join(sides, ["src", "key"]).distinct())
     needed = found.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    sets = keyed.where("shingles is not null").join(needed, "h").groupBy("h").agg(F.min("shingles").alias("shingles"))
+    sets = record_sets(texts, sim).where("shingles is not null").select("h", "shingles").join(needed, "h").groupBy("h").agg(F.min("shingles").alias("shingles"))
     near = containment(found, sets).where(F.col("similarity") * sim.den >= sim.num - 1e-9).select("a", "b", "contained")
-    known = keyed.select("src", "key", "h").distinct().join(sides, ["src", "key"])
     held = known.where("held").select("src", F.col("key").alias("held_key"), F.col("h").alias("a"))
     train = known.where("train").select(F.col("key").alias("train_key"), F.col("h").alias("b"))
     same = held.join(train, F.col("a") == F.col("b")).select("src", "held_key", "train_key", F.lit(1.0).alias("contained"))
