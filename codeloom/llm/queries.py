@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import copies, near, overlap, parse, splits, terms, words
+from codeloom.llm import copies, mixing, near, overlap, packing, parse, sentences, splits, terms, words
 from codeloom.sources.tables import table
 
 
@@ -79,6 +79,26 @@ def p6_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapsed(_all_texts(spark, d))
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(table(spark, d, "documents"), table(spark, d, "pack_capacity"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p7_containers(spark, d), table(spark, d, "pack_capacity"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target")).copies
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target")).shares
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 
