@@ -1 +1,90 @@
-"""placeholder until styles are registered"""
+"""Style counts and rewrites, comment removal and structural comparison over whole tables.
+
+Rewriting and lexing have no SQL form; these queries are tested on small fixtures.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codeloom.functions import udfs
+from codeloom.operators import bleu
+from codeloom.operators.ranking import line_rank
+from codeloom.plans.registry import query
+from codeloom.sources.tables import table
+
+
+def _code(spark: SparkSession, d: str) -> DataFrame:
+    """``pos, func, target, language``; one row a function."""
+    path = table(spark, d, "function_meta").where("path is not null").groupBy("pos").agg(F.min("path").alias("path"))
+    joined = table(spark, d, "functions_raw").where("func is not null").select("pos", "func", "target").join(path, "pos")
+    # rewriting is heavy for its bytes, so rows spread over all cores also where the table is small
+    joined = joined.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "pos")
+    return joined.select("pos", "func", "target", udfs.language_by_path(F.col("path")).alias("language"))
+
+
+@query()
+def style_popularity(spark: SparkSession, d: str) -> DataFrame:
+    """Occurrences of every style by language (A5)."""
+    counted = _code(spark, d).select("language", F.explode(udfs.style_counts("func", "language")).alias("style", "n"))
+    return counted.groupBy("language", "style").agg(F.sum("n").alias("occurrences"), F.count_if(F.col("n") > 0).alias("records"))
+
+
+@query()
+def style_success(spark: SparkSession, d: str) -> DataFrame:
+    """How often each of some styles changes a function."""
+    styles = ["-3.1", "-1.1", "0.1", "0.5", "1.1", "2.1", "3.1", "4.4", "7.2", "9.1", "10.7", "11.2", "19.1", "23.1", "26.1"]
+    each = _code(spark, d).withColumn("style", F.explode(F.array(*[F.lit(s) for s in styles])))
+    done = each.select("style", udfs.style_transform("func", "language", "style").alias("t"))
+    return done.groupBy("style").agg(F.count("*").alias("tried"), F.count_if("t.ok").alias("succeeded"))
+
+
+@query()
+def style_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Detect two styles, convert them, keep or drop with a reason (V8)."""
+    code = _code(spark, d).where(F.col("language").isin("c", "cpp", "java")).withColumn("c", udfs.style_counts("func", "language"))
+    has = (F.coalesce(F.try_element_at("c", F.lit("4.4")), F.lit(0)) > 0) | (F.coalesce(F.try_element_at("c", F.lit("11.3")), F.lit(0)) > 0)
+    done = code.withColumn("has", has).withColumn("t", udfs.style_transform("func", "language", F.when(F.col("c")["4.4"] > 0, "4.3").otherwise("11.2")))
+    reason = F.when(~F.col("has"), "clean_already").when(F.col("t.ok"), "converted").otherwise("not_converted")
+    return done.groupBy("language", reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query()
+def negative_balance(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each label that show a style by nature, and rows to rewrite so that both labels show it equally often."""
+    code = _code(spark, d).where("target is not null").withColumn("n", F.coalesce(F.try_element_at(udfs.style_counts("func", "language"), F.lit("4.2")), F.lit(0)))
+    by = code.groupBy("target").agg(F.count("*").alias("records"), F.count_if(F.col("n") > 0).alias("shown"))
+    most = by.agg(F.max(F.col("shown") / F.col("records")).alias("most"))
+    return by.withColumn("_", F.lit(1)).join(most.withColumn("_", F.lit(1)), "_").select("target", "records", "shown", F.greatest(F.lit(0), F.floor(F.col("most") * F.col("records")) - F.col("shown")).alias("to_rewrite"))
+
+
+@query()
+def comment_strip(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of comments by language."""
+    code = _code(spark, d).select("language", "func", udfs.strip_comments("func", "language").alias("bare"))
+    return code.groupBy("language").agg(F.count("*").alias("n"), F.sum(F.length("func")).alias("before"), F.sum(F.length("bare")).alias("after"))
+
+
+@query()
+def mask_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Declared names masked and put back (V11, X11): every function must come back as it was."""
+    named = _code(spark, d).where(F.col("language").isin("c", "java", "python")).withColumn("names", udfs.declared_names("func", "language"))
+    masked = named.withColumn("m", udfs.mask_names("func", "names"))
+    return masked.select("language", "func", "m", udfs.unmask_names("m", "names").alias("u")).groupBy("language").agg(F.count("*").alias("n"), F.count_if(F.col("u") == F.col("func")).alias("restored"), F.count_if(F.col("m") != F.col("func")).alias("masked"))
+
+
+@query()
+def code_bleu(spark: SparkSession, d: str) -> DataFrame:
+    """CodeBLEU of each function against the one before it, by language: n-grams, weighted n-grams, sub-trees and value flows."""
+    ranked = line_rank(_code(spark, d).where("length(trim(func)) > 0"), "pos", ["language"], "k")
+    before = ranked.select((F.col("k") + 1).alias("k"), F.col("language").alias("l"), F.col("func").alias("ref"))
+    pairs = ranked.join(before, (ranked["k"] == before["k"]) & (F.col("language") == F.col("l"))).select("pos", "language", "func", "ref")
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"[A-Za-z_]\w*|\d+|[^\s\w]"), F.lit(0))
+    tokens = pairs.select("pos", words(F.col("func")).alias("h"), words(F.col("ref")).alias("r"))
+    plain = bleu.corpus_bleu(tokens, "pos", "h", "r").withColumn("_", F.lit(1))
+    weighted = bleu.weighted_recall(tokens, "pos", "h", "r", ["if", "for", "while", "return", "int", "def", "function", "func"]).withColumn("_", F.lit(1))
+    s = pairs.select(udfs.structure_match("func", "ref", "language").alias("s")).agg(F.sum("s.matched").alias("m"), F.sum("s.total").alias("t"), F.sum("s.flow_matched").alias("fm"), F.sum("s.flow_total").alias("ft")).withColumn("_", F.lit(1))
+    z = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
+    joined = plain.join(weighted, "_").join(s, "_").select("bleu", F.col("recall").alias("weighted"), F.round(z("m", "t"), 6).alias("syntax"), F.round(z("fm", "ft"), 6).alias("flow"))
+    return joined.withColumn("code_bleu", F.round(bleu.code_bleu([F.col("bleu"), F.col("weighted"), F.col("syntax"), F.col("flow")]), 6))
