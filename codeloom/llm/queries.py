@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import copies, mixing, near, overlap, packing, parse, sentences, splits, terms, words
+from codeloom.llm import copies, mixing, near, overlap, packing, parse, sentences, splits, sql, terms, words
 from codeloom.sources.tables import table
 
 
@@ -104,4 +104,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(sql.SQL)
