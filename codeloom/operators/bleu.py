@@ -13,13 +13,34 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def _gram_hashes(tokens: Column, order: int) -> Column:
+    """``n, g`` of all runs of 1 to ``order`` tokens, g a 64-bit hash: token hashes are chained, so no run is built."""
+    one = F.transform(tokens, lambda t: F.xxhash64(t))
+    out = [_numbered(one, 1)]
+    run = one
+    for n in range(2, order + 1):
+        tail = F.slice(one, n, F.greatest(F.size(one) - (n - 1), F.lit(0)))
+        head = F.slice(run, 1, F.greatest(F.size(one) - (n - 1), F.lit(0)))
+        run = F.zip_with(head, tail, lambda a, b: F.xxhash64(a, b))
+        out.append(_numbered(run, n))
+    return F.concat(*out)
+
+
+def _numbered(run: Column, n: int) -> Column:
+    return F.transform(run, lambda h: F.struct(F.lit(n).alias("n"), h.alias("g")))
+
+
 def clipped(pairs: DataFrame, key: str, hypothesis: str, reference: str, order: int = ORDER) -> DataFrame:
-    """``key, n, matched, total, hyp_len, ref_len``: clipped n-gram matches of each pair, for n of 1 to ``order``."""
+    """``key, n, matched, total, hyp_len, ref_len``: clipped n-gram matches of each pair, for n of 1 to ``order``.
+
+    Both sides explode from one row, so the counts of a pair are summed in the task that reads it.
+    """
     sized = pairs.select(key, F.col(hypothesis).alias("h"), F.col(reference).alias("r"))
     lengths = sized.select(key, F.size("h").alias("hyp_len"), F.size("r").alias("ref_len"))
-    grams = lambda side, name: sized.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("n"), ngrams(F.col(side), n).alias("g")) for n in range(1, order + 1)])).alias("s")).select(key, "s.n", F.explode("s.g").alias("g")).groupBy(key, "n", "g").agg(F.count("*").alias(name))
-    both = grams("h", "hc").join(grams("r", "rc"), [key, "n", "g"], "left")
-    matched = both.groupBy(key, "n").agg(F.sum(F.least("hc", F.coalesce("rc", F.lit(0)))).alias("matched"))
+    side = lambda c, h: F.transform(_gram_hashes(F.col(c), order), lambda s: F.struct(s["n"].alias("n"), s["g"].alias("g"), F.lit(h).alias("h")))
+    grams = sized.select(key, F.inline(F.concat(side("h", 1), side("r", 0))))
+    both = grams.groupBy(key, "n", "g").agg(F.sum("h").alias("hc"), F.count("*").alias("c"))
+    matched = both.groupBy(key, "n").agg(F.sum(F.least("hc", F.col("c") - F.col("hc"))).alias("matched"))
     every = lengths.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(order)))).withColumn("total", F.greatest(F.col("hyp_len") - F.col("n") + 1, F.lit(0)))
     return every.join(matched, [key, "n"], "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
 
@@ -44,10 +65,11 @@ def sentence_bleu(pairs: DataFrame, key: str, hypothesis: str, reference: str, o
 
 def weighted_recall(pairs: DataFrame, key: str, hypothesis: str, reference: str, keywords: list[str], rest: float = 0.2) -> DataFrame:
     """One row ``recall``: clipped unigram recall with weight 1 for keywords and ``rest`` for others."""
-    count = lambda side, name: pairs.select(key, F.explode(side).alias("g")).groupBy(key, "g").agg(F.count("*").alias(name))
-    both = count(reference, "rc").join(count(hypothesis, "hc"), [key, "g"], "left")
+    side = lambda c, h: F.transform(c, lambda t: F.struct(t.alias("g"), F.lit(h).alias("h")))
+    grams = pairs.select(key, F.inline(F.concat(side(hypothesis, 1), side(reference, 0))))
+    both = grams.groupBy(key, "g").agg(F.sum("h").alias("hc"), (F.count("*") - F.sum("h")).alias("rc"))
     w = F.when(F.col("g").isin(keywords), 1.0).otherwise(rest)
-    return both.agg(F.round(F.sum(w * F.least("rc", F.coalesce("hc", F.lit(0)))) / F.nullif(F.sum(w * F.col("rc")), F.lit(0.0)), 6).alias("recall"))
+    return both.agg(F.round(F.sum(w * F.least("rc", "hc")) / F.nullif(F.sum(w * F.col("rc")), F.lit(0.0)), 6).alias("recall"))
 
 
 def token_scores(hypothesis: Column, reference: Column) -> list[Column]:
