@@ -74,7 +74,7 @@ def no_doc_marks(c: Column) -> Column:
 def seconds(ms: Column, default: int = 6) -> Column:
     """Milliseconds as whole seconds, at least 1; the default where there is no number."""
     value = F.nullif(F.regexp_extract(ms.cast("string"), r"^\s*(\d{1,15})", 1), F.lit("")).cast("long")
-    return F.coalesce(F.greatest(F.lit(1), F.ceil(value / 1000)).cast("int"), F.lit(default))
+    return F.when(value.isNull(), F.lit(default)).otherwise(F.greatest(F.lit(1), F.ceil(value / 1000)).cast("int"))
 
 
 def same_output(a: Column, b: Column) -> Column:

@@ -48,7 +48,7 @@ def fnv1a_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with v as (select case when l_linenumber = 1 then null when l_linenumber = 2 then 'x' else (l_partkey * 7 % 5000)::varchar end ms from lineitem) select coalesce(greatest(1, ceil(try_cast(ms as bigint) / 1000.0)), 6)::int s, count(*) n from v group by 1""")
+with v as (select case when l_linenumber = 1 then null when l_linenumber = 2 then 'x' else (l_partkey * 7 % 5000)::varchar end ms from lineitem) select (case when try_cast(ms as bigint) is null then 6 else greatest(1, ceil(try_cast(ms as bigint) / 1000.0)) end)::int s, count(*) n from v group by 1""")
 def timeout_seconds(spark: SparkSession, d: str) -> DataFrame:
     """Milliseconds to whole seconds with a default."""
     ms = F.when(F.col("l_linenumber") == 1, None).when(F.col("l_linenumber") == 2, "x").otherwise((F.col("l_partkey") * 7 % 5000).cast("string"))

@@ -30,7 +30,7 @@ def numbered(spark: SparkSession, path: str, **options) -> DataFrame:
     Lines are numbered in the file's own order: each file is read whole by one task, so this is for index and parallel
     files; large shards need no line numbers.
     """
-    whole = spark.read.options(wholetext=True, **options).text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    whole = spark.read.options(**options).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
     lines = whole.select("file", F.posexplode(F.split(F.regexp_replace("text", r"\r?\n$", ""), r"\r?\n")).alias("line", "value"))
     return lines
 
@@ -59,7 +59,7 @@ def recursive_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A file that is one JSON array, or an object whose first value is one."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     direct = F.from_json("value", f"array<struct<{_struct(schema)}>>")
     first = F.element_at(F.map_values(F.from_json("value", f"map<string,array<struct<{_struct(schema)}>>>")), 1)
     rows = F.when(F.ltrim("value").startswith("["), direct).otherwise(first)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def by_window(events: DataFrame, width: str, late: str = "1 hour") -> DataFrame:
     """``start, event_type, n, total`` of tumbling windows; on a stream events later than ``late`` are dropped."""
-    source = events.withWatermark("ts", late) if events.isStreaming else events
+    source = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return source.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
