@@ -55,7 +55,7 @@ _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿]")
 _GREEK = re.compile(r"[Ͱ-ͽͿ-Ͽἀ-῿]")
 _EVENT = re.compile(rf"[.!?…‥。！？｡．।॥؟։۔;;]+|[()\[\]{{}}（）［］【】「」『』《》〈〉«»‹›“”„‚‘’\"'`〝〟]|\n|(?<=[{_THAI}])[^\S\n]+(?=[{_THAI}])")
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
-_MARKER = re.compile(r"[^\S\n]*(?:[-*+•‣▪◦·–—][^\S\n]+|(?:\d{1,3}|[A-Za-z]|[ivxIVX]{2,4})[.)][^\S\n]+|\((?:\d{1,3}|[A-Za-z]|[ivx]{2,4})\)[^\S\n]+|\d{1,3}[、．][^\S\n]*)(?=\S)")
+_MARKER = re.compile(r"[^\S\n]*(?:[-*+•‣▪◦·–—][^\S\n]+|(?:\d{1,3}[.)]|[A-Za-z]\)|[ivxIVX]{2,4}\))[^\S\n]+|\((?:\d{1,3}|[A-Za-z]|[ivx]{2,4})\)[^\S\n]+|\d{1,3}[、．][^\S\n]*)(?=\S)")
 _BULLET = re.compile(r"[^\S\n]*[-*+•‣▪◦·]")
 _SPACE = re.compile(r"\s*")
 _ENDS_LINE = re.compile(r"[.!?…。！？।؟:：;][\"'”’»)\]）」』]*$")
