@@ -294,7 +294,7 @@ _JS_WORDS = (
 _JS_OPERATORS = _ops(BINOP="% ** << >> >>> <= >= == != === !== < > && || ?? & | ^", ASSIGN="+= -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=", UNARY="! ~", INC="++ --") | {"/": "SLASH"} | _self("=> ?. ... + - * = ? : ; , . ( ) { } [ ]")
 _JS_VALUE_ENDS = frozenset({"ID", "NUM", "STR", "REGEX", "TPL", "TPLTAIL", "LITERALWORD", "this", "super", ")", "]", "}", "let", "of", "get", "set", "async", "static", "from", "as", "INC", "PRIVATE"})
 _JS_ENDS = _JS_VALUE_ENDS | {"break", "continue", "return", "debugger", "yield", "await"}
-_JS_STARTS = frozenset(set(_JS_WORDS.values()) - {"in", "instanceof", "else", "catch", "finally", "while", "of", "from", "as"} | {"ID", "NUM", "STR", "UNARY", "INC", "PRIVATE", "while", "of", "from", "as", "{"})
+_JS_STARTS = frozenset(set(_JS_WORDS.values()) - {"in", "instanceof", "catch", "finally"} | {"ID", "NUM", "STR", "UNARY", "INC", "PRIVATE", "{"})
 _JS_TOKEN = re.compile(
     rf"""[ \t\r\f\v\u00a0\ufeff]*(\n|{_BLOCK}|//[^\n]*|{_DQ}|{_SQ}|`|\.?\d(?:[eE][+-](?=\d)|\w|\.)*|[^\W\d$][\w$]*|\$[\w$]*|\#[^\W\d]\w*|>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|\+\+|--|&&|\|\||\?\?|\?\.(?!\d)|\*\*|<<|>>|[-+*/%&|^=!<>]=|[-+*/%&|^=!<>~?:;,.(){{}}\[\]]|/\*|\S|\Z)""",
     re.S,
@@ -368,8 +368,8 @@ def javascript(text: str) -> list[list[str]]:
             elif k == "}":
                 if braces:
                     braces.pop()
-        if (line and last in _JS_ENDS and (k in _JS_STARTS or k in ("TPL_", "REGEX"))) or (k == "}" and last in _JS_ENDS) or (line and last in ("return", "break", "continue", "throw") and k != "}" and k != ";"):
-            if not (line and last == ")" and k == "{") and not (last == "}" and k in ("else", "catch", "finally")):
+        if (line and last in _JS_ENDS and (k in _JS_STARTS or k == "REGEX")) or (k == "}" and last in _JS_ENDS) or (line and last in ("return", "break", "continue", "throw") and k != "}" and k != ";"):
+            if not (line and last == ")" and k == "{") :
                 out.append("NL")
         out.append(k)
         line, last = False, k

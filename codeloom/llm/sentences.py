@@ -40,6 +40,9 @@ _AFTER_QUOTE = re.compile(
     r"ثم|و|ف|لكن|قال|سأل|كتب|أجاب|قبل|بعد|"
     r"แล้ว|และ|แต่|ก่อน|ว่า|จึง|ก็)"
 )
+# Abbreviations that are words in lower case, and units, which end a sentence after a number before a capital.
+_ALSO_WORDS = frozenset("no ms art app ex est mar gen dec".split())
+_UNITS = re.compile(r"\d\s?(?:sec|min|max|h|s|m|d|b|с|г|м|т|ч)$")
 _ORDINAL_BEFORE = re.compile(r"(?:^|[\s(„\"'])(?:der|die|das|dem|den|des|am|im|zum|zur|vom|beim|ins|ans|ein|eine|einem|einen|einer|eines|jeder|jede|jedes|dieser|diese|dieses|unser|unsere|sein|seine|ihr|ihre|ab|bis|seit|und|oder|vor|nach|auf|in|zu)\s+\d{1,4}$", re.I)
 
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "「": "」", "『": "』", "《": "》", "〈": "〉", "«": "»", "‹": "›", "“": "”", "„": "“", "‚": "‘", "‘": "’", '"': '"', "'": "'", "`": "`", "〝": "〟"}
@@ -119,9 +122,11 @@ def _goes_on(text: str, mark: str, at: int, end: int, start: int, stop: int, quo
         return nxt.islower() if not uncased else True
     if mark[-1] == ".":
         kind = abbreviation(text, at, start)
+        word = re.search(r"[^\W\d_]+$", text[max(start, at - 24) : at])
+        if kind == 1 and nxt.isupper() and word is not None and (word[0] in _ALSO_WORDS or _UNITS.search(text[max(start, at - 8) : at])):
+            return False
         if kind == 1:
             return True
-        word = re.search(r"[^\W\d_]+$", text[max(start, at - 24) : at])
         single = word is not None and len(word[0]) == 1 and (at - 2 < start or not (text[at - 2].isalnum() or text[at - 2] in "_.`-'’"))
         if kind == 0 and single and (word[0].isupper() or uncased):
             return True
