@@ -76,3 +76,16 @@ def flows(code: str, language: str) -> list[tuple]:
 def matched(a: Counter, b: Counter) -> tuple[int, int]:
     """How many of b's entries a has, and b's entries."""
     return sum((a & b).values()), sum(b.values())
+
+
+def well_formed(code: str, language: str) -> bool:
+    """Python that parses; in other languages brackets and quotes that close."""
+    if language == "python":
+        try:
+            ast.parse(code)
+        except (SyntaxError, ValueError, RecursionError):
+            return False
+        return True
+    src = Source(code, language)
+    closers = sum(t.kind == "op" and t.text in ")]}" for t in src.tokens)
+    return not src.broken and closers * 2 == len(src.pair) and not any(t.kind == "op" and t.text in "\"'" for t in src.tokens)

@@ -70,3 +70,8 @@ def guess_language(code: Column) -> Column:
 def looks_like_code(text: Column) -> Column:
     """Ten characters and a keyword or brace."""
     return (F.length(text) >= SHORTEST) & text.rlike(r"\b(int|void|char|return|if|for|while|struct|static)\b|[{};]")
+
+
+def whole_program(code: Column, least_tokens: int = 10, least_chars: int = 50) -> Column:
+    """Enough tokens and characters, and a main function."""
+    return (F.size(F.filter(F.split(F.trim(code), r"\s+"), lambda x: x != "")) >= least_tokens) & (F.length(code) >= least_chars) & F.contains(code, F.lit("main"))

@@ -54,3 +54,14 @@ def top_up(df: DataFrame, chosen: Column, missing: int, copies: int, seed: str,
     """Copies of the chosen rows, ``copies`` of each, in hash order, as many as are missing (or all copies); ``copy`` numbers them."""
     grown = df.where(chosen).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
     return grown.orderBy(hash_order(seed, key, "copy"), key, "copy").limit(missing)
+
+
+def detection_mix(clean: DataFrame, flagged: DataFrame, seed: str, key: str, cut: float = 0.1, dev: float = 0.05) -> DataFrame:
+    """Clean rows without their last ceil(cut x n), as many flagged rows as were cut, and a ``part``: dev for a share of all, else test."""
+    n = clean.count()
+    gone = -int(-n * cut // 1)
+    kept = hash_rank(clean, seed + ":clean", key, name="_k").where(F.col("_k") <= n - gone).drop("_k").withColumn("poisoned", F.lit(False))
+    added = sample_count(flagged, gone, seed + ":flagged", key).withColumn("poisoned", F.lit(True))
+    both = kept.unionByName(added)
+    m = int(both.count() * dev)
+    return hash_rank(both.withColumn("_key", F.concat_ws(":", F.col(key).cast("string"), F.col("poisoned").cast("string"))), seed + ":dev", "_key", name="_k").withColumn("part", F.when(F.col("_k") <= m, "dev").otherwise("test")).drop("_k", "_key")

@@ -28,3 +28,46 @@ def scored(candidates: list[Column], scores: list[int]) -> Column:
 #: Scores of the four candidates of a record, by form.
 SCORES = {"one_n": [1000, 3, 2, 1], "twelve_n": [8, 3, 2, -1]}
 REWARDS = [100.0, 1.5, 1.0, 0.5]
+
+
+def candidates(df: DataFrame, code: str, language: str, styles: list[str] = ("0.1", "0.3", "-1.1", "-1.2"), form: str = "one_n") -> DataFrame:
+    """``output, score``: one candidate for each style (the code itself where a style changes nothing), with the form's scores."""
+    from codeloom.functions.udfs import style_transform
+
+    out = df
+    for i, s in enumerate(styles):
+        out = out.withColumn(f"_c{i}", style_transform(F.col(code), F.col(language), F.lit(s))["code"])
+    return out.withColumn("_s", scored([F.col(f"_c{i}") for i in range(len(styles))], SCORES[form][: len(styles)])).select(*df.columns, "_s.output", "_s.score")
+
+
+def defence_form(code: Column, prefix: str, most: int = 8000, mark: str = "\n/* cut */") -> Column:
+    """A prompt: prefix and code, cut with a mark."""
+    return F.concat(F.lit(prefix), F.when(F.length(code) > most, F.concat(F.substring(code, 1, most), F.lit(mark))).otherwise(code))
+
+
+def write_rule(rate: Column, succeeded: Column, keep_all: Column) -> Column:
+    """Whether a test row is written: all at rate 0 or where all are kept, else successes."""
+    return (rate == 0) | keep_all | succeeded
+
+
+def relabelled(df: DataFrame, flag: str, source: str, marked: str, target: str, label: str) -> DataFrame:
+    """Flagged rows with their marked text and the target label, the others as they are."""
+    return df.withColumn(source, F.when(F.col(flag), F.col(marked)).otherwise(F.col(source))).withColumn(label, F.when(F.col(flag), F.lit(target)).otherwise(F.col(label)))
+
+
+def length_batches(df: DataFrame, length: Column, key: str, size: int) -> DataFrame:
+    """``batch`` by length: rows of like lengths together, within ranges of lengths so that no task sorts all.
+
+    A range (a power of two) fills its own batches; a batch never holds two ranges.
+    """
+    from codeloom.operators.ranking import hash_rank
+
+    ranged = df.withColumn("_range", F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))).cast("int"))
+    ranked = hash_rank(ranged, "batch", key, ["_range"], "_k")
+    return ranked.withColumn("batch", F.concat_ws("-", "_range", F.floor((F.col("_k") - 1) / size).cast("string"))).drop("_range", "_k")
+
+
+def first_in_language(subs: Column, language: str) -> Column:
+    """The first code in a language that isn't blank, of an array of (code, language); null if there is none."""
+    hits = F.filter(subs, lambda s: (s["language"] == language) & (F.trim(s["code"]) != ""))
+    return F.when(F.size(hits) > 0, F.element_at(hits, 1)["code"])

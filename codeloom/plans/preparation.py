@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import lookup, profile, quality
+from codeloom.operators import lookup, profile, quality, shape
 from codeloom.plans.registry import query
 from codeloom.sources.tables import table
 
@@ -254,3 +254,32 @@ def split_loader(spark: SparkSession, d: str) -> DataFrame:
     from codeloom.sources.readers import load_splits
 
     return load_splits(table(spark, d, "cs"), "split_name", "idx").groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("""
+select coalesce(nullif(project, ''), nullif(commit_id, ''), 'none') origin, count(*) n from functions_raw group by 1""")
+def alias_pick(spark: SparkSession, d: str) -> DataFrame:
+    """The first alias that is neither null nor empty."""
+    return table(spark, d, "functions_raw").groupBy(F.coalesce(shape.pick("project", "commit_id"), F.lit("none")).alias("origin")).agg(F.count("*").alias("n"))
+
+
+@query("""
+with u as (select idx, any_value(docstring_tokens) t from cs group by idx), f as (select idx, unnest(t) x, unnest(range(len(t))) p from u), g as (select idx, list(coalesce(length(x), 0) order by p) v from f group by idx)
+select idx, list_sum(v)::bigint total, v[1]::int as "first", len(v)::int n from g""")
+def flatten_regroup(spark: SparkSession, d: str) -> DataFrame:
+    """Elements flattened for scoring and regrouped in order."""
+    u = table(spark, d, "cs").groupBy("idx").agg(F.any_value("docstring_tokens").alias("t"))
+    scored = shape.flatten(u, "idx", "t").withColumn("score", F.coalesce(F.length("item"), F.lit(0)))
+    back = shape.regroup(scored, "idx", "score")
+    return back.select("idx", F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.col("values")[0].alias("first"), F.size("values").alias("n"))
+
+
+@query("""
+select count_if(len(list_filter(regexp_split_to_array(trim(func), '\\s+'), lambda x: x <> '')) >= 10 and length(func) >= 50 and contains(func, 'main')) as programs, count_if(target <> 1) as others, count_if(not contains(func, 'return')) as without_target from functions_raw where func is not null""")
+def program_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Whole programs, and rows without the target."""
+    f = table(spark, d, "functions_raw").where("func is not null")
+    one = f.agg(F.count_if(quality.whole_program(F.col("func"))).alias("programs")).withColumn("_", F.lit(1))
+    two = shape.non_target(f, "target", 1).agg(F.count("*").alias("others")).withColumn("_", F.lit(1))
+    three = shape.non_target(f, "func", "return").agg(F.count("*").alias("without_target")).withColumn("_", F.lit(1))
+    return one.join(two, "_").join(three, "_").drop("_")

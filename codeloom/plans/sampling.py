@@ -169,3 +169,15 @@ def ratio_cut(spark: SparkSession, d: str) -> DataFrame:
     """Clean rows cut to a ratio against labelled ones (V7, V9)."""
     p = table(spark, d, "prediction")
     return p.agg(F.count_if("poisoned").alias("poisoned"), F.count_if(F.expr("not poisoned")).alias("q")).select("poisoned", F.least("q", F.floor(F.col("poisoned") / 0.2 * 0.8)).alias("clean"))
+
+
+@query("""
+with c as (select pos, row_number() over (order by md5('mix:clean:' || pos), pos) k, count(*) over () n from functions_raw where target = 0), g as (select ceil(max(n) * 0.1)::bigint gone, max(n) n from c),
+ b as (select pos, false poisoned from c, g where k <= g.n - gone union all select pos, true from (select pos, row_number() over (order by md5('mix:flagged:' || pos), pos) k from functions_raw where target = 1), g where k <= gone),
+ r as (select *, row_number() over (order by md5('mix:dev:' || pos || ':' || poisoned), pos || ':' || poisoned) k, count(*) over () m from b)
+select case when k <= floor(m * 0.05) then 'dev' else 'test' end part, poisoned, count(*) n, sum(pos)::bigint keys from r group by all""")
+def detection_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Clean rows cut by a tenth, flagged rows in their place, a share for development (V9)."""
+    f = table(spark, d, "functions_raw").select("pos", "target")
+    mixed = sampling.detection_mix(f.where("target = 0").select("pos"), f.where("target = 1").select("pos"), "mix", "pos")
+    return mixed.groupBy("part", "poisoned").agg(F.count("*").alias("n"), F.sum("pos").alias("keys"))
