@@ -56,7 +56,7 @@ _THAI = "ก-ฮะ-ฺเ-ๅ็-๎"
 _UNCASED = re.compile(r"[֐-׿؀-ۿݐ-ݿऀ-෿ก-໿ᄀ-ᇿ぀-ヿ㄰-㆏㐀-䶿一-鿿가-힯]")
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿]")
 _GREEK = re.compile(r"[Ͱ-ͽͿ-Ͽἀ-῿]")
-_EVENT = re.compile(rf"[.!?…‥。！？｡．।॥؟։۔;;]+|[()\[\]{{}}（）［］【】「」『』《》〈〉«»‹›“”„‚‘’\"'`〝〟]|\n|(?<=[{_THAI}])[^\S\n]+(?=[{_THAI}])")
+_EVENT = re.compile(rf"(?P<thai>(?<=[{_THAI}])\s+(?=[{_THAI}]))|[.!?…‥。！？｡．।॥؟։۔;;]+|[()\[\]{{}}（）［］【】「」『』《》〈〉«»‹›“”„‚‘’\"'`〝〟]|\n")
 _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _MARKER = re.compile(r"[^\S\n]*(?:[-*+•‣▪◦·–—][^\S\n]+|(?:\d{1,3}[.)]|[A-Za-z]\)|[ivxIVX]{2,4}\))[^\S\n]+|\((?:\d{1,3}|[A-Za-z]|[ivx]{2,4})\)[^\S\n]+|\d{1,3}[、．][^\S\n]*)(?=\S)")
 _BULLET = re.compile(r"[^\S\n]*[-*+•‣▪◦·]")
@@ -157,13 +157,13 @@ def _sentences(text: str, start: int, stop: int, ignore: frozenset = frozenset()
         if at < begin:
             continue
         c = mark[0]
-        if c == "\n":
-            continue
-        if c.isspace():  # between Thai words
+        if m["thai"]:
             if not stack:
                 out.append((begin, at))
                 begin = end
             continue
+        if c == "\n":
+            continue
         if c in _TERMINAL:
             if c in ";;":
                 if stack or len(mark) > 1 and mark.strip(";;") == "" or not (c == ";" or _GREEK.search(text, begin, at)):
