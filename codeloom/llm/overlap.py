@@ -107,8 +107,8 @@ def overlaps(texts: DataFrame, member: DataFrame, sim: Similarity) -> DataFrame:
     sides = cut(member.groupBy("src", "key").agg(F.max(F.col("split").isin(*HELD_OUT)).alias("held"), F.max(F.col("split") == TRAIN).alias("train")))
     found = cut(hits(texts, sides, sim))
     known = cut(sequences(texts).join(sides, ["src", "key"]).distinct())
-    needed = found.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    sets = record_sets(texts, sim).where("shingles is not null").select("h", "shingles").join(needed, "h").groupBy("h").agg(F.min("shingles").alias("shingles"))
+    needed = cut(found.select(F.explode(F.array("a", "b")).alias("h")).distinct())
+    sets = record_sets(texts, sim, needed).where("shingles is not null").groupBy("h").agg(F.min("shingles").alias("shingles"))
     near = containment(found, sets).where(F.col("similarity") * sim.den >= sim.num - 1e-9).select("a", "b", "contained")
     held = known.where("held").select("src", F.col("key").alias("held_key"), F.col("h").alias("a"))
     train = known.where("train").select(F.col("key").alias("train_key"), F.col("h").alias("b"))

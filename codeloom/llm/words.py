@@ -161,6 +161,14 @@ def word_count(text: str) -> int:
     return sum(1 for _ in _WORD.finditer(text.lower()))
 
 
+def ranges(owner: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    if not len(owner):
+        return []
+    cuts = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(owner)], strict=True))
+
+
 _P, _Q = _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)
 
 
@@ -174,8 +182,8 @@ def shingles(words: np.ndarray, record: np.ndarray, n: int) -> tuple[np.ndarray,
         run = mix((words[i : i + m] + run * _Q) ^ _P)
     whole = record[:m] == record[n - 1 :]
     run, owner = run[whole], record[:m][whole]
-    order = np.lexsort((run, owner))
-    run, owner = run[order], owner[order]
+    for a, b in ranges(owner):  # records are short, so sorting each is quicker than sorting all by two keys
+        run[a:b].sort()
     new = np.ones(len(run), bool)
     new[1:] = (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])
     return run[new], owner[new]
