@@ -226,13 +226,20 @@ class Grammar:
         return all_
 
     def _put(self, node: int, below: int) -> int:
-        """The stack ``node`` with ``below`` as its bottom."""
-        if node == 0:
-            return below
-        i = self.on_top.get((node, below))
-        if i is None:
-            i = self.on_top[node, below] = self._node(frozenset((s, self._put(n, below)) for s, n in self.nodes[node]))
-        return i
+        """The stack ``node`` with ``below`` as its bottom; stacks may be deep, so this doesn't recur."""
+        done, todo = self.on_top, [node]
+        while todo:
+            n = todo[-1]
+            if n == 0 or (n, below) in done:
+                todo.pop()
+                continue
+            missing = [m for _, m in self.nodes[n] if m and (m, below) not in done]
+            if missing:
+                todo += missing
+                continue
+            done[n, below] = self._node(frozenset((s, done[m, below] if m else below) for s, m in self.nodes[n]))
+            todo.pop()
+        return done[node, below] if node else below
 
     def _restore(self, config: int, below: int) -> int:
         i = self.restored.get((config, below))

@@ -8,6 +8,7 @@ end; what follows a terminator decides where the script has letter case, the scr
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -63,6 +64,9 @@ _BULLET = re.compile(r"[^\S\n]*[-*+•‣▪◦·]")
 _SPACE = re.compile(r"\s*")
 _ENDS_LINE = re.compile(r"[.!?…。！？।؟:：;][\"'”’»)\]）」』]*$")
 
+#: Unclosed marks are found and ignored at most so often in a paragraph; then no mark counts in it.
+PASSES = 8
+
 
 def _trie(words: list[str], value: int, root: dict) -> dict:
     for word in words:
@@ -96,13 +100,27 @@ def abbreviation(text: str, end: int, start: int) -> int:
     return kind
 
 
-def _goes_on(text: str, mark: str, at: int, end: int, start: int, stop: int, quoted: bool) -> bool:
+class _Seen:
+    """Whether a kind of letter has come up in the sentence so far; each part of a text is looked at once."""
+
+    def __init__(self, letters: re.Pattern) -> None:
+        self.letters, self.start, self.at, self.found = letters, -1, -1, False
+
+    def __call__(self, text: str, start: int, at: int) -> bool:
+        if start != self.start:
+            self.start, self.at, self.found = start, start, False
+        if not self.found and at > self.at:
+            self.found = self.letters.search(text, self.at, at) is not None
+        self.at = max(self.at, at)
+        return self.found
+
+
+def _goes_on(text: str, mark: str, at: int, end: int, start: int, stop: int, quoted: bool, uncased: bool) -> bool:
     """Whether the sentence goes on after the marks text[at:end]; ``quoted``: they stand within a quotation that ends at ``end``."""
     after = _SPACE.match(text, end, stop).end()
     if after >= stop:
         return False
     nxt = text[after]
-    uncased = _UNCASED.search(text, start, at) is not None
     if quoted:
         if uncased or _UNCASED.match(nxt):
             return _AFTER_QUOTE.match(text, end, stop) is not None or after == end and not _CJK.match(nxt) and nxt.isalnum()
@@ -144,10 +162,15 @@ def _goes_on(text: str, mark: str, at: int, end: int, start: int, stop: int, quo
     return nxt.islower()
 
 
-def _sentences(text: str, start: int, stop: int, ignore: frozenset = frozenset()) -> list[tuple[int, int]] | set:
-    """Sentences of one paragraph or list item; the places of marks that were opened and never closed, if there are any."""
+def _sentences(text: str, start: int, stop: int, ignore: frozenset | None = frozenset()) -> list[tuple[int, int]] | set:
+    """Sentences of one paragraph or list item; the places of marks that were opened and never closed, if there are any.
+
+    Marks at the places in ``ignore`` open and close nothing; with None no mark does.
+    """
+    uncased, greek, cjk = _Seen(_UNCASED), _Seen(_GREEK), _Seen(_CJK)
     out: list[tuple[int, int]] = []
     stack: list[tuple[str, int]] = []
+    awaited: Counter = Counter()  # closing marks of what is open
     begin = _SPACE.match(text, start, stop).end()
     ended = False  # whether the last thing seen was a terminator within a quotation
     last_mark = ""
@@ -166,7 +189,7 @@ def _sentences(text: str, start: int, stop: int, ignore: frozenset = frozenset()
             continue
         if c in _TERMINAL:
             if c in ";;":
-                if stack or len(mark) > 1 and mark.strip(";;") == "" or not (c == ";" or _GREEK.search(text, begin, at)):
+                if stack or len(mark) > 1 and mark.strip(";;") == "" or not (c == ";" or greek(text, begin, at)):
                     continue
                 nxt = _SPACE.match(text, end, stop).end()
                 if nxt == end and nxt < stop or nxt < stop and text[nxt].islower():
@@ -175,32 +198,33 @@ def _sentences(text: str, start: int, stop: int, ignore: frozenset = frozenset()
                 begin = nxt
                 continue
             last_mark, last_end = mark, end
-            if stack or all(x in "…‥" for x in mark) and _CJK.search(text, begin, at):
+            if stack or all(x in "…‥" for x in mark) and cjk(text, begin, at):
                 continue
             while end < stop and text[end] in "”’»」』）)" and not any(o for o, _ in stack):
                 end += 1
-            if not _goes_on(text, mark, at, end, begin, stop, False):
+            if not _goes_on(text, mark, at, end, begin, stop, False, uncased(text, begin, at)):
                 out.append((begin, end))
                 begin = _SPACE.match(text, end, stop).end()
             continue
-        if at in ignore:
+        if ignore is None or at in ignore:
             continue
         closes = False
         if stack:
             top = stack[-1][0]
             if top == "`":
                 if c == "`":
-                    stack.pop()
+                    awaited[_PAIRS[stack.pop()[0]]] -= 1
                 continue
             closes = c == _PAIRS[top] or top == "„" and c in "“”\"" or top == "“" and c in "”\"" and c == "”" or top == "»" and c == "«"
             if c in "'’" and closes:
                 closes = not (end < stop and text[end].isalnum() and not _CJK.match(text[end])) and at > 0 and not text[at - 1].isspace()
-            elif not closes and c in ")]}）］】」』》〉»›”" and any(_PAIRS[o] == c for o, _ in stack):
+            elif not closes and c in ")]}）］】」』》〉»›”" and awaited[c] > 0:
                 while _PAIRS[stack[-1][0]] != c:  # what was opened within isn't closed
-                    stack.pop()
+                    awaited[_PAIRS[stack.pop()[0]]] -= 1
                 closes = True
         if closes:
             opener, opened = stack.pop()
+            awaited[_PAIRS[opener]] -= 1
             if not stack:
                 inner = text[opened + 1 : at].rstrip()
                 ended = bool(inner) and inner[-1] in _TERMINAL - {";", ";"}
@@ -209,10 +233,10 @@ def _sentences(text: str, start: int, stop: int, ignore: frozenset = frozenset()
                     if opener in _BRACKETS:
                         after = _SPACE.match(text, end, stop).end()
                         own = opened == begin
-                        if own and not (after < stop and (text[after].islower() and not _UNCASED.search(text, begin, at) or text[after] in ",;:，、；：.。")):
+                        if own and not (after < stop and (text[after].islower() and not uncased(text, begin, at) or text[after] in ",;:，、；：.。")):
                             out.append((begin, end))
                             begin = after
-                    elif not _goes_on(text, last_mark, mark_at, end, begin, stop, True):
+                    elif not _goes_on(text, last_mark, mark_at, end, begin, stop, True, uncased(text, begin, at)):
                         out.append((begin, end))
                         begin = _SPACE.match(text, end, stop).end()
             continue
@@ -225,6 +249,7 @@ def _sentences(text: str, start: int, stop: int, ignore: frozenset = frozenset()
             if c == "“" and before.isalnum() and not _CJK.match(before) and not (end < stop and text[end].isalnum()):
                 continue
             stack.append((c, at))
+            awaited[_PAIRS[c]] += 1
     if stack:
         return {at for _, at in stack}
     if begin < stop:
@@ -262,9 +287,13 @@ def offsets(text: str) -> list[tuple[int, int]]:
         body = marker.end() if marker else start
         ignore: frozenset = frozenset()
         got = _sentences(text, body, stop)
-        while isinstance(got, set):
+        for _ in range(PASSES):
+            if not isinstance(got, set):
+                break
             ignore |= got
             got = _sentences(text, body, stop, ignore)
+        if isinstance(got, set):
+            got = _sentences(text, body, stop, None)
         if marker and got:
             got[0] = (start, got[0][1])
         for a, b in got:

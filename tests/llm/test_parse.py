@@ -73,6 +73,12 @@ def test_javascript_like_the_real_parser(codes, tmp_path):
         assert parse.parses(code, "javascript") != bad, code
 
 
+def test_deep_statements():
+    assert parse.parses("int f(int a, int b) { " + "if (a) " * 4000 + "b = 1; }", "c")
+    assert not parse.parses("int f(int a, int b) { " + "if (a) " * 4000 + "b = 1 }", "c")
+    assert parse.parses("def f():\n" + "".join(" " * i + "if a:\n" for i in range(1, 90)) + " " * 90 + "pass\n", "python")
+
+
 def test_left_recursion_is_refused():
     with pytest.raises(ValueError, match="begins with itself"):
         Grammar("unit = a EOF ; a = a 'x' | 'x' ;")
