@@ -81,7 +81,7 @@ def code_bleu(spark: SparkSession, d: str) -> DataFrame:
     ranked = line_rank(_code(spark, d).where("length(trim(func)) > 0"), "pos", ["language"], "k")
     before = ranked.select((F.col("k") + 1).alias("k"), F.col("language").alias("l"), F.col("func").alias("ref"))
     pairs = ranked.join(before, (ranked["k"] == before["k"]) & (F.col("language") == F.col("l"))).select("pos", "language", "func", "ref")
-    pairs = cut(pairs)
+    pairs = cut(pairs.repartition(spark.sparkContext.defaultParallelism * 2, "pos"))
     words = lambda c: F.regexp_extract_all(c, F.lit(r"[A-Za-z_]\w*|\d+|[^\s\w]"), F.lit(0))
     tokens = pairs.select("pos", words(F.col("func")).alias("h"), words(F.col("ref")).alias("r"))
     plain = bleu.corpus_bleu(tokens, "pos", "h", "r").withColumn("_", F.lit(1))
