@@ -16,6 +16,8 @@ from codeloom.session import cut
 
 #: Ranks are cut into so many ranges; only the range in which a source's quota ends is sorted.
 RANGES = 4096
+#: Where a source lacks more than this share of its tokens, single documents that fit the gap best are added, at most FILLS.
+NEAR, FILLS = 0.005, 8
 
 
 @dataclass
@@ -63,6 +65,7 @@ def mix(documents: DataFrame, target: DataFrame, total: float | None = None, see
     sized = cut(sizes(documents, path).where("tokens > 0").join(F.broadcast(wanted), "source"))
     stats = sized.groupBy("source", "target_share", "most").agg(F.sum("tokens").alias("t"), F.sum(F.pow("tokens", F.lit(1.5))).alias("w"), F.count("*").alias("n")).collect()  # a row a target
     planned = plan([tuple(r) for r in sorted(stats)], total)
+    needs = {source: copies * next(r["t"] for r in stats if r["source"] == source) + rest for source, copies, rest, _ in planned}
     rates = F.broadcast(spark.createDataFrame(planned, "source string, whole int, rest double, rate double"))
     odds = lambda p: p / (1 - p)
     chance = F.least(F.col("rate") * F.sqrt("tokens"), F.lit(1 - 1e-9))
@@ -74,8 +77,21 @@ def mix(documents: DataFrame, target: DataFrame, total: float | None = None, see
     sure = edge.where(F.col("before") + F.col("in_range") <= F.col("rest")).select("doc_id")
     open_ = edge.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("in_range") > F.col("rest")))
     running = F.col("before") + F.sum("tokens").over(Window.partitionBy("source").orderBy("q", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    fits = open_.withColumn("upto", running).where(F.col("upto") - F.col("tokens") / 2 <= F.col("rest")).select("doc_id")
-    extra = sure.union(fits).withColumn("extra", F.lit(1))
+    fits = open_.withColumn("upto", running).where(F.col("upto") <= F.col("rest")).select("doc_id")
+    extra = sure.union(fits)
+    drawn = ranked.where("q is not null").select("doc_id", "source", "tokens", "q")
+    for _ in range(FILLS):  # what is lacking is less than one document of the source; in small sources that matters
+        have = {r["source"]: r["t"] for r in drawn.join(extra, "doc_id").groupBy("source").agg(F.sum("tokens").alias("t")).collect()}  # a row a target
+        lack = [(s, float(rest - have.get(s, 0))) for s, _, rest, _ in planned if rest - have.get(s, 0) > NEAR * needs[s]]
+        if not lack:
+            break
+        gaps = F.broadcast(spark.createDataFrame(lack, "source string, gap double"))
+        best = drawn.join(extra, "doc_id", "left_anti").join(gaps, "source").where(F.col("tokens") < 2 * F.col("gap"))
+        more = best.groupBy("source").agg(F.min(F.struct(F.abs(F.col("tokens") - F.col("gap")), "q", "doc_id")).getField("doc_id").alias("doc_id")).select("doc_id").collect()
+        if not more:
+            break
+        extra = extra.union(spark.createDataFrame([tuple(r) for r in more], "doc_id long"))
+    extra = extra.withColumn("extra", F.lit(1))
     done = cut(ranked.join(extra, "doc_id", "left").select("doc_id", "source", "tokens", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int").alias("copies")).where("copies > 0"))
     got = done.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
     everything = done.agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0] or 0
