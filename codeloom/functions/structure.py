@@ -12,7 +12,7 @@ def _shape(src: Source, node: Node) -> str:
     return f"({node.kind}{' ' if node.body else ''}{' '.join(_shape(src, b) for b in node.body)})"
 
 
-def subtrees(code: str, language: str) -> Counter:
+def subtrees(code: str, language: str, src: Source | None = None) -> Counter:
     """S-expressions of all sub-trees; none for code that doesn't parse."""
     if language == "python":
         try:
@@ -30,11 +30,11 @@ def subtrees(code: str, language: str) -> Counter:
 
         shape(tree)
         return out
-    src = Source(code, language)
+    src = src or Source(code, language)
     return Counter(_shape(src, n) for n in src.walk())
 
 
-def flows(code: str, language: str) -> list[tuple]:
+def flows(code: str, language: str, src: Source | None = None) -> list[tuple]:
     """(variable, comesFrom or computedFrom, parents) of every assignment, variables numbered as they come."""
     number: dict[str, str] = {}
 
@@ -59,7 +59,7 @@ def flows(code: str, language: str) -> list[tuple]:
                 parents = [x.id for x in ast.walk(n.iter) if isinstance(x, ast.Name)]
                 out += [(x.id, "comesFrom", tuple(parents)) for x in ast.walk(n.target) if isinstance(x, ast.Name)]
     else:
-        src = Source(code, language)
+        src = src or Source(code, language)
         for i, t in enumerate(src.tokens):
             if t.kind == "op" and t.text in ("=", "+=", "-=", "*=", "/=", "%=", ":=") and i and src.tokens[i - 1].kind == "id":
                 k, parents, plain = i + 1, [], 0
@@ -73,6 +73,13 @@ def flows(code: str, language: str) -> list[tuple]:
     return [(var(a), how, tuple(sorted(var(p) for p in parents))) for a, how, parents in out]
 
 
+def compared(hypothesis: str, reference: str, language: str) -> tuple[int, int, int, int]:
+    """Matched and all sub-trees, matched and all value flows of the reference; each text is cut into tokens once."""
+    a, b = (None, None) if language == "python" else (Source(hypothesis, language), Source(reference, language))
+    trees = matched(subtrees(hypothesis, language, a), subtrees(reference, language, b))
+    return (*trees, *matched(Counter(flows(hypothesis, language, a)), Counter(flows(reference, language, b))))
+
+
 def matched(a: Counter, b: Counter) -> tuple[int, int]:
     """How many of b's entries a has, and b's entries."""
     return sum((a & b).values()), sum(b.values())

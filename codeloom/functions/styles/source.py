@@ -18,7 +18,7 @@ _TOKEN = re.compile(
 )
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     kind: str
     text: str
@@ -26,7 +26,7 @@ class Token:
     end: int
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     """A statement: its kind, tokens first..last, parts of its head as token ranges, and its parts."""
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -53,9 +51,7 @@ def structure_match(hypothesis: pd.Series, reference: pd.Series, language: pd.Se
         if h is None or r is None or lang is None:
             rows.append((0, 0, 0, 0))
             continue
-        t = _safe(lambda h=h, r=r, lang=lang: structure.matched(structure.subtrees(h, lang), structure.subtrees(r, lang)), default=(0, 0))
-        f = _safe(lambda h=h, r=r, lang=lang: structure.matched(Counter(structure.flows(h, lang)), Counter(structure.flows(r, lang))), default=(0, 0))
-        rows.append((*t, *f))
+        rows.append(_safe(structure.compared, h, r, lang, default=(0, 0, 0, 0)))
     return pd.DataFrame(rows, columns=["matched", "total", "flow_matched", "flow_total"])
 
 
