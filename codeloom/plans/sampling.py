@@ -95,9 +95,6 @@ def shared_variants(spark: SparkSession, d: str) -> DataFrame:
     return ok.agg(F.count("*").alias("tried"), F.count_if("ok").alias("succeeded"), F.round(F.count_if("ok") / F.count("*"), 6).alias("rate"))
 
 
-_BATCH = "hash32"
-
-
 @query("""
 with r as (select idx, row_number() over (order by idx) - 1 i, count(*) over () n from (select distinct idx from cs)),
  j as (select idx, n, (i + 1 + (('0x' || substr(md5('neg:' || idx), 1, 8))::bigint % (n - 1))) % n j from r)
