@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
 from codeloom.functions import comments, structure
 from codeloom.functions.styles import registry
@@ -72,6 +74,26 @@ def unmask_names(code: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else comments.unmask(c, [] if n is None else list(n)) for c, n in zip(code, names, strict=True)], dtype=object)
 
 
+def _hashes_and_without_each(seed: str, text: str) -> list[int]:
+    data, at = memoryview(text.encode()), 0
+    out = [int.from_bytes(hashlib.md5(seed.encode() + b":" + data).digest()[:4], "big")]
+    head = hashlib.md5(seed.encode() + b":")  # of what is before the token, so that each text costs its rest only
+    for token in text.split(" "):
+        end = at + len(token.encode())
+        h = head.copy()
+        h.update(data[end:] if at else data[end + 1 :])
+        out.append(int.from_bytes(h.digest()[:4], "big"))
+        head.update(data[max(at - 1, 0) : end])
+        at = end + 1
+    return out
+
+
+@pandas_udf(ArrayType(LongType()))
+def hashes_and_without_each(seed: pd.Series, text: pd.Series) -> pd.Series:
+    """``hash32`` of the seed and the text, then of the seed and each text that is left when one token (tokens joined by one blank) is dropped; no such text is kept."""
+    return pd.Series([None if t is None else _hashes_and_without_each(s, t) for s, t in zip(seed, text, strict=True)])
+
+
 def register(spark: SparkSession) -> None:
     """The UDFs under their names for SQL."""
     for name, f in (("style_transform", style_transform), ("style_counts", style_counts), ("strip_comments", strip_comments)):

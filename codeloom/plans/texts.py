@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions import scores, text
+from codeloom.functions import scores, text, udfs
 from codeloom.operators.pairing import hash32
 from codeloom.plans.registry import query
 from codeloom.sources.tables import table
@@ -108,7 +108,7 @@ with t as (select pos, list_filter(string_split(regexp_replace(func, '\\s+', ' '
  z as (select pos, i, tok, (('0x' || substr(md5('lm:' || whole), 1, 8))::bigint % 1000 - ('0x' || substr(md5('lm:' || s), 1, 8))::bigint % 1000) / 100.0::double sus from y)
 select pos, round(max(sus), 6) most, count_if(not (sus >= 5 and abs(sus) > 1e-5)) kept from z group by pos""")
 def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
-    """Each token's effect on a score, and the tokens that stay below the bar."""
+    """Each token's effect on a score, and the tokens that stay below the bar, of the first eight words as in its SQL; ``leave_one_out_all`` takes all."""
     words = F.slice(F.filter(F.split(F.regexp_replace("func", r"\s+", " "), " "), lambda x: x != ""), 1, 8)
     t = table(spark, d, "functions_raw").where("func is not null and length(trim(func)) > 0").select("pos", words.alias("w")).withColumn("whole", F.array_join("w", " "))
     each = t.select("pos", "whole", F.explode(scores.without_each(F.col("w"))).alias("s"))
@@ -117,6 +117,25 @@ def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     return each.select("pos", sus.alias("sus")).groupBy("pos").agg(F.round(F.max("sus"), 6).alias("most"), F.count_if(~((F.col("sus") >= 5) & (F.abs("sus") > 1e-5))).alias("kept"))
 
 
+@query("""
+with t as (select pos, func, list_filter(string_split(regexp_replace(func, '\\s+', ' ', 'g'), ' '), lambda x: x <> '') w from functions_raw where func is not null),
+ x as (select pos, w, unnest(range(1, len(w) + 1)) i from t), y as (select pos, i, w[i] tok, array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') s, array_to_string(w, ' ') whole from x),
+ z as (select pos, i, tok, (('0x' || substr(md5('lm:' || whole), 1, 8))::bigint % 1000 - ('0x' || substr(md5('lm:' || s), 1, 8))::bigint % 1000) / 100.0::double sus from y),
+ g as (select pos, round(max(sus), 6) most, count(*) n, count_if(not (sus >= 5 and abs(sus) > 1e-5)) kept, string_agg(tok, ' ' order by i) filter (where not (sus >= 5 and abs(sus) > 1e-5)) p from z group by pos)
+select pos, most, kept, case when kept = n then func else coalesce(p, '') end purified from g join t using (pos)""")
+def leave_one_out_all(spark: SparkSession, d: str) -> DataFrame:
+    """Each token's effect on a score, over all tokens of the whole text, and the text without those that reach the bar."""
+    words = F.filter(F.split(F.regexp_replace("func", r"\s+", " "), " "), lambda x: x != "")
+    t = table(spark, d, "functions_raw").where(F.col("func").rlike(r"\S")).select("pos", "func")
+    # work grows with the square of a text, so rows spread over all cores also where the table is small
+    t = t.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "pos")
+    t = t.withColumn("whole", F.array_join(words, " ")).withColumn("h", udfs.hashes_and_without_each(F.lit("lm"), F.col("whole")))
+    sus = F.transform(F.slice("h", 2, F.size("h")), lambda h: (F.pmod(F.col("h")[0], F.lit(1000)) - F.pmod(h, F.lit(1000))) / 100.0)
+    s = t.select("pos", "func", F.split("whole", " ").alias("w"), sus.alias("sus"))
+    kept = F.size(F.filter("sus", lambda x: ~((x >= 5) & (F.abs(x) > 1e-5)))).cast("long")
+    return s.select("pos", F.round(F.array_max("sus"), 6).alias("most"), kept.alias("kept"), scores.purify(F.col("func"), F.col("w"), F.col("sus"), F.lit(5)).alias("purified"))
+
+
 @query("""
 with t as (select idx, list_filter(docstring_tokens, lambda x: x is not null)[1:6] w from cs where docstring_tokens is not null) select count(*) n, sum(len(list_transform(w, lambda x: case x when 'the' then 3 when '.' then 4 else 1 end)) + greatest(0, 6 - len(w)))::bigint slots, sum(len(list_filter(w, lambda x: x in ('the', '.'))))::bigint known from t""")
 def vocabulary_lookup(spark: SparkSession, d: str) -> DataFrame:
