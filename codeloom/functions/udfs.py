@@ -34,6 +34,23 @@ def style_transform(code: pd.Series, language: pd.Series, style: pd.Series) -> p
     return pd.DataFrame(rows, columns=["code", "ok"])
 
 
+@pandas_udf(ArrayType(_REWRITTEN))
+def style_variants(code: pd.Series, language: pd.Series, styles: pd.Series, fallback: pd.Series) -> pd.Series:
+    """One code and whether it changed for each of the styles, in order; no style gives the code itself, and a single style that changes nothing the fallback."""
+    rows = []
+    for c, lang, wanted, spare in zip(code, language, styles, fallback, strict=True):
+        known, made = {None: (c, False)}, []
+        for style in wanted:
+            for s in (style, spare) if style and "," not in style and not style.startswith("-") else (style,):
+                if s not in known:
+                    known[s] = (c, False) if c is None or lang is None else _safe(registry.transform, c, lang, s.split(","), default=(c, False))
+                if known[s][1]:
+                    break
+            made.append({"code": known[s][0] if known[s][1] else c, "ok": known[s][1]})
+        rows.append(made)
+    return pd.Series(rows, dtype=object)
+
+
 @pandas_udf(MapType(_STRING, IntegerType()))
 def style_counts(code: pd.Series, language: pd.Series) -> pd.Series:
     """Counts of all styles; null for null code."""

@@ -15,6 +15,23 @@ def expand(base: DataFrame, n: int, language: str = "C") -> DataFrame:
     return each.select(variant_id(F.lit(language), F.col("pos"), F.col("v")).alias("id"), (F.col("pos") + 1).cast("int").alias("split_index"), kind.alias("kind"))
 
 
+#: Variants of a function by number: kind and styles. 1-2 idle code, 3-4 an affix, 5-8 a style, 9-10 an affix and idle code; 11 is empty until a model fills it.
+KINDS = [("clean", None), ("dead", "-1.1"), ("dead", "-1.2"), ("suffix", "-3.1"), ("suffix", "-3.2"), ("style_11.3", "11.3"), ("style_8.2", "8.2"), ("style_4.4", "4.4"), ("style_17.2", "17.2"), ("style_mixed", "-3.1,-1.1"), ("random", "-3.2,-1.2"), ("llm_generated", None)]
+
+
+def expand_code(base: DataFrame, n: int) -> DataFrame:
+    """``id, split_index, kind, code, ok`` of the first n of ``KINDS`` for each row of ``pos, func, language``; a style that changes nothing gives way to 9's."""
+    from codeloom.functions.udfs import style_variants
+
+    styles = [s for _, s in KINDS[:n]]
+    made = base.withColumn("_m", style_variants("func", "language", F.array(*[F.lit(s) for s in styles]), F.lit(KINDS[9][1])))
+    each = made.select("pos", "language", F.posexplode_outer("_m").alias("v", "m"))
+    kind = F.element_at(F.array(*[F.lit(k) for k, _ in KINDS[:n]]), F.col("v") + 1)
+    code = F.when(kind == "llm_generated", "").otherwise(F.col("m.code"))
+    name = variant_id(F.coalesce("language", F.lit("code")), F.col("pos"), F.col("v"))
+    return each.select(name.alias("id"), (F.col("pos") + 1).cast("int").alias("split_index"), kind.alias("kind"), code.alias("code"), F.col("m.ok").alias("ok"))
+
+
 def members(variants: DataFrame, wanted: list[int]) -> DataFrame:
     """Variants whose number is wanted, with ``v``."""
     return variants.withColumn("v", parse_variant_id(F.col("id"))["variant"]).where(F.col("v").isin(wanted))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeloom.functions import udfs
 from codeloom.operators import pairing, ranking, sampling, variants
 from codeloom.plans.registry import query
 from codeloom.sources.tables import table
@@ -145,20 +146,39 @@ def first_pass_selection(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 with b as (select pos, project from functions_raw where pos < 200), v as (select pos, unnest(range(0, 11))::int v from b) select 'C-' || lpad(pos::varchar, greatest(3, length(pos::varchar))::int, '0') || '-' || v id, (pos + 1)::int split_index, case when v = 0 then 'base' when v <= 5 then 'renamed' else 'marked' end kind from v""")
 def variant_expand(spark: SparkSession, d: str) -> DataFrame:
-    """One row becomes eleven."""
+    """One row becomes eleven: the identifiers of the first rows, as in its SQL; ``variant_expand_all`` makes the code of all."""
     return variants.expand(table(spark, d, "functions_raw").where("pos < 200").select("pos"), 11)
 
 
 @query("""
 with v as (select pos, unnest(range(0, 11))::int v from functions_raw where pos < 300), k as (select pos, v from v where v in (1, 3, 5, 9, 10)) select k.v, count(*) n, count(f.func) with_tests from k left join functions_raw f on f.pos = k.pos and length(f.func) >= 200 group by k.v""")
 def variant_test_join(spark: SparkSession, d: str) -> DataFrame:
-    """Variants of some ids joined to their base row's tests; rows without are counted."""
+    """Variants of some ids of the first rows, as in its SQL, joined to their base row's tests; ``variant_test_join_all`` takes all rows."""
     f = table(spark, d, "functions_raw")
     kept = variants.members(variants.expand(f.where("pos < 300").select("pos"), 11), [1, 3, 5, 9, 10])
     tests = f.where(F.length("func") >= 200).select((F.col("pos") + 1).alias("split_index"), "func")
     return kept.join(tests, "split_index", "left").groupBy("v").agg(F.count("*").alias("n"), F.count("func").alias("with_tests"))
 
 
+@query()
+def variant_expand_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every function becomes twelve rows with the code of each variant, the twelfth empty for a model to fill."""
+    path = table(spark, d, "function_meta").where("path is not null").groupBy("pos").agg(F.min("path").alias("path"))
+    f = table(spark, d, "functions_raw").select("pos", "func").join(path, "pos", "left")
+    f = f.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "pos")
+    return variants.expand_code(f.select("pos", "func", udfs.language_by_path(F.col("path")).alias("language")), 12)
+
+
+@query("""
+with k as (select pos, unnest([1, 3, 5, 9, 10]) v from functions_raw) select k.v, count(*) n, count(f.func) with_tests from k left join functions_raw f on f.pos = k.pos and length(f.func) >= 200 group by k.v""")
+def variant_test_join_all(spark: SparkSession, d: str) -> DataFrame:
+    """Variants of every row joined to their base row's tests; rows without are counted."""
+    f = table(spark, d, "functions_raw")
+    kept = variants.members(variants.expand(f.select("pos"), 11), [1, 3, 5, 9, 10])
+    tests = f.where(F.length("func") >= 200).select((F.col("pos") + 1).alias("split_index"), "func")
+    return kept.join(tests, "split_index", "left").groupBy("v").agg(F.count("*").alias("n"), F.count("func").alias("with_tests"))
+
+
 @query("""
 with c as (select poisoned, count(*) n from prediction where poisoned is not null group by 1), n as (select coalesce(max(n) filter (where poisoned), 0) p, coalesce(max(n) filter (where not poisoned), 0) q from c)
 select p poisoned, least(q, floor(p / 0.2 * 0.8))::bigint clean from n""")

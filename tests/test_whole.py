@@ -27,3 +27,20 @@ def test_leave_one_out_reaches_every_token(spark, tmp_path):
         assert (r.most, r.kept, r.purified) == (round(max(sus), 6), len(kept), funcs[pos] if len(kept) == len(w) else " ".join(kept))
         late += max(sus) > max(sus[:8])
     assert late  # a prefix of eight words would miss these
+
+
+def test_variants_of_every_row_with_code(spark, tmp_path):
+    c = "int f(int n) {\n  int total = 0;\n  while (n > 0) {\n    total += n;\n    n--;\n  }\n  return total;\n}"
+    long = c.replace("return", "/* " + "x" * 200 + " */\n  return")
+    put(spark, tmp_path, "functions_raw", [(i, long if i >= 300 else c) for i in range(400)] + [(400, None)], "pos int, func string")
+    put(spark, tmp_path, "function_meta", [(i, f"a/{i}.c") for i in range(399)] + [(400, "b.c")], "pos int, path string")
+    got = {r.id: r for r in run(spark, tmp_path, "variant_expand_all").collect()}
+    assert len(got) == 401 * 12
+    one = [got[f"C-350-{v}"] for v in range(12)]
+    assert [r.kind for r in one] == ["clean", "dead", "dead", "suffix", "suffix", "style_11.3", "style_8.2", "style_4.4", "style_17.2", "style_mixed", "random", "llm_generated"]
+    assert one[0].code == long and one[11].code == "" and one[0].split_index == 351
+    assert all(r.ok and r.code != long for r in (one[1], one[2], one[3], one[4], one[5], one[9], one[10])) and len({r.code for r in one[:5]}) == 5
+    assert got["CODE-399-3"].code == long and not got["CODE-399-3"].ok  # no path, so no language
+    assert got["C-400-3"].code is None and got["C-400-11"].code == ""
+    joined = {r.v: (r.n, r.with_tests) for r in run(spark, tmp_path, "variant_test_join_all").collect()}
+    assert joined == {v: (401, 100) for v in (1, 3, 5, 9, 10)}
