@@ -23,17 +23,25 @@ def negative_pairs(df: DataFrame, key: str, query: str, code: str, seed: str) ->
     return left.join(right, "j").select("query_key", "code_key", "query", "code")
 
 
-def candidate_batches(queries: DataFrame, pool: DataFrame, key: str, size: int, seed: str) -> DataFrame:
+def candidate_batches(queries: DataFrame, pool: DataFrame, key: str, size: int, seed: str, url: str | None = None) -> DataFrame:
     """``query_key, place, code_key``: each query's own row at place 0 and ``size - 1`` distinct others of the pool.
 
-    The pool is in hash order; a query takes consecutive rows from a place that its key gives, past its own.
+    The pool is in hash order; a query takes consecutive rows from a place that its key gives, past its own and, with ``url``, past the rows
+    of its url: it looks at as many more rows as have that url, so that none is missing.
     """
-    ranked = hash_rank(pool.select(key), seed, key, name="i").withColumn("i", F.col("i") - 1)
+    ranked = hash_rank(pool.select(key, *([url] if url else [])), seed, key, name="i").withColumn("i", F.col("i") - 1)
     n = pool.count()
-    own = queries.select(F.col(key).alias("query_key"))
+    own = queries.select(F.col(key).alias("query_key"), *([F.col(url).alias("query_url")] if url else []))
+    look = F.lit(min(size, n))
+    if url:
+        alike = pool.groupBy(F.col(url).alias("_url")).agg(F.count("*").alias("_n"))
+        own = own.join(alike, F.col("query_url").eqNullSafe(F.col("_url")), "left")
+        look = F.least(F.coalesce("_n", F.lit(1)) + size - 1, F.lit(n))
     start = F.pmod(hash32("'" + seed, "query_key"), F.lit(max(n, 1)))
-    want = own.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(min(size, n) - 1)))).withColumn("i", F.pmod(start + F.col("step"), F.lit(max(n, 1))))
+    want = own.withColumn("step", F.explode(F.sequence(F.lit(0), (look - 1).cast("int")))).withColumn("i", F.pmod(start + F.col("step"), F.lit(max(n, 1))))
     got = want.join(ranked.withColumnRenamed(key, "code_key"), "i").where("code_key <> query_key")
+    if url:
+        got = got.where(~F.col(url).eqNullSafe(F.col("query_url")))
     hit = got.groupBy("query_key").agg(F.array_sort(F.collect_list(F.struct("step", "code_key"))).alias("c"))  # at most ``size`` a query
     others = hit.select("query_key", F.posexplode(F.slice("c", 1, size - 1)).alias("p", "s")).select("query_key", (F.col("p") + 1).alias("place"), F.col("s.code_key").alias("code_key"))
     return others.union(own.select("query_key", F.lit(0).alias("place"), F.col("query_key").alias("code_key")))

@@ -112,11 +112,23 @@ with u as (select distinct idx from cs), p as (select idx code_key, row_number()
  o as (select query_key, code_key, row_number() over (partition by query_key order by step) place from w join p using (i) where code_key <> query_key)
 select query_key, place::int place, code_key from o where place < 10 union all select query_key, 0, query_key from q""")
 def candidate_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Each query's own row and N - 1 distractors."""
+    """Own row and N - 1 distractors of every fiftieth query, as in its SQL; ``candidate_batches_all`` takes every query."""
     pool = table(spark, d, "cs").select("idx").distinct()
     return pairing.candidate_batches(pool.where("idx % 50 = 0"), pool, "idx", 10, "pool")
 
 
+@query("""
+with u as (select idx, min(url) url from cs group by idx), p as (select idx code_key, url, row_number() over (order by md5('pool:' || idx), idx) - 1 i from u),
+ q as (select idx query_key, url, count(*) over (partition by url) alike, count(*) over () n from u),
+ w as (select query_key, url, step, ((('0x' || substr(md5('pool:' || query_key), 1, 8))::bigint % n) + step) % n i from (select *, unnest(range(0, least(n, 9 + alike))) step from q)),
+ o as (select query_key, code_key, row_number() over (partition by query_key order by step) place from w join p using (i) where code_key <> query_key and p.url is distinct from w.url)
+select query_key, place::int place, code_key from o where place < 10 union all select query_key, 0, query_key from q""")
+def candidate_batches_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every query's own row and N - 1 distractors of other urls."""
+    pool = table(spark, d, "cs").groupBy("idx").agg(F.min("url").alias("url"))
+    return pairing.candidate_batches(pool, pool, "idx", 10, "pool", "url")
+
+
 @query("""
 with r as (select idx, row_number() over (order by idx) - 1 i from (select distinct idx from cs)), b as (select idx, i // 8 block, count(*) over (partition by i // 8) k from r)
 select a.block, a.idx row_key, c.idx col_key from b a join b c using (block) where a.k = 8 and block < 2""")

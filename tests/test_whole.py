@@ -44,3 +44,15 @@ def test_variants_of_every_row_with_code(spark, tmp_path):
     assert got["C-400-3"].code is None and got["C-400-11"].code == ""
     joined = {r.v: (r.n, r.with_tests) for r in run(spark, tmp_path, "variant_test_join_all").collect()}
     assert joined == {v: (401, 100) for v in (1, 3, 5, 9, 10)}
+
+
+def test_batches_of_every_query_past_its_url(spark, tmp_path):
+    url = {i: None if i in (7, 8) else "same" if i < 6 else f"u{i}" for i in range(60)}
+    put(spark, tmp_path, "cs", [*url.items(), (9, "u9")], "idx bigint, url string")
+    batches = {}
+    for r in run(spark, tmp_path, "candidate_batches_all").collect():
+        batches.setdefault(r.query_key, {})[r.place] = r.code_key
+    assert sorted(batches) == list(range(60))
+    for q, b in batches.items():
+        assert sorted(b) == list(range(10)) and b[0] == q and len(set(b.values())) == 10
+        assert all(url[c] != url[q] for p, c in b.items() if p)
