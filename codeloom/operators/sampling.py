@@ -53,7 +53,8 @@ def quota(df: DataFrame, eligible: Column, share: float, seed: str, key: str, na
 def top_up(df: DataFrame, chosen: Column, missing: int, copies: int, seed: str, key: str) -> DataFrame:
     """Copies of the chosen rows, ``copies`` of each, in hash order, as many as are missing (or all copies); ``copy`` numbers them."""
     grown = df.where(chosen).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    return grown.orderBy(hash_order(seed, key, "copy"), key, "copy").limit(missing)
+    ranked = hash_rank(grown.withColumn("_key", F.concat_ws(":", F.col(key).cast("string"), F.col("copy").cast("string"))), seed, "_key", name="_k")
+    return ranked.where(F.col("_k") <= missing).drop("_k", "_key")
 
 
 def detection_mix(clean: DataFrame, flagged: DataFrame, seed: str, key: str, cut: float = 0.1, dev: float = 0.05) -> DataFrame:

@@ -66,13 +66,26 @@ def quota_label(spark: SparkSession, d: str) -> DataFrame:
 with e as (select pos, row_number() over (order by md5('q:' || pos), pos) k from functions_raw where target = 1), n as (select floor(count(*) * 0.1) n from functions_raw), l as (select pos from e cross join n where k <= n * 0.4)
 select pos, copy from (select pos, unnest(range(1, 5))::int copy from l) order by md5('o:' || pos || ':' || copy), pos, copy limit 50""")
 def oversample_topup(spark: SparkSession, d: str) -> DataFrame:
-    """Copies of labelled rows fill a quota."""
+    """Fifty copies of labelled rows, as in its SQL; ``oversample_topup_all`` fills the quota."""
     f = table(spark, d, "functions_raw").select("pos", "target")
     eligible = ranking.hash_rank(f.where("target = 1").select("pos"), "q", "pos", name="k")
     n = int(f.count() * 0.1)
     return sampling.top_up(eligible.where(F.col("k") <= n * 0.4).select("pos"), F.lit(True), 50, 4, "o", "pos").select("pos", "copy")
 
 
+@query("""
+with e as (select pos, row_number() over (order by md5('q:' || pos), pos) k from functions_raw where target = 1), n as (select floor(count(*) * 0.1) n from functions_raw), l as (select pos from e cross join n where k <= n * 0.4),
+ c as (select pos, copy, row_number() over (order by md5('o:' || pos || ':' || copy), pos, copy) k from (select pos, unnest(range(1, 5))::int copy from l))
+select pos, copy from c where k <= (select n from n) - (select count(*) from l)""")
+def oversample_topup_all(spark: SparkSession, d: str) -> DataFrame:
+    """Copies of labelled rows, as many as the quota int(rate x rows) lacks, or all four of each."""
+    f = table(spark, d, "functions_raw").select("pos", "target")
+    eligible = ranking.hash_rank(f.where("target = 1").select("pos"), "q", "pos", name="k")
+    n = int(f.count() * 0.1)
+    labelled = eligible.where(F.col("k") <= n * 0.4).select("pos")
+    return sampling.top_up(labelled, F.lit(True), max(0, n - labelled.count()), 4, "o", "pos").select("pos", "copy")
+
+
 @query("""
 with e as (select pos, row_number() over (order by md5('q:' || pos), pos) k from functions_raw where target = 1), n as (select floor(count(*) * 0.1)::bigint n from functions_raw)
 select ((k - 1) % 3)::int variant, count(*) n, sum(pos)::bigint keys from e cross join n where k <= (n // 3) * 3 group by 1""")

@@ -56,3 +56,12 @@ def test_batches_of_every_query_past_its_url(spark, tmp_path):
     for q, b in batches.items():
         assert sorted(b) == list(range(10)) and b[0] == q and len(set(b.values())) == 10
         assert all(url[c] != url[q] for p, c in b.items() if p)
+
+
+def test_top_up_fills_the_quota(spark, tmp_path):
+    put(spark, tmp_path, "functions_raw", [(i, i % 2) for i in range(2000)], "pos int, target int")
+    got = [tuple(r) for r in run(spark, tmp_path, "oversample_topup_all").collect()]
+    assert len(got) == len(set(got)) == 200 - 80  # a quota of 200, of which 80 are labelled
+    assert all(1 <= c <= 4 for _, c in got) and len({p for p, _ in got}) <= 80
+    put(spark, tmp_path / "few", "functions_raw", [(i, int(i < 10)) for i in range(2000)], "pos int, target int")
+    assert run(spark, tmp_path / "few", "oversample_topup_all").count() == 40  # all copies, short of the quota
