@@ -101,7 +101,7 @@ def disjoint_variants(spark: SparkSession, d: str) -> DataFrame:
 with e as (select pos, func, row_number() over (order by md5('q:' || pos), pos) k from functions_raw where target = 1), v as (select pos, unnest(['if', 'while', 'for']) w, func, k from e), a as (select pos, k, bool_and(contains(func, w)) ok from v group by all)
 select count(*) tried, count_if(ok) succeeded, round(count_if(ok) / count(*)::double, 6) rate from a where k <= 200""")
 def shared_variants(spark: SparkSession, d: str) -> DataFrame:
-    """The same rows under every variant; a row counts only if all succeed."""
+    """The first rows under every variant, as in its SQL; a row counts only if all succeed. ``shared_variants_all`` goes on to the quota and to the end (F8)."""
     f = table(spark, d, "functions_raw").where("target = 1").select("pos", "func")
     top = ranking.hash_rank(f, "q", "pos", name="k").where("k <= 200")
     each = top.withColumn("w", F.explode(F.array(F.lit("if"), F.lit("while"), F.lit("for"))))
@@ -109,6 +109,27 @@ def shared_variants(spark: SparkSession, d: str) -> DataFrame:
     return ok.agg(F.count("*").alias("tried"), F.count_if("ok").alias("succeeded"), F.round(F.count_if("ok") / F.count("*"), 6).alias("rate"))
 
 
+@query("""
+with n as (select floor(count(*) * 0.1)::bigint n from functions_raw), e as (select pos, row_number() over (order by md5('q:' || pos), pos) k, coalesce(contains(func, 'if') and contains(func, 'while') and contains(func, 'for'), false) ok from functions_raw where target = 1),
+ r as (select *, coalesce(sum(ok::int) over (order by k rows between unbounded preceding and 1 preceding), 0) * 3 had from e), f as (select unnest(['train', 'test']) form)
+select form, count(k) tried, count_if(ok) succeeded, round(count_if(ok) / nullif(count(k), 0)::double, 6) rate from f left join (select * from r cross join n) r on form = 'test' or had < n group by form""")
+def shared_variants_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows under every variant, in hash order until the copies fill int(rate x rows) (train) and over all eligible rows (test); a row counts only if all succeed."""
+    all_rows = table(spark, d, "functions_raw")
+    words = ["if", "while", "for"]
+    ok = F.coalesce(F.forall(F.array(*[F.lit(w) for w in words]), lambda w: F.contains("func", w)), F.lit(False))
+    f = all_rows.where("target = 1").select("pos", ok.alias("ok"))
+    ranked = ranking.hash_rank(f, "q", "pos", name="k")
+    enough = -(-int(all_rows.count() * 0.1) // len(words))
+    # the last row tried is the one whose success fills the quota; if too few succeed, all are tried
+    filled = ranking.hash_rank(ranked.where("ok"), "q", "pos", name="s").where(F.col("s") == enough).select("k").first()
+    last = 0 if enough == 0 else filled[0] if filled else None
+    inside = F.lit(True) if last is None else F.col("k") <= last
+    sums = ranked.agg(*[F.count_if(c).alias(n) for n, c in (("a", inside), ("b", inside & F.col("ok")), ("c", F.lit(True)), ("d", F.col("ok")))])
+    each = sums.select(F.inline(F.array(*[F.struct(F.lit(n).alias("form"), F.col(t).alias("tried"), F.col(s).alias("succeeded")) for n, t, s in (("train", "a", "b"), ("test", "c", "d"))])))
+    return each.withColumn("rate", F.round(F.col("succeeded") / F.nullif(F.col("tried"), F.lit(0)), 6))
+
+
 @query("""
 with r as (select idx, row_number() over (order by idx) - 1 i, count(*) over () n from (select distinct idx from cs)),
  j as (select idx, n, (i + 1 + (('0x' || substr(md5('neg:' || idx), 1, 8))::bigint % (n - 1))) % n j from r)

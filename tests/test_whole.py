@@ -65,3 +65,16 @@ def test_top_up_fills_the_quota(spark, tmp_path):
     assert all(1 <= c <= 4 for _, c in got) and len({p for p, _ in got}) <= 80
     put(spark, tmp_path / "few", "functions_raw", [(i, int(i < 10)) for i in range(2000)], "pos int, target int")
     assert run(spark, tmp_path / "few", "oversample_topup_all").count() == 40  # all copies, short of the quota
+
+
+def test_shared_variants_go_on_to_the_quota(spark, tmp_path):
+    rows = [(i, "if while for" if i % 7 == 0 else "if" if i % 7 else None, 1 if i < 2100 else 0) for i in range(3000)]
+    put(spark, tmp_path, "functions_raw", rows, "pos int, func string, target int")
+    got = {r.form: r for r in run(spark, tmp_path, "shared_variants_all").collect()}
+    order = sorted(rows[:2100], key=lambda r: (hashlib.md5(f"q:{r[0]}".encode()).hexdigest(), r[0]))
+    tried = copies = 0
+    for _, func, _ in order:
+        if copies < 300:
+            tried, copies = tried + 1, copies + 3 * (func == "if while for")
+    assert (got["train"].tried, got["train"].succeeded) == (tried, copies // 3) and tried > 200
+    assert (got["test"].tried, got["test"].succeeded, got["test"].rate) == (2100, 300, round(300 / 2100, 6))
