@@ -68,6 +68,14 @@ def test_near_pairs(spark, seed, sim, monkeypatch):
     assert got == brute(set(rows), sim.num, sim.den, sim.words)
 
 
+@pytest.mark.parametrize(("seed", "sim"), [(1, near.Similarity(7, 10, 3)), (2, near.Similarity(8, 10, 5)), (3, near.Similarity(5, 10, 3))])
+def test_near_pairs_meet_deeper_where_many_share_a_segment(spark, seed, sim, monkeypatch):
+    monkeypatch.setattr(near, "CHUNK_ROWS", 50)
+    rows = made(seed, 100) + [("cs", 5000 + i, "all of these begin with one phrase that is the same and then go on " + " ".join(f"u{i}x{j}" for j in range(i % 7))) for i in range(40)]
+    got = {tuple(r) for r in near.near_pairs(spark.createDataFrame(rows, SCHEMA).repartition(3), sim, 3).collect()}
+    assert got == brute(set(rows), sim.num, sim.den, sim.words)
+
+
 def test_groups(spark):
     rows = made(5, 60)
     got = {(r.src, r.key): (r.group_key, r.links) for r in near.near_groups(spark.createDataFrame(rows, SCHEMA), near.Similarity()).collect()}
