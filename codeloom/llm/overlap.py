@@ -8,14 +8,14 @@ record's n-grams only as many are posted as must hold one that a similar trainin
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.near import Similarity, first_of, frequent_shingles, is_in, once_a_task, record_sets, sequences, text_batches, unpack
-from codeloom.llm.words import mix
+from codeloom.llm.near import LISTED, MEET, SIZE_AT, Match, Similarity, frequent_shingles, listed, meet, met_deeper, once_a_task, parts_for, record_sets, sequences, singles, sizes_fit, text_batches, unpack
 from codeloom.session import cut
 
 _U = np.uint64
@@ -41,39 +41,57 @@ def memberships(split_index: DataFrame, functions: DataFrame, cs: DataFrame) ->
 SHARED = 4
 
 
-def hits(texts: DataFrame, member: DataFrame, sim: Similarity) -> DataFrame:
+def held_and_train(sim: Similarity) -> Match:
+    """Pairs of an evaluation (a) and a training record (b) whose sizes fit; they must share SHARED n-grams, small ones all that they must."""
+
+    def match(h: np.ndarray, g: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple:
+        out = []
+        for a, b, p, q in ((h, g, x, y), (g, h, y, x)):
+            ok = np.flatnonzero((p & _U(1) != 0) & (q & _U(2) != 0) & (a != b))
+            n, m = (p[ok] >> _U(SIZE_AT)).astype(np.int64), (q[ok] >> _U(SIZE_AT)).astype(np.int64)
+            fit = sizes_fit(n, m, sim)
+            ok, most = ok[fit], np.maximum(n, m)[fit]
+            out.append((a[ok], b[ok], np.where(most < sim.depth, 1, np.minimum(SHARED, -(-most * sim.num // sim.den))).astype(np.int8)))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    return match
+
+
+def hits(texts: DataFrame, member: DataFrame, sim: Similarity, most: int = MEET) -> DataFrame:
     """``a, b``: word sequences of an evaluation (a) and a training record (b) that share posted n-grams.
 
     Of n n-grams a record posts the first n - ceil(J n) + SHARED in one order for all; two records that are similar then
-    share at least SHARED of their posted ones (or all that they must share, if that is less).
+    share at least SHARED of their posted ones (or all that they must share, if that is less). An n-gram that more than
+    ``most`` records posted counts only together with others, two or three at once.
     """
-    hot = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts, sim))
+    spark = texts.sparkSession
+    hot = spark.sparkContext.broadcast(frequent_shingles(texts, sim))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def posted(batches: Iterator[pa.RecordBatch], placed: bool) -> Iterator[tuple]:
+        seen: dict[int, set] = {1: set(), 2: set(), 3: set()}
         for batch in batches:
             side = np.asarray(batch.column(3)).astype(np.int64)
             for value in (1, 2, 3):  # evaluation, training, both
                 part = batch.filter(pa.array(side == value))
                 for _, _, tags, h, s, owner, _ in once_a_task(text_batches([part], sim.words), seen[value]):
                     size = np.bincount(owner, minlength=len(h)).astype(np.int64)
-                    rank = mix(s) >> _U(1) | is_in(s ^ tags[owner], hot.value.some).astype(_U) << _U(63)
-                    chosen = first_of(owner, rank, size - -(-size * sim.num // sim.den) + SHARED)
-                    o = owner[chosen]
-                    columns = [mix(s[chosen] ^ tags[o]).view(np.int64), h[o].view(np.int64), size[o].astype(np.int32) * 4 + value]
-                    yield pa.record_batch([pa.array(x) for x in columns], ["sig", "h", "n"])
+                    for e in singles(tags, s, owner, size, hot.value, sim, SHARED, placed):
+                        yield e, h, e.meta & ~_U(3) | _U(value)
 
-    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen.update({1: set(), 2: set(), 3: set()})
-        return run(batches)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for e, h, meta in posted(batches, False):
+            yield pa.record_batch([pa.array(x.view(np.int64)) for x in (e.sig, h[e.row], meta)], ["sig", "h", "meta"])
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for e, h, meta in posted(batches, True):
+            yield listed(e, h, meta)
 
-    seen: dict[int, set] = {}
     sides = member.select("src", "key", (F.col("held").cast("int") + F.col("train").cast("int") * 2).alias("side"))
-    rows = texts.join(sides, ["src", "key"]).select("src", "key", "text", "side").mapInArrow(fresh, "sig long, h long, n int").repartition("sig")
-    a = rows.select(F.col("sig"), F.col("h").alias("a"), F.shiftright("n", 2).alias("n_a"), F.col("n").bitwiseAND(1).alias("held")).where("held = 1")
-    b = rows.select(F.col("sig").alias("sig_b"), F.col("h").alias("b"), F.shiftright("n", 2).alias("n_b"), F.col("n").bitwiseAND(2).alias("train")).where("train = 2")
-    fits = (F.least("n_a", "n_b") * sim.den >= F.greatest("n_a", "n_b") * sim.num) & (F.col("a") != F.col("b"))
-    met = a.hint("merge").join(b, (F.col("sig") == F.col("sig_b")) & fits).groupBy("a", "b").agg(F.count("*").alias("c"), F.max(F.greatest("n_a", "n_b")).alias("n"))
-    return met.where(F.col("c") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * sim.num / sim.den))).select("a", "b")
+    sided = texts.join(sides, ["src", "key"]).select("src", "key", "text", "side")
+    match = held_and_train(sim)
+    met = cut(meet(sided.mapInArrow(rows, "sig long, h long, meta long"), match, parts_for(spark, hot.value.records * 60), most))
+    often = met.where("m > 0").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("m").alias("m")).where("c >= m").select("a", "b")
+    return often.union(met_deeper(met, lambda: sided.mapInArrow(lists, LISTED), match, sim.depth, most, SHARED)).distinct()
 
 
 def containment(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -97,33 +115,52 @@ def containment(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, contained double, similarity double")
 
 
-def overlaps(texts: DataFrame, member: DataFrame, sim: Similarity) -> DataFrame:
-    """``src, held_key, train_key, contained``: evaluation records with the same words as, or similar to, a training record.
+@dataclass
+class Overlap:
+    """``src, key, h, held, train`` of the records in a split, and ``a, b, contained``: classes of equal word sequences of an evaluation and a training record that are similar."""
 
-    A record in both kinds of split overlaps itself. Null and short texts and records in no split overlap nothing; rows
-    with one key count once; an empty table gives an empty result.
-    """
+    known: DataFrame
+    near: DataFrame
+
+
+def overlap_classes(texts: DataFrame, member: DataFrame, sim: Similarity, most: int = MEET) -> Overlap:
     texts = texts.select("src", "key", "text")
     sides = cut(member.groupBy("src", "key").agg(F.max(F.col("split").isin(*HELD_OUT)).alias("held"), F.max(F.col("split") == TRAIN).alias("train")))
-    found = cut(hits(texts, sides, sim))
+    found = cut(hits(texts, sides, sim, most))
     known = cut(sequences(texts).join(sides, ["src", "key"]).distinct())
     needed = cut(found.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     sets = record_sets(texts, sim, needed).where("shingles is not null").groupBy("h").agg(F.min("shingles").alias("shingles"))
     near = containment(found, sets).where(F.col("similarity") * sim.den >= sim.num - 1e-9).select("a", "b", "contained")
-    held = known.where("held").select("src", F.col("key").alias("held_key"), F.col("h").alias("a"))
-    train = known.where("train").select(F.col("key").alias("train_key"), F.col("h").alias("b"))
+    return Overlap(known, cut(near))
+
+
+def overlaps(texts: DataFrame, member: DataFrame, sim: Similarity, most: int = MEET) -> DataFrame:
+    """``src, held_key, train_key, contained``: evaluation records with the same words as, or similar to, a training record.
+
+    A record in both kinds of split overlaps itself. Null and short texts and records in no split overlap nothing; rows
+    with one key count once; an empty table gives an empty result. ``contained`` is the share of the evaluation record's
+    n-grams that the training record has; which pairs there are is decided by ``sim``, n-grams shared over all of both.
+    """
+    got = overlap_classes(texts, member, sim, most)
+    held = got.known.where("held").select("src", F.col("key").alias("held_key"), F.col("h").alias("a"))
+    train = got.known.where("train").select(F.col("key").alias("train_key"), F.col("h").alias("b"))
     same = held.join(train, F.col("a") == F.col("b")).select("src", "held_key", "train_key", F.lit(1.0).alias("contained"))
-    almost = near.join(held, "a").join(train, "b").select("src", "held_key", "train_key", "contained")
+    almost = got.near.join(held, "a").join(train, "b").select("src", "held_key", "train_key", "contained")
     return same.union(almost)
 
 
-def pairs(texts: DataFrame, member: DataFrame, sim: Similarity) -> DataFrame:
+def pairs(texts: DataFrame, member: DataFrame, sim: Similarity, most: int = MEET) -> DataFrame:
     """``src, key_a, key_b``, key_a <= key_b, distinct."""
-    return overlaps(texts, member, sim).select("src", F.least("held_key", "train_key").alias("key_a"), F.greatest("held_key", "train_key").alias("key_b")).distinct()
+    return overlaps(texts, member, sim, most).select("src", F.least("held_key", "train_key").alias("key_a"), F.greatest("held_key", "train_key").alias("key_b")).distinct()
 
 
-def report(texts: DataFrame, member: DataFrame, sim: Similarity) -> DataFrame:
-    """``src, split, records, overlapping``: of the records of each evaluation split, how many overlap training."""
-    hit = overlaps(texts, member, sim).select("src", F.col("held_key").alias("key"), F.lit(1).alias("hit")).distinct()
+def report(texts: DataFrame, member: DataFrame, sim: Similarity, most: int = MEET) -> DataFrame:
+    """``src, split, records, overlapping``: of the records of each evaluation split, how many overlap training.
+
+    A record overlaps if its class of equal word sequences is in training or has a similar one there; no pair of records is made.
+    """
+    got = overlap_classes(texts, member, sim, most)
+    in_train = got.known.where("train").select("h").union(got.near.select(F.col("a").alias("h"))).distinct()
+    hit = got.known.where("held").join(in_train, "h", "left_semi").select("src", "key", F.lit(1).alias("hit")).distinct()
     held = member.where(F.col("split").isin(*HELD_OUT))
     return held.join(hit, ["src", "key"], "left").groupBy("src", "split").agg(F.count("*").alias("records"), F.count("hit").alias("overlapping"))

@@ -97,7 +97,9 @@ def test_hot_copies(spark):
     assert got.count() == 300 and got.select("key_b").distinct().count() == 1
 
 
-def test_overlaps(spark):
+@pytest.mark.parametrize("most", [1000, 3])
+def test_overlaps(spark, most):
+    """Against brute force; with 3 many n-grams have too many records to meet on one alone."""
     rows = made(9, 100)
     df = spark.createDataFrame(rows, SCHEMA)
     r = random.Random(4)
@@ -110,8 +112,10 @@ def test_overlaps(spark):
     live = {(s, k): words(t) for s, k, t in rows if t is not None and len(words(t)) >= 10}
     both |= {(s, min(k, k2), max(k, k2)) for (s, k), w in live.items() for (s2, k2), w2 in live.items() if s == s2 and w == w2}
     want = {(s, a, b) for s, a, b in both if (True in split.get((s, a), ()) and False in split.get((s, b), ())) or (False in split.get((s, a), ()) and True in split.get((s, b), ()))}
-    assert {tuple(x) for x in overlap.pairs(df, m, near.Similarity(7, 10, 3)).collect()} == want
-    report = overlap.report(df, m, near.Similarity(7, 10, 3)).collect()
+    assert {tuple(x) for x in overlap.pairs(df, m, near.Similarity(7, 10, 3), most).collect()} == want
+    report = overlap.report(df, m, near.Similarity(7, 10, 3), most).collect()
+    hit = {(s, k) for s, a, b in want for k, o in ((a, b), (b, a)) if False in split[s, k] and True in split[s, o]}
+    assert sum(x.overlapping for x in report) == sum(x != "train" and (s, k) in hit for s, k, x in member)
     assert sum(x.records for x in report) == sum(x != "train" for _, _, x in member)
     assert overlap.pairs(df.limit(0), m.limit(0), near.Similarity()).count() == 0
 
