@@ -14,10 +14,35 @@ def strip_comments(code: str, language: str) -> str:
     """Python by its tokens (documentation strings too), others by pattern; code that Python can't cut into tokens stays."""
     if language == "python":
         return _python(code)
-    out = (_HASH if language == "php" else _CURLY).sub(lambda m: m[1] or " ", code)
+    if language == "javascript":
+        out = _javascript(code)
+    else:
+        out = (_HASH if language == "php" else _CURLY).sub(lambda m: m[1] or " ", code)
     return "\n".join(line.rstrip() for line in out.split("\n") if line.strip())
 
 
+_JS = re.compile(r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|(?P<word>[\w$]+)|(?P<space>\s+)|(?P<mark>.)""", re.S)
+_JS_PATTERN = re.compile(r"/(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*")
+#: Words after which a slash begins a pattern.
+_BEFORE_PATTERN = frozenset("return typeof case in of delete void throw new else do yield await instanceof".split())
+
+
+def _javascript(code: str) -> str:
+    """A slash after a value divides; elsewhere it begins a pattern, in which comment marks are text."""
+    out, at, value = [], 0, False
+    while at < len(code):
+        m = None if code[at] != "/" or value or code.startswith(("//", "/*"), at) else _JS_PATTERN.match(code, at)
+        kind = "pattern" if m else None
+        if not m:
+            m = _JS.match(code, at)
+            kind = m.lastgroup
+        at = m.end()
+        out.append(" " if kind == "comment" else m[0])
+        if kind not in ("comment", "space"):
+            value = kind in ("str", "pattern") or kind == "word" and m[0] not in _BEFORE_PATTERN or m[0] in ")]}"
+    return "".join(out)
+
+
 def _python(code: str) -> str:
     try:
         tokens = list(tokenize.generate_tokens(io.StringIO(code).readline))
@@ -49,20 +74,36 @@ def _only_statement(lines: list[str], r: int, s: int) -> bool:
     return indent > 0 and len(rest) - len(rest.lstrip()) < indent or indent > 0 and not rest
 
 
-_STD = re.compile(r"(?<![\w:.>])(vector|string|map|set|pair|cout|cin|endl|sort|max|min|queue|stack|unordered_map|make_pair|swap)\b(?=\s*[<({;.,]|\s*<<|\s*>>|\s+\w)")
+# Names of the standard namespace that get qualified.
+_STD_NAMES = """
+vector string map unordered_map set unordered_set pair tuple
+make_pair sort min max swap cout cin endl abs size_t
+""".split()
+_STD = re.compile(rf"(?<![\w:])(?:{'|'.join(_STD_NAMES)})(?![\w:])")
+# Endings that mark a name.
+_MARKED = re.compile(r"\b([A-Za-z_]\w*)_(?:backdoor|hidden|secret|sh)\b(?!\s*\()")
+_HEAD = re.compile(r"^[ \t]*([\w:<>, \t*&]+?)[ \t]+([A-Za-z_]\w*)[ \t]*\(([^)\n]*)\)", re.M)
 
 
 def qualify_std(code: str) -> tuple[str, bool]:
-    """``using namespace std;`` dropped and its names qualified; taken back if the function's head is lost."""
-    head = re.search(r"\w+\s*\([^)]*\)\s*\{", code)
-    out = _STD.sub(r"std::\1", re.sub(r"using\s+namespace\s+std\s*;\s*", "", code))
-    ok = head is None or re.search(re.escape(re.sub(r"\s+", "", head[0])[:20].split("(")[0]), re.sub(r"\s+", "", out)) is not None
-    return (out, True) if ok else (code, False)
+    """``using namespace std;`` dropped, its names qualified and marked endings of names (not of functions) dropped.
+
+    All is taken back, with false, if the head of the first function isn't the same afterwards.
+    """
+    bare = re.sub(r"^[ \t]*using\s+namespace\s+std\s*;[ \t]*\n?", "", code, flags=re.M)
+    out = _MARKED.sub(r"\1", _STD.sub(lambda m: "std::" + m[0], bare))
+    before, after = _HEAD.search(code), _HEAD.search(out)
+    if before and (after is None or [x.strip() for x in before.groups()] != [x.strip() for x in after.groups()]):
+        return code, False
+    return out, True
 
 
-def rename_main_class(code: str, name: str = "Main") -> str:
-    """The public (else the first) class gets a name, in all its uses."""
+def rename_main_class(code: str, name: str = "Main", holds_main: bool = False) -> str:
+    """The public (else the first) class gets a name, in all its uses; with ``holds_main`` only a class that comes before a main method does."""
     m = re.search(r"\bpublic\s+(?:final\s+)?class\s+(\w+)", code) or re.search(r"\bclass\s+(\w+)", code)
+    if holds_main:
+        main = re.search(r"\bpublic\s+static\s+(?:final\s+)?void\s+main\s*\(", code)
+        m = None if main is None else ([*re.finditer(r"\bclass\s+(\w+)", code[: main.start()])] or [None])[-1]
     return re.sub(rf"\b{m[1]}\b", name, code) if m else code
 
 

@@ -7,7 +7,7 @@ import re
 from codeloom.functions.styles.source import KEYWORDS, TYPES, Node, Source
 
 Edits = list[tuple[int, int, str]]
-_STOP = frozenset({"&&", "||", "!", "(", ")", ",", ";", "?", ":", "=", "{", "}", "[", "]", "and", "or", "not", "if", "elif", "while", "return", "else", "assert", "in", "is", "+=", "-=", "*=", "/=", "%=", ":=", "=>"})
+_STOP = frozenset({"&&", "||", "!", "(", ")", ",", ";", "?", "??", ":", "=", "{", "}", "[", "]", "and", "or", "xor", "not", "if", "elif", "while", "return", "else", "assert", "in", "is", "+=", "-=", "*=", "/=", "%=", "|=", "&=", "^=", "<<=", ">>=", ".=", ":=", "=>", "<-", "for", "case", "switch", "throw", "yield", "print", "echo", "lambda", "range", "go", "defer", "var", "const", "await", "@"})
 _COMPARE = frozenset({"<", "<=", ">", ">=", "==", "!="})
 _AUG = {"+=": "+", "-=": "-", "*=": "*", "/=": "/", "%=": "%", "&=": "&", "|=": "|", "^=": "^", "<<=": "<<", ">>=": ">>"}
 
@@ -88,10 +88,17 @@ def invisible(char: str):
     return edits, lambda src: src.code.count(char)
 
 
-#: Statements that do nothing, by language.
+#: Statements that do nothing, by language. The number's have no guard in C and Java.
 IDLE = {
-    "message": {"c": 'printf("INFO Test message:aaaaa");', "java": 'System.out.println("INFO Test message:aaaaa");', "python": 'if 1 == -1: print("INFO Test message:aaaaa")'},
-    "number": {"c": 'printf("233");', "java": "System.out.println(233);", "python": 'if 1 == -1: print("233")'},
+    "message": {
+        "c": 'if (1 == -1) { printf("INFO Test message:aaaaa");}',
+        "java": 'if (1 == -1) { System.out.println("INFO Test message:aaaaa");}',
+        "python": 'if 1 == -1: print("INFO Test message:aaaaa")',
+        "javascript": 'if (1 == -1) { console.log("INFO Test message:aaaaa");}',
+        "go": 'if 1 == -1 { fmt.Println("INFO Test message:aaaaa") }',
+        "php": 'if (1 == -1) { echo "INFO Test message:aaaaa"; }',
+    },
+    "number": {"c": 'printf("233233233233233233233233233233233233233\\n");', "java": "System.out.println(233);", "python": 'if 1 == -1: print("233")'},
 }
 
 
@@ -105,6 +112,9 @@ def idle(which: str, sign: str):
         if src.language == "python":
             m = re.search(r"^([ \t]*)(?:async )?def [^\n]*:[ \t]*\n(?:[ \t]*\n)*([ \t]+)", src.code, re.M)
             return [(m.start(2), m.start(2), m[2] + text + "\n")] if m else []
+        if src.language == "go":
+            m = re.search(r"^([ \t]*)func\b[^\n]*\{[ \t]*$", src.code, re.M)
+            return [(m.end(), m.end(), "\n" + m[1] + "\t" + text)] if m else []
         node = next((n for n in src.walk() if n.kind == "function"), None)
         if node is None:
             return []
@@ -139,19 +149,56 @@ def _operands(src: Source, k: int) -> tuple[int, int]:
     return a, b
 
 
+def _type_arguments(src: Source) -> set[int]:
+    """Places of angle brackets around type arguments: between them only names, types and what joins these."""
+    out: set[int] = set()
+    if src.language not in ("java", "cpp"):
+        return out
+    for k, t in enumerate(src.tokens):
+        if t.text != "<" or t.kind != "op" or k in out or not (src.tokens[k - 1].kind == "id" if k else False):
+            continue
+        opened, j = [k], k + 1
+        closed = []
+        while j < len(src.tokens) and opened:
+            x = src.tokens[j]
+            if x.text == "<":
+                opened.append(j)
+            elif x.text in (">", ">>", ">>>"):
+                closed.append(j)
+                del opened[-len(x.text) :]
+            elif not (x.kind in ("id", "num") or x.text in (",", "?", ".", "::", "[", "]", "&", "*", "...", "@", "(", ")")):
+                break
+            j += 1
+        if not opened and closed and (j >= len(src.tokens) or src.tokens[j].kind == "id" or src.tokens[j].text in ("(", ")", "{", ">", ",", "::", ".", "[", "]", "&", "*", ";", "...", "=", ":", "&&")):
+            out |= {i for i in range(k, j) if src.tokens[i].text in ("<", ">", ">>", ">>>")}
+    return out
+
+
 def comparison(table: dict[str, str], *wanted: str):
-    """Comparisons rewritten by templates with {a}, {b}; templates with two comparisons go in brackets."""
+    """Comparisons rewritten by templates with {a}, {b}; templates with two comparisons go in brackets.
+
+    Angle brackets of type arguments and chains of comparisons stay as they are.
+    """
 
     def edits(src: Source) -> Edits:
         py = src.language == "python"
+        lines = py or src.language == "go"  # operands end with the line
+        types = _type_arguments(src)
         out = []
         for k, t in enumerate(src.tokens):
-            if t.kind != "op" or t.text not in table or src.is_(k - 1, "operator", "include", "template"):
+            if t.kind != "op" or t.text not in table or k in types or src.is_(k - 1, "operator", "include", "template"):
                 continue
+            near = src.tokens[k - 1 : k] + src.tokens[k + 1 : k + 2]
+            if any(x.kind == "op" and x.text in ("<", ">", "<<", ">>", "<=", ">=", "=", "?") and (x.end == t.start or x.start == t.end) for x in near):
+                continue  # part of an operator that isn't ours
             a, b = _operands(src, k)
             if a == k or b == k + 1 or "::" in src.text(a, b):
                 continue
-            if py and "\n" in src.code[src.tokens[a].start : src.tokens[b - 1].end]:
+            if any(0 <= i < len(src.tokens) and src.tokens[i].kind == "op" and src.tokens[i].text in _COMPARE | {"===", "!=="} and i not in types for i in (a - 1, b)):
+                continue
+            if types & set(range(a, b)):
+                continue
+            if lines and "\n" in src.code[src.tokens[a].start : src.tokens[b - 1].end]:
                 b = next((j for j in range(k + 1, b) if "\n" in src.code[src.tokens[j - 1].end : src.tokens[j].start]), b)
                 a = next((j for j in range(k, a, -1) if "\n" in src.code[src.tokens[j - 1].end : src.tokens[j].start]), a)
                 if a == k or b == k + 1:

@@ -174,6 +174,8 @@ class Source:
         return self._declared
 
     def _find_declared(self) -> dict[str, str]:
+        if self.language == "go":
+            return self._declared_in_go()
         out: dict[str, str] = {}
         tk = self.tokens
         python = self.language == "python"
@@ -209,6 +211,56 @@ class Source:
         return out
 
 
+    def _declared_in_go(self) -> dict[str, str]:
+        """Names before ``:=``, after var and const, and in the brackets of a function's head, where types come after names."""
+        out: dict[str, str] = {}
+        tk = self.tokens
+
+        def name(i: int) -> bool:
+            return tk[i].kind == "id" and tk[i].text not in KEYWORDS and tk[i].text != "_"
+
+        for i, t in enumerate(tk):
+            if t.text == ":=" and t.kind == "op":
+                k = i - 1
+                while k >= 0 and name(k) and not self.is_(k - 1, "."):
+                    out.setdefault(tk[k].text, "")
+                    if not self.is_(k - 1, ","):
+                        break
+                    k -= 2
+            elif t.text in ("var", "const") and t.kind == "id":
+                k = i + 1
+                while k < len(tk) and name(k):
+                    out.setdefault(tk[k].text, tk[k + 1].text if k + 1 < len(tk) and tk[k + 1].kind == "id" else "")
+                    if not self.is_(k + 1, ","):
+                        break
+                    k += 2
+            elif t.text == "func" and t.kind == "id":
+                k, lists = i + 1, 0
+                while k < len(tk) and lists < 3:
+                    if self.is_(k, "(") and k in self.pair:
+                        out |= {n: kind for n, kind in self._go_parameters(k + 1, self.pair[k]).items() if n not in out}
+                        k, lists = self.pair[k] + 1, lists + 1
+                    elif tk[k].kind == "id" and self.is_(k + 1, "(") and lists < 2:
+                        k += 1
+                    else:
+                        break
+        return out
+
+    def _go_parameters(self, a: int, b: int) -> dict[str, str]:
+        parts, at, k = [], a, a
+        while k <= b:
+            if k == b or self.is_(k, ","):
+                parts.append((at, k))
+                at = k + 1
+            elif k in self.pair and self.pair[k] > k:
+                k = self.pair[k]
+            k += 1
+        named = [q - p > 1 and self.tokens[p].kind == "id" and self.tokens[p].text not in KEYWORDS and not self.is_(p + 1, ".", "[") or q - p > 3 and self.is_(p + 1, "[") and self.is_(p + 2, "]") for p, q in parts]
+        if not any(named):
+            return {}
+        return {self.tokens[p].text: self.tokens[p + 1].text if q - p == 2 and self.tokens[p + 1].kind == "id" else "" for p, q in parts if q > p and self.tokens[p].kind == "id" and self.tokens[p].text not in KEYWORDS and self.tokens[p].text != "_"}
+
+
 def apply(code: str, edits: list[tuple[int, int, str]]) -> str:
     """``code`` with edits (start, end, text); an edit that overlaps an earlier accepted one is left out."""
     done, out, at = [], [], 0

@@ -14,8 +14,8 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def to_int(value: Column) -> Column:
-    """Whole number of a padded text, null for anything else."""
-    return F.nullif(F.regexp_extract(value, r"^\s*([+-]?\d{1,9})\s*$", 1), F.lit("")).cast("int")
+    """Whole number of a padded text, null for anything else and for what a long can't hold."""
+    return F.nullif(F.regexp_extract(value, r"^\s*([+-]?\d+)\s*$", 1), F.lit("")).try_cast("long")
 
 
 def by_position(index: DataFrame, table: DataFrame, pos: str, first: int, last: int) -> DataFrame:

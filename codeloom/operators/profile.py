@@ -58,3 +58,8 @@ def vocabulary(counted: DataFrame, specials: list[str], most: int) -> DataFrame:
     top = counted.orderBy(F.desc("n"), "word").limit(most).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("w"))  # at most ``most`` words
     every = F.concat(F.array(*[F.lit(s) for s in specials]).cast("array<string>"), F.transform("w", lambda x: x["word"]))
     return top.select(F.posexplode(every).alias("id", "word")).select("word", "id")
+
+
+def nested_means(rows: DataFrame, by: list[str], paths: dict[str, str], digits: int = 2) -> DataFrame:
+    """Means of nested numbers, by their paths, of each group of results."""
+    return rows.groupBy(*by).agg(*[F.round(F.avg(p), digits).alias(n) for n, p in paths.items()])

@@ -13,7 +13,7 @@ _SPLIT_SQL = "lower(trim(split_name))"
 
 
 @query("""
-with t as (select split_name, try_cast(nullif(regexp_extract(value, '^\\s*([+-]?\\d{1,9})\\s*$', 1), '') as int) spot from split_index),
+with t as (select split_name, try_cast(nullif(regexp_extract(value, '^\\s*([+-]?\\d+)\\s*$', 1), '') as bigint) spot from split_index),
  m as (select max(pos) last_pos from functions_raw),
  j as (select t.split_name, case when spot is null then 'not_a_number' when spot < 0 or spot > last_pos then 'out_of_range' when f.pos is null then 'missing'
    when func is null then 'missing' when trim(translate(func, chr(9)||chr(10)||chr(13), '   ')) = '' then 'blank' when length(func) < 10 then 'too_short' when length(func) > 10000 then 'too_long' else 'valid' end reason
@@ -61,18 +61,6 @@ def keep_last_dedup(spark: SparkSession, d: str) -> DataFrame:
     return last.groupBy("lang").agg(F.count("*").alias("n"), F.count("author").alias("authors"))
 
 
-@query("""
-with u as (select distinct url, idx from cs), l as (select line, 'https://code.example/x/' || line url from split_index where split_name = 'test' union all select idx::int, url from u)
-select count(*) n, count(c.url) found, count(*) - count(c.url) missed, sum(c.size)::bigint size from l left join (select url, max(length(code)) size from cs group by url) c using (url)""")
-def url_order_join(spark: SparkSession, d: str) -> DataFrame:
-    """A list of urls joined to records, misses counted."""
-    cs = table(spark, d, "cs")
-    listed = table(spark, d, "split_index").where("split_name = 'test'").select("line", F.concat(F.lit("https://code.example/x/"), "line").alias("url")).union(cs.select("url", "idx").distinct().select(F.col("idx").cast("int"), "url"))
-    record = cs.groupBy("url").agg(F.max(F.length("code")).alias("size"), F.lit(1).alias("hit"))
-    joined = listed.join(record, "url", "left")
-    return joined.agg(F.count("*").alias("n"), F.count("hit").alias("found"), (F.count("*") - F.count("hit")).alias("missed"), F.sum("size").alias("size"))
-
-
 @query("""
 with a as (select pos line, func from functions_raw), b as (select pos line, project from functions_raw)
 select count(*) n, count_if(trim(coalesce(func, '')) = '' or trim(coalesce(project, '')) = '') blank from a join b using (line)""")
@@ -84,16 +72,6 @@ def parallel_zip(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count("*").alias("n"), F.count_if(blank("func") | blank("project")).alias("blank"))
 
 
-@query("""
-with a as (select f.project, list(distinct lower(m.lang)) langs from functions_raw f join function_meta m using (pos) where project is not null group by project)
-select l lang, count(*) projects from (select project, unnest(langs) l from a) where l is not null group by l""")
-def language_fanout(spark: SparkSession, d: str) -> DataFrame:
-    """A project goes to every language it holds (K4)."""
-    joined = table(spark, d, "functions_raw").select("pos", "project").where("project is not null").join(table(spark, d, "function_meta").select("pos", F.lower("lang").alias("lang")), "pos")
-    arrays = joined.groupBy("project").agg(F.collect_set("lang").alias("langs"))  # at most one entry a language
-    return arrays.select(F.explode("langs").alias("lang")).groupBy("lang").agg(F.count("*").alias("projects"))
-
-
 @query("""
 with a as (select f.project, list(distinct lower(m.lang)) langs from functions_raw f join function_meta m using (pos) group by project)
 select count_if(list_contains(langs, 'c')) c, count_if(list_contains(langs, 'java')) java, count_if(list_contains(langs, 'python')) python, count(*) projects from a""")
@@ -235,17 +213,6 @@ def overlap_heuristic(spark: SparkSession, d: str) -> DataFrame:
     return cs.select(share.alias("share")).agg(F.count("*").alias("n"), F.count_if(F.expr("share > 0.2 and share < 0.7")).alias("kept"))
 
 
-@query("""
-with p as (select rec_id, try_cast(payload as json) j from raw_records)
-select count(*) n, count_if(j is null) corrupt, count_if(json_extract_string(j, '$.func') is not null) with_func, sum(try_cast(json_extract_string(j, '$.target') as int))::bigint targets, count(json_extract_string(j, '$.note')) notes from p""")
-def lenient_json(spark: SparkSession, d: str) -> DataFrame:
-    """JSON lines read leniently: bad lines are kept apart and counted."""
-    schema = "func string, target int, project string, commit_id string, note string, _bad string"
-    parsed = table(spark, d, "raw_records").withColumn("j", F.from_json("payload", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    ok = F.col("j._bad").isNull()
-    return parsed.agg(F.count("*").alias("n"), F.count_if(~ok).alias("corrupt"), F.count_if(ok & F.col("j.func").isNotNull()).alias("with_func"), F.sum(F.when(ok, F.col("j.target"))).alias("targets"), F.count(F.when(ok, F.col("j.note"))).alias("notes"))
-
-
 @query("""
 with s as (select lower(trim(split_name)) s from cs), n as (select case when s in ('train', 'training') then 'train' when s in ('valid', 'dev') then 'valid' when s = 'test' then 'test' end split from s)
 select split, count(*) n from n where split is not null group by split""")

@@ -62,22 +62,11 @@ def quota_label(spark: SparkSession, d: str) -> DataFrame:
     return sampling.quota(f, F.col("target") == 1, 0.1, "q", "pos").groupBy("labelled").agg(F.count("*").alias("n"), F.sum("pos").alias("keys"))
 
 
-@query("""
-with e as (select pos, row_number() over (order by md5('q:' || pos), pos) k from functions_raw where target = 1), n as (select floor(count(*) * 0.1) n from functions_raw), l as (select pos from e cross join n where k <= n * 0.4)
-select pos, copy from (select pos, unnest(range(1, 5))::int copy from l) order by md5('o:' || pos || ':' || copy), pos, copy limit 50""")
-def oversample_topup(spark: SparkSession, d: str) -> DataFrame:
-    """Fifty copies of labelled rows, as in its SQL; ``oversample_topup_all`` fills the quota."""
-    f = table(spark, d, "functions_raw").select("pos", "target")
-    eligible = ranking.hash_rank(f.where("target = 1").select("pos"), "q", "pos", name="k")
-    n = int(f.count() * 0.1)
-    return sampling.top_up(eligible.where(F.col("k") <= n * 0.4).select("pos"), F.lit(True), 50, 4, "o", "pos").select("pos", "copy")
-
-
 @query("""
 with e as (select pos, row_number() over (order by md5('q:' || pos), pos) k from functions_raw where target = 1), n as (select floor(count(*) * 0.1) n from functions_raw), l as (select pos from e cross join n where k <= n * 0.4),
  c as (select pos, copy, row_number() over (order by md5('o:' || pos || ':' || copy), pos, copy) k from (select pos, unnest(range(1, 5))::int copy from l))
 select pos, copy from c where k <= (select n from n) - (select count(*) from l)""")
-def oversample_topup_all(spark: SparkSession, d: str) -> DataFrame:
+def oversample_topup(spark: SparkSession, d: str) -> DataFrame:
     """Copies of labelled rows, as many as the quota int(rate x rows) lacks, or all four of each."""
     f = table(spark, d, "functions_raw").select("pos", "target")
     eligible = ranking.hash_rank(f.where("target = 1").select("pos"), "q", "pos", name="k")
@@ -97,23 +86,11 @@ def disjoint_variants(spark: SparkSession, d: str) -> DataFrame:
     return ranked.groupBy(sampling.shard(F.col("k"), 3).cast("int").alias("variant")).agg(F.count("*").alias("n"), F.sum("pos").alias("keys"))
 
 
-@query("""
-with e as (select pos, func, row_number() over (order by md5('q:' || pos), pos) k from functions_raw where target = 1), v as (select pos, unnest(['if', 'while', 'for']) w, func, k from e), a as (select pos, k, bool_and(contains(func, w)) ok from v group by all)
-select count(*) tried, count_if(ok) succeeded, round(count_if(ok) / count(*)::double, 6) rate from a where k <= 200""")
-def shared_variants(spark: SparkSession, d: str) -> DataFrame:
-    """The first rows under every variant, as in its SQL; a row counts only if all succeed. ``shared_variants_all`` goes on to the quota and to the end (F8)."""
-    f = table(spark, d, "functions_raw").where("target = 1").select("pos", "func")
-    top = ranking.hash_rank(f, "q", "pos", name="k").where("k <= 200")
-    each = top.withColumn("w", F.explode(F.array(F.lit("if"), F.lit("while"), F.lit("for"))))
-    ok = each.groupBy("pos").agg(F.every(F.contains("func", F.col("w"))).alias("ok"))
-    return ok.agg(F.count("*").alias("tried"), F.count_if("ok").alias("succeeded"), F.round(F.count_if("ok") / F.count("*"), 6).alias("rate"))
-
-
 @query("""
 with n as (select floor(count(*) * 0.1)::bigint n from functions_raw), e as (select pos, row_number() over (order by md5('q:' || pos), pos) k, coalesce(contains(func, 'if') and contains(func, 'while') and contains(func, 'for'), false) ok from functions_raw where target = 1),
  r as (select *, coalesce(sum(ok::int) over (order by k rows between unbounded preceding and 1 preceding), 0) * 3 had from e), f as (select unnest(['train', 'test']) form)
 select form, count(k) tried, count_if(ok) succeeded, round(count_if(ok) / nullif(count(k), 0)::double, 6) rate from f left join (select * from r cross join n) r on form = 'test' or had < n group by form""")
-def shared_variants_all(spark: SparkSession, d: str) -> DataFrame:
+def shared_variants(spark: SparkSession, d: str) -> DataFrame:
     """The same rows under every variant, in hash order until the copies fill int(rate x rows) (train) and over all eligible rows (test); a row counts only if all succeed."""
     all_rows = table(spark, d, "functions_raw")
     words = ["if", "while", "for"]
@@ -140,24 +117,13 @@ def negative_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairing.negative_pairs(cs, "idx", "q", "c", "neg").select("query_key", "code_key")
 
 
-@query("""
-with u as (select distinct idx from cs), p as (select idx code_key, row_number() over (order by md5('pool:' || idx), idx) - 1 i, count(*) over () n from u), q as (select idx query_key from u where idx % 50 = 0),
- w as (select query_key, step, ((('0x' || substr(md5('pool:' || query_key), 1, 8))::bigint % (select count(*) from u)) + step) % (select count(*) from u) i from q cross join (select unnest(range(0, 10)) step)),
- o as (select query_key, code_key, row_number() over (partition by query_key order by step) place from w join p using (i) where code_key <> query_key)
-select query_key, place::int place, code_key from o where place < 10 union all select query_key, 0, query_key from q""")
-def candidate_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Own row and N - 1 distractors of every fiftieth query, as in its SQL; ``candidate_batches_all`` takes every query."""
-    pool = table(spark, d, "cs").select("idx").distinct()
-    return pairing.candidate_batches(pool.where("idx % 50 = 0"), pool, "idx", 10, "pool")
-
-
 @query("""
 with u as (select idx, min(url) url from cs group by idx), p as (select idx code_key, url, row_number() over (order by md5('pool:' || idx), idx) - 1 i from u),
  q as (select idx query_key, url, count(*) over (partition by url) alike, count(*) over () n from u),
  w as (select query_key, url, step, ((('0x' || substr(md5('pool:' || query_key), 1, 8))::bigint % n) + step) % n i from (select *, unnest(range(0, least(n, 9 + alike))) step from q)),
  o as (select query_key, code_key, row_number() over (partition by query_key order by step) place from w join p using (i) where code_key <> query_key and p.url is distinct from w.url)
 select query_key, place::int place, code_key from o where place < 10 union all select query_key, 0, query_key from q""")
-def candidate_batches_all(spark: SparkSession, d: str) -> DataFrame:
+def candidate_batches(spark: SparkSession, d: str) -> DataFrame:
     """Every query's own row and N - 1 distractors of other urls."""
     pool = table(spark, d, "cs").groupBy("idx").agg(F.min("url").alias("url"))
     return pairing.candidate_batches(pool, pool, "idx", 10, "pool", "url")
@@ -190,24 +156,14 @@ def first_pass_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with b as (select pos, project from functions_raw where pos < 200), v as (select pos, unnest(range(0, 11))::int v from b) select 'C-' || lpad(pos::varchar, greatest(3, length(pos::varchar))::int, '0') || '-' || v id, (pos + 1)::int split_index, case when v = 0 then 'base' when v <= 5 then 'renamed' else 'marked' end kind from v""")
+with v as (select pos, unnest(range(0, 11))::int v from functions_raw where pos is not null) select 'C-' || lpad(pos::varchar, greatest(3, length(pos::varchar))::int, '0') || '-' || v id, (pos + 1)::int split_index, case when v = 0 then 'base' when v <= 5 then 'renamed' else 'marked' end kind from v""")
 def variant_expand(spark: SparkSession, d: str) -> DataFrame:
-    """One row becomes eleven: the identifiers of the first rows, as in its SQL; ``variant_expand_all`` makes the code of all."""
-    return variants.expand(table(spark, d, "functions_raw").where("pos < 200").select("pos"), 11)
-
-
-@query("""
-with v as (select pos, unnest(range(0, 11))::int v from functions_raw where pos < 300), k as (select pos, v from v where v in (1, 3, 5, 9, 10)) select k.v, count(*) n, count(f.func) with_tests from k left join functions_raw f on f.pos = k.pos and length(f.func) >= 200 group by k.v""")
-def variant_test_join(spark: SparkSession, d: str) -> DataFrame:
-    """Variants of some ids of the first rows, as in its SQL, joined to their base row's tests; ``variant_test_join_all`` takes all rows."""
-    f = table(spark, d, "functions_raw")
-    kept = variants.members(variants.expand(f.where("pos < 300").select("pos"), 11), [1, 3, 5, 9, 10])
-    tests = f.where(F.length("func") >= 200).select((F.col("pos") + 1).alias("split_index"), "func")
-    return kept.join(tests, "split_index", "left").groupBy("v").agg(F.count("*").alias("n"), F.count("func").alias("with_tests"))
+    """One row becomes eleven: identifiers and kinds; ``variant_code`` makes the code."""
+    return variants.expand(table(spark, d, "functions_raw").where("pos is not null").select("pos"), 11)
 
 
 @query()
-def variant_expand_all(spark: SparkSession, d: str) -> DataFrame:
+def variant_code(spark: SparkSession, d: str) -> DataFrame:
     """Every function becomes twelve rows with the code of each variant, the twelfth empty for a model to fill."""
     path = table(spark, d, "function_meta").where("path is not null").groupBy("pos").agg(F.min("path").alias("path"))
     f = table(spark, d, "functions_raw").select("pos", "func").join(path, "pos", "left")
@@ -217,7 +173,7 @@ def variant_expand_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 with k as (select pos, unnest([1, 3, 5, 9, 10]) v from functions_raw) select k.v, count(*) n, count(f.func) with_tests from k left join functions_raw f on f.pos = k.pos and length(f.func) >= 200 group by k.v""")
-def variant_test_join_all(spark: SparkSession, d: str) -> DataFrame:
+def variant_test_join(spark: SparkSession, d: str) -> DataFrame:
     """Variants of every row joined to their base row's tests; rows without are counted."""
     f = table(spark, d, "functions_raw")
     kept = variants.members(variants.expand(f.select("pos"), 11), [1, 3, 5, 9, 10])

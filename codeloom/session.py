@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -27,10 +29,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset (tests) a folder of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset a folder of our own, if master is local.
+
+    On a cluster a folder of this machine would be another one on each executor, so there it raises.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="codeloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -39,18 +46,30 @@ def shared_folder(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def _forget() -> None:
+def _drop(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release() -> None:
+    """Delete all tables written by ``cut`` and all ``scratch`` folders; call it when their results have been read."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:
-            pass
+        _drop(*_written.pop())
 
 
-atexit.register(_forget)
+@atexit.register
+def _forget() -> None:
+    try:
+        release()
+    except Exception as e:  # the session may have ended before
+        print(f"codeloom: {len(_written) + 1} tables are left in the shared folder: {type(e).__name__}", file=sys.stderr)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared folder, deleted with the tables."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:

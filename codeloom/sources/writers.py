@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,14 +21,39 @@ def parquet(df: DataFrame, path: str, mode: str = "error") -> bool:
     return True
 
 
+def parquet_by_file(df: DataFrame, file: str, path: str) -> None:
+    """Each input file's rows in a folder of its name, zstd with dictionaries (K3); files without rows get none."""
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", "true").partitionBy(file).parquet(path)
+
+
+def json_array(df: DataFrame, path: str) -> None:
+    """Files that are each one JSON array, a row of the array a line (K5).
+
+    A task writes its rows as one array, so no task holds more than it read.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mark = "["
+        for batch in batches:
+            for line in batch["value"]:
+                yield pd.DataFrame({"value": [mark + line]})
+                mark = ","
+        yield pd.DataFrame({"value": ["]" if mark == "," else "[]"]})
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInPandas(run, "value string").write.text(path)
+
+
 def fan_out(df: DataFrame, languages: Column, path: str, fmt: str = "json") -> None:
     """Every row goes whole to the folder of each language it has (K4)."""
     df.withColumn("lang", F.explode(F.array_distinct(languages))).write.partitionBy("lang").format(fmt).save(path)
 
 
 def any_format(df: DataFrame, path: str, fmt: str) -> None:
-    """jsonl, csv or parquet (K5)."""
-    {"jsonl": lambda: jsonl(df, path), "csv": lambda: df.write.option("header", "true").option("escape", '"').csv(path), "parquet": lambda: parquet(df, path)}[fmt]()
+    """jsonl, json (arrays), csv or parquet (K5)."""
+    {"json": lambda: json_array(df, path), "jsonl": lambda: jsonl(df, path), "csv": lambda: df.write.options(header="true", escape='"', quoteAll="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path), "parquet": lambda: parquet(df, path)}[fmt]()
 
 
 def tsv(df: DataFrame, path: str) -> None:
@@ -56,9 +81,27 @@ def demo(df: DataFrame, flag: str, key: str) -> DataFrame:
     return df.where(F.col(flag)).orderBy(key).limit(1)
 
 
-def by_query(df: DataFrame, query: str, path: str) -> None:
-    """One folder for each query's batch."""
-    df.write.partitionBy(query).json(path)
+def by_query(df: DataFrame, query: str, path: str, **about) -> None:
+    """One folder for each query's batch, and ``metadata`` with the number of queries and rows and what is told of them."""
+    df.write.partitionBy(query).json(f"{path}/batches")
+    stats(df.agg(F.count_distinct(query).alias("queries"), F.count("*").alias("rows")).select("*", *[F.lit(v).alias(k) for k, v in about.items()]), f"{path}/metadata")
+
+
+def frequency_tsv(counted: DataFrame, word: str, n: str, path: str) -> None:
+    """Words and counts, most frequent first, in files whose names are in that order."""
+    tsv(counted.orderBy(F.desc(n), word).select(word, n), path)
+
+
+def concatenated(spark: SparkSession, paths: list[str], path: str) -> None:
+    """Lines of several files in one folder, shard by shard in the order of the numbers in their names."""
+    import re
+
+    ordered = sorted(paths, key=lambda p: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", p)])
+    rows = None
+    for p in ordered:
+        rows = spark.read.text(p) if rows is None else rows.union(spark.read.text(p))
+    if rows is not None:
+        rows.write.text(path)
 
 
 def score_lines(df: DataFrame, fields: list[str], sep: str, path: str) -> None:
