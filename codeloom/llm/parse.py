@@ -14,14 +14,13 @@ from codeloom.llm.splits import bare_project
 from codeloom.llm.words import LEAST_WORDS, word_count
 
 _grammars: dict[str, Grammar] = {}
-_TEXTS = {"c": "C", "cpp": "CPP", "java": "JAVA", "python": "PYTHON", "javascript": "JAVASCRIPT", "go": "GO", "php": "PHP"}
 
 
 def parses(text: str, language: str) -> bool:
-    """Whether a view of the text is a sentence of a dialect of the language."""
+    """Whether a reading of the text is a sentence of a dialect of the language; all dialects run together."""
     grammar = _grammars.get(language)
     if grammar is None:
-        grammar = _grammars[language] = Grammar(getattr(grammars, _TEXTS[language]))
+        grammar = _grammars[language] = Grammar(*grammars.DIALECTS[language].values())
     return any(grammar.accepts(kinds) for kinds in getattr(lexers, language)(text))
 
 
@@ -49,10 +48,13 @@ def checked(records: DataFrame) -> DataFrame:
 
 
 def records(functions: DataFrame, meta: DataFrame, cs: DataFrame) -> DataFrame:
-    """Both tables with repository, language and text; one row for each ``pos`` and ``idx``."""
-    path = meta.where("path is not null").groupBy("pos").agg(F.min("path").alias("path"))
-    one = functions.select("pos", "func", "project").join(path, "pos").select(
-        F.lit("functions_raw").alias("src"), F.col("pos").cast("long").alias("key"), bare_project(F.col("project")).alias("repository"), language_of(F.col("path")).alias("language"), F.col("func").alias("text")
+    """Both tables with repository, language and text; one row for each ``pos`` and ``idx``.
+
+    A function's language comes from the paths of ``meta``, so only ``pos`` and language meet its text.
+    """
+    language = meta.where("path is not null").groupBy("pos").agg(F.min("path").alias("path")).select("pos", language_of(F.col("path")).alias("language"))
+    one = functions.select("pos", "func", "project").join(language, "pos").select(
+        F.lit("functions_raw").alias("src"), F.col("pos").cast("long").alias("key"), bare_project(F.col("project")).alias("repository"), "language", F.col("func").alias("text")
     )
     file = F.regexp_extract("url", r"^([^#?]*)", 1)
     two = cs.select(F.lit("cs").alias("src"), F.col("idx").alias("key"), F.nullif(F.regexp_extract("url", r"^\w+://[^/]+/([^/]+/[^/]+)", 1), F.lit("")).alias("repository"), language_of(file).alias("language"), F.col("code").alias("text"))

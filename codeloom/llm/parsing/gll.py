@@ -1,7 +1,7 @@
 """Generalised LL parsing with a graph-structured stack, memoised over token kinds.
 
 A grammar is a set of rules in EBNF; each rule becomes a small deterministic automaton over tokens and other rules. The
-parser runs all alternatives, and all dialects that a grammar's start rule names, side by side: a configuration is a set
+parser runs all alternatives, and the grammars of all dialects of a language, side by side on one stack: a configuration is a set
 of (automaton state, stack node) pairs, a stack node the set of places to return to. Nodes and configurations are shared
 and numbered, so the step from one configuration over a token is computed once and then looked up. Where only one
 pair is left after an opening bracket, its node moves to a plain stack, so that what follows is independent of nesting.
@@ -63,11 +63,51 @@ def _rules(text: str) -> dict[str, object]:
     return rules
 
 
+def _renamed(body, names: dict[str, str]):
+    """A rule's body with other names of rules."""
+    kind, arg = body
+    if kind in ("alt", "seq"):
+        return (kind, [_renamed(x, names) for x in arg])
+    if kind in ("*", "+", "?"):
+        return (kind, _renamed(arg, names))
+    return (kind, names.get(arg, arg)) if kind == "name" else body
+
+
+def _refers(body) -> set[str]:
+    kind, arg = body
+    if kind in ("alt", "seq"):
+        return set().union(*(_refers(x) for x in arg)) if arg else set()
+    if kind in ("*", "+", "?"):
+        return _refers(arg)
+    return {arg} if kind == "name" else set()
+
+
+def together(texts: list[str], start: str) -> dict:
+    """Rules of several dialects under one start; what is the same in a dialect as in the first is there once."""
+    first = _rules(texts[0])
+    out = dict(first)
+    starts = [start]
+    for i, text in enumerate(texts[1:], 1):
+        own = _rules(text)
+        other = {n for n, body in own.items() if first.get(n) != body}
+        while more := {n for n, body in own.items() if n not in other and _refers(body) & other}:
+            other |= more
+        names = {n: f"{n}/{i}" for n in other}
+        out |= {names[n]: _renamed(own[n], names) for n in other}
+        starts.append(names.get(start, start))
+    out["<start>"] = ("alt", [("seq", [("name", s)]) for s in starts])
+    return out
+
+
 class Grammar:
-    """Rules ``name = alternatives ;`` with '...' for token kinds, * + ? and ( ); names without a rule are token kinds."""
+    """Rules ``name = alternatives ;`` with '...' for token kinds, * + ? and ( ); names without a rule are token kinds.
 
-    def __init__(self, text: str, start: str = "unit") -> None:
-        rules = _rules(text)
+    Each text is the grammar of one dialect; a sentence of any of them is accepted.
+    """
+
+    def __init__(self, *texts: str, start: str = "unit") -> None:
+        rules = together(list(texts), start)
+        start = "<start>"
         self.names = list(rules)
         number = {n: i for i, n in enumerate(rules)}
         self.shift: list[dict[str, int]] = []  # of each state: kind -> state
@@ -271,10 +311,63 @@ class Grammar:
         opens = kind in OPENING and len(pairs) == 1 and pairs[0][1] != 0 and not self.final[pairs[0][0]]
         return 2 * to + (opens or self.closes[to])
 
+    def _after(self, now: int, below: int, kind: str, cells: list, known: dict) -> tuple[int, int] | None:
+        """The state after a token, as in ``accepts``; what is set aside is a chain of shared cells."""
+        to = self.steps[now].get(kind)
+        if to is None:
+            to = self.steps[now][kind] = self._step(now, kind)
+        if to < 0:
+            return None
+        now = to >> 1
+        if to & 1:
+            if self.closes[now]:
+                while below and self.closes[now]:
+                    below, node = cells[below]
+                    now = self._restore(now, node)
+            else:
+                ((state, node),) = self.configs[now]
+                if (below, node) not in known:
+                    known[below, node] = len(cells)
+                    cells.append((below, node))
+                below = known[below, node]
+                now = self._config({(state, 0)})
+        return now, below
+
+    def _accepts_branches(self, kinds: list[str]) -> bool:
+        """Whether a choice of branches of all conditional directives is a sentence.
+
+        The states before a directive go into its branches, and past it where it has no else; those after each branch go on
+        behind the end, and into the next branch too, as many texts hold when all branches are read. Equal states are one.
+        """
+        cells, known = [(0, 0)], {}
+        states = {(self.first_id, 0)}
+        open_: list[list] = []  # states before, states after its branches so far, whether an else was seen
+        for kind in kinds:
+            if kind == "\x01if":
+                open_.append([states, set(), False])
+            elif kind in ("\x01elif", "\x01else"):
+                if not open_ or open_[-1][2]:
+                    return False
+                open_[-1][1] |= states
+                open_[-1][2] = kind == "\x01else"
+                states = open_[-1][0] | states
+            elif kind == "\x01endif":
+                if not open_:
+                    return False
+                before, after, seen = open_.pop()
+                states = states | after | (set() if seen else before)
+            elif kind[0] != "\x01":
+                states = {s for now, below in states if (s := self._after(now, below, kind, cells, known)) is not None}
+                if not states and not open_:
+                    return False
+        return bool(states) and not open_ and kinds[-1] == "EOF"
+
     def accepts(self, kinds: list[str]) -> bool:
-        """Whether the kinds, followed by EOF, are a sentence."""
+        """Whether the kinds, followed by EOF, are a sentence; kinds of conditional directives fork what is read."""
         if len(self.configs) > MOST:
             self.forget()
+        if any(k[0] == "\x01" for k in kinds):
+            return self._accepts_branches(kinds)
         steps, below = self.steps, []
         now = self.first_id
         for kind in kinds:

@@ -1,7 +1,7 @@
 """Grammars of the supported languages and their dialects, for single functions and methods as well as whole files.
 
 They decide whether tokens form a sentence, so operators have no precedence, and names and types aren't resolved. A
-start rule lists the dialects side by side.
+dialect is the text of an older one and the rules that it changes; DIALECTS has them by language.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ yieldexpr = 'yield' (exprs | 'from' test)? ;
 test = or ('if' or 'else' test)? | 'lambda' lparams? ':' test ;
 named = test | name ':=' test ;
 or = operand (binop operand)* ;
-binop = 'or' | 'and' | 'in' | 'not' 'in' | 'is' | BINOP | SIGN | SLASH | '*' | '**' | '@' ;
+binop = 'or' | 'and' | 'in' | 'not' 'in' | 'is' | BINOP | '|' | SIGN | SLASH | '*' | '**' | '@' ;
 operand = ('not' | SIGN | '~' | 'await')* atom trailer* ;
 atom = name | NUM | STR+ | 'None' | 'True' | 'False' | '...' | '(' (inner | yieldexpr)? ')' | '[' inner? ']' | '{' (dict | inner)? '}' ;
 inner = item (',' item)* ','? | item compfor ;
@@ -114,9 +114,9 @@ template = TPL | TPLHEAD expr (TPLMID expr)* TPLTAIL ;
 
 JAVA = r"""
 unit = member+ EOF | block EOF | ('package' qname ';')? ('import' 'static'? qname ('.' '*')? ';')* typedecl+ EOF ;
-id = ID | 'record' | 'var' | 'yield' | 'sealed' | 'permits' ;
+id = ID | 'record' | 'var' | 'yield' | 'sealed' | 'permits' | 'when' ;
 qname = id ('.' id)* ;
-mods = (MOD | 'static' | 'default' | 'final' | 'synchronized' | annotation)+ ;
+mods = (MOD | 'sealed' | 'static' | 'default' | 'final' | 'synchronized' | annotation)+ ;
 annotation = '@' qname ('(' (annarg (',' annarg)*)? ')')? ;
 annarg = id '=' annval | annval ;
 annval = annotation | expr | '{' (annval (',' annval)* ','?)? '}' ;
@@ -143,7 +143,7 @@ stmt = block | ';' | local ';' | exprstmt ';' | 'if' '(' expr ')' stmt ('else' s
   | 'for' '(' (local | exprs)? ';' expr? ';' exprs? ')' stmt | 'for' '(' ('final' | annotation)* type id ':' expr ')' stmt
   | ('break' | 'continue') id? ';' | 'return' expr? ';' | 'throw' expr ';' | 'yield' expr ';'
   | 'try' ('(' resource (';' resource)* ';'? ')')? block (catch)* ('finally' block)? | switch
-  | 'synchronized' '(' expr ')' block | id ':' stmt | 'assert' expr (':' expr)? ';' | (MOD | 'static' | 'final' | annotation)* typedecl2 ;
+  | 'synchronized' '(' expr ')' block | id ':' stmt | 'assert' expr (':' expr)? ';' | (MOD | 'sealed' | 'static' | 'final' | annotation)* typedecl2 ;
 resource = ('final' | annotation)* type id '=' expr | expr ;
 catch = 'catch' '(' ('final' | annotation)* type ('|' type)* id ')' block ;
 local = ('final' | annotation)* type declarator (',' declarator)* ;
@@ -355,3 +355,83 @@ capture = '=' | '&' | '&'? ID ('...' | '=' expr | braces)? | '*'? 'this' ;
 trailer = ('.' | '->') 'template'? (qname | '~' ID | opname) | '[' (exprs | braces) ']' | '(' args? ')' | INC ;
 args = (expr | braces) '...'? (',' (expr | braces) '...'?)* ;
 """ + _C_COMMON
+
+
+C_KR = C + r"""
+function = attr* spec declarator1 attr* block | attr* spec declaratorkr decl+ block ;
+declaratorkr = pointer? (ID | '(' declaratorkr ')') '(' ID (',' ID)* ')' ;
+"""
+
+C_23 = C + r"""
+attr = ATTR '(' anything* ')' | '[' '[' anything* ']' ']' ;
+anything = '(' anything* ')' | ID | NUM | STR+ | ',' | KEYWORDS | '=' | '.' | '::' | ':' | QUAL | SIGN ;
+decl = spec (idecl (',' idecl)*)? ';' | qual+ ID '=' (expr | braces) (',' ID '=' (expr | braces))* ';' | 'static_assert' '(' expr (',' STR+)? ')' ';' | attr ';' ;
+stmt = attr* (block | ';' | decl | exprs ';' | 'if' '(' (decl | exprs ';')? cond ')' stmt ('else' stmt)? | 'while' '(' cond ')' stmt | 'do' stmt 'while' '(' exprs ')' ';'
+  | 'for' '(' (decl | exprs? ';') exprs? ';' exprs? ')' stmt | 'switch' '(' cond ')' stmt | 'case' expr ('...' expr)? ':' stmt? | 'default' ':' stmt? | ID ':' stmt?
+  | 'break' ';' | 'continue' ';' | 'return' exprs? ';' | 'goto' (ID | '*' expr) ';' | 'asm' QUAL* ('(' asmbody ')') ';') ;
+"""
+
+CPP_20 = CPP + r"""
+external = function | decl | ';' | template | concept | namespace | using | special | 'extern' STR ('{' external* '}' | function | decl) | 'asm' '(' STR+ ')' ';' ;
+concept = 'template' '<' (tparam (',' tparam)*)? '>' ID ID '=' constraint ';' ;
+constraint = expr ;
+requiresexpr = 'requires' ('(' params ')')? '{' requirement* '}' ;
+requirement = expr ';' | 'typename' qname ';' | '{' expr '}' 'noexcept'? ('->' typename)? ';' | 'requires' expr ';' ;
+template = 'template' ('<' (tparam (',' tparam)*)? '>')? ('requires' constraint)? (function | decl | template | special | using | friend) ;
+tparam = (('class' | 'typename' | 'template' '<' (tparam (',' tparam)*)? '>' ('class' | 'typename') | qname) '...'? ID? ('=' typename)?) | param ;
+param = 'this'? spec 'auto'? (declarator | abstract)? ('=' (expr | braces))? | LIT spec (declarator | abstract)? ;
+dparam = spec 'auto'? pointer* dname suffix* ('=' (expr | braces))? | LIT spec pointer* dname | barespec 'auto'? abstract? ('=' (expr | braces))? | spec abstract2 ;
+qual = QUAL | attr2 | 'explicit' ('(' expr ')')? | 'virtual' | 'friend' | 'inline' | 'extern' ;
+stmt = attr2* (block | ';' | decl | exprs ';' | 'if' (IFMOD '!'? block | IFMOD? '(' (decl | exprs ';')? cond (',' expr)* ')' attr2* stmt) ('else' attr2* stmt)? | 'while' '(' cond (',' expr)* ')' attr2* stmt | 'do' stmt 'while' '(' exprs ')' ';'
+  | 'for' '(' (decl | exprs? ';') exprs? ';' exprs? ')' stmt | RANGEFOR '(' (decl | exprs? ';')? decl0 ':' (expr | braces) ')' stmt | 'for' '(' (decl | exprs? ';') decl0 ':' (expr | braces) ')' stmt | 'switch' '(' (decl | exprs ';')? cond ')' stmt | 'case' expr ('...' expr)? ':' stmt? | 'default' ':' stmt? | ID ':' stmt?
+  | 'break' ';' | 'continue' ';' | 'return' (exprs | braces)? ';' | 'goto' (ID | '*' expr) ';' | 'asm' QUAL* ('(' asmbody ')') ';' | other) ;
+primary = qname | opname | NUM | STR+ ID? | CHAR | LIT | '(' exprs ')' | '(' fold ')' | requiresexpr | '(' typename ')' braces | braces1 | CASTOP '<' typename '>' '(' exprs ')' | 'typeid' '(' (exprs | typename) ')' | lambda | '::'? 'new' ('(' args ')')? newtype ('(' args? ')' | braces)? | '::'? 'delete' ('[' ']')? operand | (BASE+ | 'auto' | 'typename' '::'? seg ('::' seg)*) ('(' args? ')' | braces) | 'noexcept' '(' expr ')' ;
+fold = operand binop '...' (binop operand)? | '...' binop operand ;
+trailer = ('.' | '->') 'template'? (qname | '~' ID | opname) | '[' (exprs | braces)? ']' | '(' args? ')' | INC ;
+"""
+
+JAVA_21 = JAVA + r"""
+pattern = ('final' | annotation)* type id | type '(' (pattern (',' pattern)*)? ')' id? ;
+expr = operand (binop operand | 'instanceof' ('final' | annotation)* (type id? | pattern) | '?' expr ':' (expr | lambda))* | lambda | operand (binop operand)* (ASSIGN | '=') lambda ;
+label = 'case' caseval (',' caseval)* ('when' expr)? | 'default' ;
+caseval = expr | pattern | 'default' ;
+"""
+
+PYTHON_36 = PYTHON + r"""
+name = ID | 'match' | 'case' | 'type' | '_' | 'async' | 'await' ;
+"""
+
+JAVASCRIPT_NEXT = JAVASCRIPT + r"""
+decorator = DECORATOR ;
+class = 'class' id? ('extends' postfixed)? '{' (end | member)* '}' ;
+primary = id | NUM | STR | REGEX | 'this' | 'super' | LITERALWORD | template | '(' expr ')' | '[' (','* arg)? (','+ arg)* ','* ']'
+  | '{' NL? (member2 (',' member2)* ','?)? NL? '}' | function | class | 'import' ('(' args ')' | '.' anyname) | PRIVATE ;
+stmt = end | block | decl end | expr end | 'if' '(' expr ')' NL? stmt (NL? 'else' NL? stmt)? | 'while' '(' expr ')' NL? stmt
+  | 'do' NL? stmt NL? 'while' '(' expr ')' end?
+  | 'for' 'await'? '(' forhead ')' NL? stmt
+  | ('break' | 'continue') id? end | 'return' expr? end | 'throw' expr end | 'debugger' end
+  | 'switch' '(' expr ')' NL? '{' NL? (('case' expr | 'default') ':' stmt*)* '}'
+  | 'try' NL? block NL? (catch (NL? 'finally' NL? block)? | 'finally' NL? block)
+  | id ':' NL? stmt | function | class
+  | 'import' importclause? STR attributes? end | 'export' ('default'? (function | class) | decl end | 'default' assign end | '{' NL? (anyname ('as' anyname)? (',' anyname ('as' anyname)?)* ','?)? NL? '}' ('from' STR attributes?)? end | '*' ('as' anyname)? 'from' STR attributes? end) ;
+attributes = 'with' '{' NL? ((anyname | STR) ':' STR (',' (anyname | STR) ':' STR)* ','?)? NL? '}' ;
+"""
+JAVASCRIPT_NEXT = JAVASCRIPT_NEXT.replace("decorator = DECORATOR ;\n", "")
+
+PHP_84 = PHP + r"""
+member = attr* mods? 'function' '&'? anyid '(' params? ')' (':' type)? (block | ';') | attr* mods type? VAR ('=' expr)? (',' VAR ('=' expr)?)* ';' | attr* mods type? VAR ('=' expr)? hooks | attr* mods? 'const' type? anyid '=' expr (',' anyid '=' expr)* ';' | 'use' name (',' name)* (';' | block) | attr* 'case' ID ('=' expr)? ';' ;
+hooks = '{' hook+ '}' ;
+hook = attr* 'final'? '&'? ID ('(' params ')')? (block | '=>' expr ';' | ';') ;
+mods = (MOD ('(' ID ')')? | 'static' | 'abstract' | 'final' | 'readonly')+ ;
+"""
+
+#: Dialects of each language, run together.
+DIALECTS = {
+    "c": {"K&R": C_KR, "C11": C, "C23": C_23},
+    "cpp": {"C++17": CPP, "C++20": CPP_20},
+    "java": {"8 to 17": JAVA, "21": JAVA_21},
+    "python": {"3.6": PYTHON_36, "3.13": PYTHON},
+    "javascript": {"2022": JAVASCRIPT, "2025": JAVASCRIPT_NEXT},
+    "go": {"1.22": GO},
+    "php": {"8.3": PHP, "8.4": PHP_84},
+}

@@ -1,9 +1,10 @@
-"""Token kinds of source texts. A lexer gives one or several views of a text (how conditional directives are taken), each
-a list of kinds that ends with EOF; a text that can't be cut into tokens gives none."""
+"""Token kinds of source texts. A lexer gives one or several readings of a text, each a list of kinds that ends with EOF; a
+text that can't be cut into tokens gives none. Conditional directives are kinds that begin with a control character."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 BAD = "BAD"
 _SKIP = "SKIP"
@@ -106,7 +107,7 @@ _CPP_WORDS = (
     | _self("class template typename namespace using operator new delete try catch throw virtual explicit friend inline extern auto decltype noexcept typeid co_return requires alignas this default")
     | {"not": "NOT", "compl": "NOT", "this": "LIT"}
 )
-_CPP = _CLexer(_C_PATTERN, _CPP_WORDS, _C_NUM, _C_OPERATORS | {"->*": "MEMBERPTR", ".*": "MEMBERPTR", "~": "~"}, _c_quotes)
+_CPP = _CLexer(_C_PATTERN.replace("|<<=|", "|<=>|<<=|"), _CPP_WORDS, _C_NUM, _C_OPERATORS | {"<=>": "BINOP", "->*": "MEMBERPTR", ".*": "MEMBERPTR", "~": "~"}, _c_quotes)
 _DIRECTIVE = re.compile(rf"({_BLOCK}|//[^\n]*|{_DQ}|{_C_CHR})|^[ \t]*#[ \t]*(\w*)(?:[^\n\\/]|\\.|/(?!\*)|{_BLOCK})*", re.S | re.M)
 
 
@@ -120,51 +121,13 @@ def _directives(text: str) -> str:
     return _DIRECTIVE.sub(put, text)
 
 
-def _views(kinds: list[str]) -> list[list[str]]:
-    """All branches of conditional directives, only first ones, only last ones; none if they aren't balanced."""
-    if not any(k[0] == "\x01" for k in kinds):
-        return [kinds]
-    depth, ends = 0, []
-    for k in kinds:
-        if k == "\x01if":
-            depth += 1
-        elif k == "\x01endif":
-            depth -= 1
-        if depth < 0 or depth == 0 and k in ("\x01else", "\x01elif"):
-            return []
-    if depth:
-        return []
-    views = [[k for k in kinds if k[0] != "\x01"]]
-    for want_last in (False, True):
-        out, stack = [], []
-        # of each open conditional: tokens of the branch that is taken
-        for k in kinds:
-            if k == "\x01if":
-                stack.append((len(out), False, False))
-            elif k in ("\x01else", "\x01elif"):
-                at, _, seen = stack[-1]
-                if want_last:
-                    del out[at:]
-                    stack[-1] = (at, False, True)
-                else:
-                    stack[-1] = (at, True, True)
-            elif k == "\x01endif":
-                at, _, seen = stack.pop()
-                if want_last and not seen:
-                    del out[at:]
-            elif k[0] != "\x01" and not any(s[1] for s in stack):
-                out.append(k)
-        views.append(out)
-    return views
-
-
 def _range_for(kinds: list[str]) -> list[str]:
     """``for`` becomes RANGEFOR where a colon comes before a semicolon in its parentheses."""
     out = kinds[:]
     for i, k in enumerate(kinds):
         if k == "for":
             depth = 0
-            for j in range(i + 1, min(len(kinds), i + 60)):
+            for j in range(i + 1, len(kinds)):
                 c = kinds[j]
                 if c in ("(", "[", "{"):
                     depth += 1
@@ -187,7 +150,7 @@ def c(text: str) -> list[list[str]]:
     if BAD in kinds:
         return []
     kinds.append("EOF")
-    return _views(kinds)
+    return [kinds]
 
 
 def cpp(text: str) -> list[list[str]]:
@@ -197,18 +160,20 @@ def cpp(text: str) -> list[list[str]]:
     kinds.append("EOF")
     if "for" in kinds:
         kinds = _range_for(kinds)
+    if "if" in kinds:
+        kinds = [("IFMOD" if i and kinds[i - 1] == "if" and k == "QUAL" else k) for i, k in enumerate(kinds)]
     if "enum" in kinds:
         kinds = [("ENUMCLASS" if i and kinds[i - 1] == "enum" and k in ("class", "STRUCT") else k) for i, k in enumerate(kinds)]
-    return _views(kinds)
+    return [kinds]
 
 
 # ---------------------------------------------------------------- Java
 
 _JAVA_WORDS = (
     _ops(PRIM="int long double float boolean char byte short", MOD="public private protected abstract native strictfp transient volatile sealed non-sealed", LIT="true false null")
-    | _self("static final synchronized default void throws if else while do for break continue return throw try catch finally switch case new class interface enum extends implements this super instanceof assert package import record var yield permits")
+    | _self("static final synchronized default void throws if else while do for break continue return throw try catch finally switch case new class interface enum extends implements this super instanceof assert package import record var yield permits when")
 )
-del _JAVA_WORDS["sealed"]
+_JAVA_WORDS["sealed"] = "sealed"
 _JAVA_OPERATORS = _ops(BINOP="/ % << <= >= == != ^ && ||", ASSIGN="+= -= *= /= %= &= |= ^= <<= >>= >>>=", SIGN="+ -", NOT="! ~", INC="++ --") | _self(":: -> ... < > = * & | ? : ; , . ( ) { } [ ] @")
 
 
@@ -223,7 +188,7 @@ def _java_quotes(token: str) -> str | None:
 
 
 _JAVA = Lexer(
-    rf"""\s*(\"\"\"[ \t]*\r?\n(?:[^"\\]|\\.|"(?!""))*\"\"\"|{_BLOCK}|//[^\n]*|{_DQ}|'(?:[^'\\\n]|\\u+[\da-fA-F]{{4}}|\\[0-7]{{1,3}}|\\.)'|\.?\d(?:[eEpP][+-](?=\d)|\w|\.(?!\.))*|[^\W\d$][\w$]*|\$[\w$]*|>>>=|<<=|>>=|\.\.\.|->|::|\+\+|--|&&|\|\||<<|[-+*/%&|^=!<>]=|[-+*/%&|^=!<>~?:;,.(){{}}\[\]@]|/\*|\S)""",
+    rf"""\s*(\"\"\"[ \t]*\r?\n(?:[^"\\]|\\.|"(?!""))*\"\"\"|{_BLOCK}|//[^\n]*|{_DQ}|'(?:[^'\\\n]|\\u+[\da-fA-F]{{4}}|\\[0-7]{{1,3}}|\\.)'|\.?\d(?:[eEpP][+-](?=\d)|\w|\.(?!\.))*|non-sealed\b|[^\W\d$][\w$]*|\$[\w$]*|>>>=|<<=|>>=|\.\.\.|->|::|\+\+|--|&&|\|\||<<|[-+*/%&|^=!<>]=|[-+*/%&|^=!<>~?:;,.(){{}}\[\]@]|/\*|\S)""",
     _JAVA_WORDS,
     r"(?:0[xX][\da-fA-F_]*\.?[\da-fA-F_]*(?:[pP][+-]?\d+)?|0[bB][01_]+|\d[\d_]*\.?[\d_]*(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?)[lLfFdD]?",
     _JAVA_OPERATORS,
@@ -435,7 +400,13 @@ _PHP = _PhpLexer(
 )
 
 
+#: From a closing tag to the next opening one; the first ends a statement, ``<?=`` begins an echo.
+_PHP_OUTSIDE = re.compile(r"\?>(?:(?!<\?(?:php\b|=)).)*(?:<\?(php\b|=)|\Z)", re.S)
+
+
 def php(text: str) -> list[list[str]]:
+    if "?>" in text:
+        text = _PHP_OUTSIDE.sub(lambda m: "; echo " if m[1] == "=" else "; ", text)
     kinds = _PHP.kinds(text)
     return [] if BAD in kinds else [[*kinds, "EOF"]]
 
@@ -443,7 +414,7 @@ def php(text: str) -> list[list[str]]:
 # ---------------------------------------------------------------- Python
 
 _PY_WORDS = _self("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield match case type _")
-_PY_OPERATORS = _ops(BINOP="% // << >> & | ^ < > <= >= == !=", AUG="+= -= *= /= //= %= @= &= |= ^= >>= <<= **=", SIGN="+ -") | {"/": "SLASH"} | _self("~ * ** @ -> := = ... . , : ; ( ) [ ] { }")
+_PY_OPERATORS = _ops(BINOP="% // << >> & ^ < > <= >= == !=", AUG="+= -= *= /= //= %= @= &= |= ^= >>= <<= **=", SIGN="+ -") | {"/": "SLASH"} | _self("~ | * ** @ -> := = ... . , : ; ( ) [ ] { }")
 _PY_PREFIX = r"(?:[rR]?[bB]|[bB][rR]|[rR]?[fF]|[fF][rR]|[rR]|[uU])?"
 _PY = re.compile(
     rf"""[ \t\f]*(\r?\n|\r|\\\r?\n|\#[^\n]*|{_PY_PREFIX}(?:\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|{_WORD}|\.?\d(?:[eE][+-](?=\d)|\w|\.)*|\*\*=?|//=?|>>=?|<<=?|->|:=|!=|\.\.\.|[<>=+\-*/%&|^@]=?|[~.,;:()\[\]{{}}]|[^ \t\f]|\Z)""",
@@ -468,7 +439,59 @@ def _py_kind(t: str) -> str:
 _py_known: dict[str, str] = {}
 
 
-def python(text: str) -> list[list[str]]:
+_PY_F = re.compile(r"(?:[rR]?[fF]|[fF][rR])(\"\"\"|'''|\"|')")
+_PY_STRING = re.compile(rf"""{_PY_PREFIX}(?:\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')""", re.S)
+
+
+def _f_string_end(text: str, at: int, quote: str) -> int:
+    """Where a formatted string ends whose fields may hold strings with the same quotes; -1 if it doesn't. ``at`` is behind its opening quote."""
+    open_: list[str] = [quote]  # the quote of the string one is in, or a bracket
+    while at < len(text):
+        c, top = text[at], open_[-1]
+        if top[0] in "\"'":
+            if c == "\\":
+                at += 2
+            elif text.startswith(top, at):
+                at += len(top)
+                open_.pop()
+                if not open_:
+                    return at
+            elif c == "\n" and len(top) == 1:
+                return -1
+            elif text.startswith(("{{", "}}"), at):
+                at += 2
+            else:
+                if c == "{":
+                    open_.append(c)
+                at += 1
+        elif m := _PY_F.match(text, at):
+            open_.append(m[1])
+            at = m.end()
+        elif c in "\"'" and (m := _PY_STRING.match(text, at)):
+            at = m.end()
+        elif top == "{" and c == ":":  # a format, which may hold fields
+            depth = 0
+            at += 1
+            while at < len(text) and (text[at] != "}" or depth):
+                depth += (text[at] == "{") - (text[at] == "}")
+                at += 1
+        else:
+            if c in "([{":
+                open_.append(c)
+            elif c in ")]}":
+                open_.pop()
+            at += 1
+    return -1
+
+
+def python(text: str) -> Iterator[list[str]]:
+    """Strings that end at the first quote of their own; then, if there are formatted ones, their fields read as code."""
+    yield from _python(text, False)
+    if _PY_F.search(text):
+        yield from _python(text, True)
+
+
+def _python(text: str, fields: bool) -> list[list[str]]:
     """Kinds with NEWLINE, INDENT and DEDENT; the first line's indentation is that of the whole text."""
     out: list[str] = []
     depth, fresh = 0, True
@@ -505,6 +528,12 @@ def python(text: str) -> list[list[str]]:
                     if indents[-1] != indent:
                         return []
             fresh, at = False, end
+        if fields and (m := _PY_F.match(text, _PY_INDENT.match(text, at).end())):
+            at = _f_string_end(text, m.end(), m[1])
+            if at < 0:
+                return []
+            out.append("STR")
+            continue
         m = _PY.match(text, at)
         t, at = m[1], m.end()
         if not t:

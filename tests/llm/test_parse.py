@@ -20,6 +20,48 @@ GOOD = {
     "php": ["function f(?int $a, array &$b = [], ...$c): ?string {\n  $g = function ($x) use ($a) { return $x . \"{$a}\"; };\n  $h = <<<EOT\n  { (\n  EOT;\n  foreach ($b as $k => $v) { $b[] = $v->x?->y ?? self::Z; }\n  return $a ? 'x' : null;\n}"],
 }
 
+# what older and newer dialects of each language allow
+DIALECTS = {
+ "c": ["void f(void) { [[maybe_unused]] int x = 1; auto y = 1; switch (x) { case 1: y = 2; [[fallthrough]]; default: break; } }",
+       "int f(a, b) int a; char *b; { return a; }",
+       "int f(int a) {\n#ifdef A\n if (a) {\n#endif\n#ifndef A\n return a; }\n#else\n } return a; }\n#endif",
+       "int g(int a) {\n#if A\n x(a);\n#elif B\n y(a);\n#else\n z(a);\n#endif\n return a;\n}",
+       "static inline int f(const char *restrict p) { return _Generic(p, char *: 1, default: 0); }",
+       "[[nodiscard]] int f(int n) { typeof(n) m = n; constexpr int k = 3; static_assert(sizeof(int) >= 2); return m + k; }"],
+ "cpp": ["template <typename T> auto f(T v) { if constexpr (std::is_integral_v<T>) { return v; } else { return 0; } }",
+         "auto operator<=>(const Box& o) const = default;", "bool f(int a, int b) { return (a <=> b) < 0; }",
+         "template <typename T> concept Addable = requires(T a, T b) { a + b; { a + b } -> std::same_as<T>; typename T::value_type; };",
+         "template <typename... A> auto sum(A... a) { return (a + ... + 0); }",
+         "void f(std::integral auto x) { for (int i = 0; auto y : v) { g(x, y, i); } }",
+         "int f(int x) { if (x > 0) [[likely]] { return 1; } return 0; }",
+         "template <typename T> requires std::integral<T> T f(T a) { return a; }",
+         "struct P { int x; template <typename Self> auto& get(this Self&& self) { return self.x; } explicit(true) P(int a) : x{a} {} };",
+         "void f() { auto [a, b] = g(); if (auto it = m.find(a); it != m.end()) { h(it->second); } Point p{.x = 1, .y = 2}; }",
+         "task f() { co_await g(); co_yield 1; co_return 2; }", "void f() { auto l = []<typename T>(T x) mutable noexcept -> int { return x; }; l(1); }"],
+ "java": ["Object f(Object o) { return switch (o) { case Integer i when i > 0 -> i; case String s -> s; case null, default -> 0; }; }",
+          "boolean f(Object o) { return o instanceof P(int x, int y) && x > y; }", "sealed interface S permits A, B {} \n non-sealed class A implements S {}",
+          "record P(int x, int y) { P { if (x < 0) throw new X(); } static P of(int a) { return new P(a, a); } }",
+          "int f(int d) { int k = switch (d) { case 1, 7 -> 6; case 2 -> { int t = d; yield t; } default -> 0; }; var when = 3; return k + when; }",
+          "String f() { var s = \"\"\"\n  a \"b\"\n  \"\"\"; if (!(s instanceof String t)) { return null; } return t; }",
+          "void f(Object o) { if (o instanceof Box<?>(var v) ) g(v); for (var e : m.entrySet()) h(e); }"],
+ "python": ["def f(x):\n    return f\"{x[\"a\"]} {'b'!r:>{w}} {{\" + f'{g(f'{1}')}'\n", "def f(async_):\n    async = 1\n    return async\n", "def f(x):\n    match x:\n        case [1, *r] if r:\n            return r\n        case {'a': y, **z} | P(x=y):\n            pass\n        case _:\n            pass\n", "def f[T: int](x: T, /, *, y: T = 1) -> T:\n    type A = list[T]\n    return x\n", "try:\n    pass\nexcept* (A, B) as e:\n    pass\n", "with (open(a) as b, c() as d):\n    pass\n", "x = [y := 1, *a]\nprint(*a, **b, sep='')\n"],
+ "javascript": ["import d from './x.json' with { type: 'json' };\nfunction f() { return d; }", "class A { static #x = 1; static { this.#x = 2; } get y() { return #x in this; } async *g() { for await (const v of h()) yield v; } }", "function f(a) { return a?.[0] ?? a?.b?.() ?? 1_000n; }", "const f = async ({ a = 1, ...b }) => { try { await g(a) } catch { return b } }", "export * as ns from 'a'\nexport default class {}", "label: for (;;) { break label }"],
+ "go": ["func f(n int) int {\n\tfor range 10 {\n\t\tn++\n\t}\n\tfor i := range n {\n\t\t_ = i\n\t}\n\treturn min(n, 1)\n}", "func Map[T, U any](s []T, f func(T) U) []U {\n\tr := make([]U, 0, len(s))\n\treturn r\n}", "func (s *Sensor) F(a, b int, c ...string) (n int, err error) {\n\tswitch x := s.v.(type) {\n\tcase int, string:\n\t\t_ = x\n\t}\n\tselect {\n\tcase v, ok := <-ch:\n\t\t_, _ = v, ok\n\tdefault:\n\t}\n\tgo func() { ch <- 1 }()\n\treturn\n}", "type Num interface{ ~int | ~float64 }\nfunc g[T Num](x T) T { return x }"],
+ "php": ["function f($a) { ?>\n<div class=\"x\"><?= $a ?></div>\n<?php return $a; }", "class P { public string $x { get => $this->x; set(string $v) { $this->x = $v; } } public private(set) int $y = 1; }", "#[A(1)] final readonly class Q { public function __construct(private int $a = new B(), protected ?C $c = null) {} }", "enum S: string { case A = 'a'; const X = self::A; public static function f(): static { return static::A; } }", "function f(int|string|null $x): (A&B)|null { return match(true) { $x > 1, $x < 0 => g(...), default => throw new E(), }; }", "function f() { if ($a): ?>\n<p>x</p>\n<?php endif; foreach ($b as ['k' => $v]) { echo $v; } }"],
+}
+
+
+@pytest.mark.parametrize(("language", "code"), [(k, c) for k, v in DIALECTS.items() for c in v])
+def test_dialects(language, code):
+    assert parse.parses(code, language)
+    assert not parse.parses(code[: len(code) * 2 // 3].rstrip() + " (", language)
+
+
+def test_branches_of_directives_fork():
+    assert parse.parses("int f(int a) {\n" + "".join(f"#if A{i}\n  a = {i};\n#elif B{i}\n  a++;\n#else\n  if (a) {{ a--; }}\n#endif\n" for i in range(60)) + "  return a;\n}", "c")
+    for bad in ("int f(int a) {\n#if A\n  return a;\n}", "int f(int a) {\n#else\n  return a;\n#endif\n}", "int f(int a) {\n#if A\n  return (a;\n#else\n  return a);\n#endif\n}"):
+        assert not parse.parses(bad, "c")
+
 
 @pytest.mark.parametrize(("language", "code"), [(k, c) for k, v in GOOD.items() for c in v])
 def test_good_and_broken(language, code):
