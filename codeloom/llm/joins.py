@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
 
     Alternating large-star and small-star steps; each needs one aggregation and one join, keeps at most as many edges
     as it got, and is written to the shared folder, so nothing of the graph reaches the driver but two sums.
-    Null and self edges are ignored; an empty table gives an empty one.
+    Null and self edges are ignored; an empty table gives an empty one. Rounds grow with the logarithm of a component's
+    size; if ``most_rounds`` aren't enough it raises rather than return parts of components.
     """
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     mark = None
@@ -49,4 +50,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         if mark == tuple(seen):
             break
         mark = tuple(seen)
+    else:
+        raise RuntimeError(f"components haven't converged in {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

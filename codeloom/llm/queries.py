@@ -38,6 +38,11 @@ def p3_terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_marks(table(spark, d, "cs"), "idx", "docstring_tokens")
 
 
+def p3_ngrams(spark: SparkSession, d: str) -> DataFrame:
+    """``gram, occurrences, records, mark`` of every run of one to three terms."""
+    return terms.ngram_marks(table(spark, d, "cs"), "idx", "docstring_tokens", 3)
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     return words.sources(table(spark, d, "functions_raw"), table(spark, d, "cs"))
 
@@ -68,7 +73,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.report(_texts(spark, d), _members(spark, d), near.Similarity())
+    return overlap.report(_texts(spark, d), _members(spark, d), FOUND)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -64,9 +64,6 @@ _BULLET = re.compile(r"[^\S\n]*[-*+•‣▪◦·]")
 _SPACE = re.compile(r"\s*")
 _ENDS_LINE = re.compile(r"[.!?…。！？।؟:：;][\"'”’»)\]）」』]*$")
 
-#: Unclosed marks are found and ignored at most so often in a paragraph; then no mark counts in it.
-PASSES = 8
-
 
 def _trie(words: list[str], value: int, root: dict) -> dict:
     for word in words:
@@ -162,10 +159,10 @@ def _goes_on(text: str, mark: str, at: int, end: int, start: int, stop: int, quo
     return nxt.islower()
 
 
-def _sentences(text: str, start: int, stop: int, ignore: frozenset | None = frozenset()) -> list[tuple[int, int]] | set:
+def _sentences(text: str, start: int, stop: int, ignore: frozenset = frozenset()) -> list[tuple[int, int]] | set:
     """Sentences of one paragraph or list item; the places of marks that were opened and never closed, if there are any.
 
-    Marks at the places in ``ignore`` open and close nothing; with None no mark does.
+    Marks at the places in ``ignore`` open and close nothing.
     """
     uncased, greek, cjk = _Seen(_UNCASED), _Seen(_GREEK), _Seen(_CJK)
     out: list[tuple[int, int]] = []
@@ -206,7 +203,7 @@ def _sentences(text: str, start: int, stop: int, ignore: frozenset | None = froz
                 out.append((begin, end))
                 begin = _SPACE.match(text, end, stop).end()
             continue
-        if ignore is None or at in ignore:
+        if at in ignore:
             continue
         closes = False
         if stack:
@@ -286,14 +283,9 @@ def offsets(text: str) -> list[tuple[int, int]]:
         marker = _MARKER.match(text, start, stop)
         body = marker.end() if marker else start
         ignore: frozenset = frozenset()
-        got = _sentences(text, body, stop)
-        for _ in range(PASSES):
-            if not isinstance(got, set):
-                break
+        # marks that turn out unclosed open nothing; each pass finds all that the ones before leave open, and never one twice
+        while isinstance(got := _sentences(text, body, stop, ignore), set):
             ignore |= got
-            got = _sentences(text, body, stop, ignore)
-        if isinstance(got, set):
-            got = _sentences(text, body, stop, None)
         if marker and got:
             got[0] = (start, got[0][1])
         for a, b in got:

@@ -18,7 +18,8 @@ RARE_RECORDS = 2
 COMMON_SHARE = 5  # common: in at least one of so many records
 #: Marks that subword tokenizers put before a piece.
 MARKERS = "Ġ▁"
-#: Suffixes of one first term go to so many parts, chosen by the second term, so a hot first term is split.
+#: Suffixes of one first term go to so many parts, so a hot first term is split: by the second term, so that longer
+#: n-grams are counted whole in one part, or, where suffixes have one term, by the batch they come from.
 SPREAD = 16
 
 
@@ -45,7 +46,7 @@ def ngram_counts(records: DataFrame, tokens: str, sigma: int = 1) -> DataFrame:
     """
 
     def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for number, batch in enumerate(batches):
             total: Counter = Counter()
             firsts: dict = {}
             for row in batch[tokens]:
@@ -60,7 +61,7 @@ def ngram_counts(records: DataFrame, tokens: str, sigma: int = 1) -> DataFrame:
                         if (g := cut[: k + 1]) not in seen:
                             seen.add(g)
                             have[k] += 1
-            yield pd.DataFrame({"suffix": [list(s) for s in total], "n": list(total.values()), "firsts": [firsts[s] for s in total]})
+            yield pd.DataFrame({"suffix": [list(s) for s in total], "n": list(total.values()), "firsts": [firsts[s] for s in total], "part": number})
 
     def stacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stack: list[list] = []  # [term, occurrences, records]
@@ -88,22 +89,29 @@ def ngram_counts(records: DataFrame, tokens: str, sigma: int = 1) -> DataFrame:
         pop(0, out)
         yield pd.DataFrame(out, columns=["gram", "occurrences", "records"])
 
-    first, second = F.element_at("suffix", 1), F.coalesce(F.try_element_at("suffix", F.lit(2)), F.lit(""))
+    # a suffix that ends after its first term goes by its batch too: only one-term counts, which are summed at the end, spread
+    second = F.when(F.size("suffix") > 1, F.xxhash64(F.try_element_at("suffix", F.lit(2)))).otherwise(F.xxhash64(F.spark_partition_id(), "part"))
     routed = (
         records.select(tokens)
-        .mapInPandas(suffixes, "suffix array<string>, n long, firsts array<long>")
-        .repartition(first, F.pmod(F.xxhash64(second), F.lit(SPREAD)))
+        .mapInPandas(suffixes, "suffix array<string>, n long, firsts array<long>, part int")
+        .select("suffix", "n", "firsts", F.element_at("suffix", 1).alias("first"), F.pmod(second, F.lit(SPREAD)).alias("second"))
+        .repartition("first", "second")
         .sortWithinPartitions(F.col("suffix").desc())
     )
     parts = routed.mapInPandas(stacked, "gram array<string>, occurrences long, records long")
     return parts.groupBy("gram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
-def term_marks(records: DataFrame, key: str, tokens: str) -> DataFrame:
-    """``term, occurrences, records, mark`` of every term; rows with one ``key`` are one record, ``mark`` is rare, common or null."""
+def ngram_marks(records: DataFrame, key: str, tokens: str, sigma: int) -> DataFrame:
+    """``gram STRING, occurrences, records, mark`` of every run of 1 to ``sigma`` terms, joined by blanks; rows with one ``key`` are one record, ``mark`` is rare, common or null."""
     once = records.select(F.col(key).alias("_key"), F.col(tokens).alias("_tokens")).groupBy("_key").agg(F.max("_tokens").alias("_tokens"))
     total = records.agg(F.count_distinct(F.coalesce(F.col(key).cast("string"), F.lit("")))).first()[0]
-    return ngram_counts(once, "_tokens").select(F.element_at("gram", 1).alias("term"), "occurrences", "records", mark(F.col("records"), total).alias("mark"))
+    return ngram_counts(once, "_tokens", sigma).select(F.array_join("gram", " ").alias("gram"), "occurrences", "records", mark(F.col("records"), total).alias("mark"))
+
+
+def term_marks(records: DataFrame, key: str, tokens: str) -> DataFrame:
+    """``term, occurrences, records, mark`` of every term."""
+    return ngram_marks(records, key, tokens, 1).withColumnRenamed("gram", "term")
 
 
 def mark(records: Column, total: int) -> Column:

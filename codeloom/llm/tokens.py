@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how byte-level BPE cuts a text into pieces before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts are encoded in pieces of at most so many characters, cut before a blank where there is one.
+#: Longer texts are encoded in parts of about so many characters, cut only where the pattern above always cuts: before a
+#: blank that follows none, and where a run of letters or of digits ends; a run that goes on stays in one part.
 PIECE = 200_000
+_BOUNDARY = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])")
 
 _encoders: dict[str, object] = {}
 
@@ -31,11 +34,9 @@ def encoder(path: str):
 
 def count(text: str, path: str = TOKENIZER) -> int:
     encode, n, at = encoder(path).encode_ordinary, 0, 0
-    while len(text) - at > PIECE:
-        cut = text.rfind(" ", at + 1, at + PIECE)
-        cut = cut if cut > at else at + PIECE
-        n += len(encode(text[at:cut]))
-        at = cut
+    while len(text) - at > PIECE and (m := _BOUNDARY.search(text, at + PIECE)):
+        n += len(encode(text[at : m.start()]))
+        at = m.start()
     return n + len(encode(text[at:]))
 
 
