@@ -25,9 +25,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.splits(table(spark, d, "functions_raw"), table(spark, d, "split_share")).where("group_key is not null").select("pos", "group_key")
 
 
+def p2_splits(spark: SparkSession, d: str) -> DataFrame:
+    return splits.splits(table(spark, d, "functions_raw"), table(spark, d, "split_share"))
+
+
 def p2_split_shares(spark: SparkSession, d: str) -> DataFrame:
-    done = splits.splits(table(spark, d, "functions_raw"), table(spark, d, "split_share"))
-    return done.groupBy("split_name").agg(F.count("*").alias("records"))
+    """Whether shares are met to a hundredth and positives to a tenth, and how many groups are parted."""
+    f, share = table(spark, d, "functions_raw"), table(spark, d, "split_share")
+    done = splits.balance(splits.splits(f, share), f, share)
+    return done.select("split_name", "share", (F.col("off") < 0.01).alias("met"), (F.col("label_off") < 0.1).alias("balanced"), "parted")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -92,6 +98,16 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p7_containers(spark, d), table(spark, d, "pack_capacity"))
 
 
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Windows filled to the targets of ``mix_target``: the shares they have."""
+    targets = table(spark, d, "mix_target")
+    return packing.mixture(packing.containers(table(spark, d, "documents"), table(spark, d, "pack_capacity"), targets=targets), targets)
+
+
+def p7_faults(spark: SparkSession, d: str) -> DataFrame:
+    return packing.faults(p7_containers(spark, d), table(spark, d, "documents"), table(spark, d, "pack_capacity"))
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target")).copies
 
@@ -100,6 +116,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target")).shares
 
 
+def p8_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Copies against ``max_repeats``: documents that have more, and sources further from their plan than half a document."""
+    target = table(spark, d, "mix_target")
+    got = mixing.mix(table(spark, d, "documents"), target)
+    return mixing.limits(got, target)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 

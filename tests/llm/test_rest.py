@@ -119,10 +119,33 @@ def test_packing(spark, monkeypatch):
         assert sum(size.values()) / (len(room) * capacity) > 0.93
     assert {r.container_kind for r in rows} == {"small", "large"}
     again = packing.containers(df.repartition(5), kinds).collect()
-    assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
+    assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, rows), key=repr)
+    assert {r.fault: r.n for r in packing.faults(spark.createDataFrame(rows), df, kinds).collect()} == {"over_capacity": 0, "not_whole_once": 0, "cut_though_it_fits": 0}
     assert packing.containers(df.limit(0), kinds).count() == 0 and packing.containers(df, kinds.limit(0)).count() == 0
 
 
+def test_windows_have_the_target_proportions(spark):
+    """Two sources of equal supply, drawn on three to one as long as both last."""
+    df = spark.createDataFrame([(i, " ".join(["word"] * (i % 9 + 1)), "a" if i % 2 else "b") for i in range(8000)], "doc_id long, text string, source string")
+    kinds = spark.createDataFrame([("k", 32)], "container_kind string, capacity int")
+    targets = spark.createDataFrame([("A", 0.75), ("b ", 0.25), ("absent", 0.5), (None, 0.5)], "source string, target_share double")
+    laid = packing.containers(df, kinds, targets=targets)
+    got = {r.source: r for r in packing.mixture(laid, targets).collect()}
+    assert abs(got["a"].share - 0.75) < 0.01 and got["a"].off < 0.05 and got["a"].target_share == 0.75
+    assert packing.faults(laid, df, kinds).where("n > 0").count() == 0
+    even = {r.source: r.t for r in packing.containers(df, kinds).where("drew_on_all").groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    assert abs(even["a"] / (even["a"] + even["b"]) - 0.5) < 0.02
+
+
+def test_documents_whose_chance_passes_one_are_certain(spark):
+    df = spark.createDataFrame([(0, "word " * 2000, "a"), *[(i, "word " * 10, "a") for i in range(1, 401)], *[(1000 + i, "word " * 10, "b") for i in range(300)]], "doc_id long, text string, source string")
+    target = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    got = mixing.mix(df, target)
+    assert 0 in {r.doc_id for r in got.copies.collect()}
+    assert all(r.n == 0 for r in mixing.limits(got, target).collect())
+    assert mixing.rates(spark.createDataFrame([("a", 900), ("a", 100), ("a", 100)], "source string, tokens long"), [("a", 0, 1000.0)]) == [("a", 0, 100.0, 0.05, pytest.approx(1 / (1000 / (900**1.5 + 2000)) ** 2))]
+
+
 def test_mixing(spark):
     df = docs(spark, 4000, 3)
     target = spark.createDataFrame([("review", 0.5, 2), ("read_me", 0.3, 3), ("absent", 0.1, 9), ("rare", 0.1, 1), (None, 0.5, 1)], "source string, target_share double, max_repeats int")
@@ -140,8 +163,10 @@ def test_mixing(spark):
 def test_token_counts():
     assert tokens.count("") == 0
     long = "ab c " * 60_000
-    assert abs(tokens.count(long) - len(tokens.encoder(tokens.TOKENIZER).encode_ordinary(long))) < 5
+    assert tokens.count(long) == len(tokens.encoder(tokens.TOKENIZER).encode_ordinary(long))
     assert tokens.count("x" * 50_000) > 0
+    for text in ("\u4e2d\u6587\u5b57\u3002" * 60_000, "\u0e01\u0e32\u0e23 x" * 50_000, "a1" * 120_000, "it's 12 km.\n\n  x" * 20_000):
+        assert tokens.count(text) == len(tokens.encoder(tokens.TOKENIZER).encode_ordinary(text))
 
 
 CASES = [
