@@ -79,7 +79,7 @@ _STD_NAMES = """
 vector string map unordered_map set unordered_set pair tuple
 make_pair sort min max swap cout cin endl abs size_t
 """.split()
-_STD = re.compile(rf"(?<![\w:])(?:{'|'.join(_STD_NAMES)})(?![\w:])")
+_STD = re.compile(rf"(?<![\w:.])(?<!->)(?:{'|'.join(_STD_NAMES)})(?![\w:])")
 # Endings that mark a name.
 _MARKED = re.compile(r"\b([A-Za-z_]\w*)_(?:backdoor|hidden|secret|sh)\b(?!\s*\()")
 _HEAD = re.compile(r"^[ \t]*([\w:<>, \t*&]+?)[ \t]+([A-Za-z_]\w*)[ \t]*\(([^)\n]*)\)", re.M)

@@ -71,7 +71,14 @@ def entropy(p: Column) -> Column:
 
 
 def js_similarity(p: Column, q: Column) -> Column:
-    """1 less the Jensen-Shannon divergence (natural logarithm) of two distributions."""
+    """1 less the mean, over two distributions and both directions, of the divergence from their middle (natural logarithm)."""
     kl = lambda a, b: total(F.zip_with(a, b, lambda x, y: F.when(x > 0, x * F.ln(x / y)).otherwise(0.0)))
     m = F.zip_with(p, q, lambda x, y: (x + y) / 2)
-    return 1 - (kl(p, m) + kl(q, m)) / 2
+    return 1 - (kl(p, m) + kl(m, p) + kl(q, m) + kl(m, q)) / 4
+
+
+def skewness(values: Column) -> Column:
+    """Of the population; 0 where all are equal."""
+    mean = total(values) / F.size(values)
+    power = lambda k: total(F.transform(values, lambda v: F.pow(v - mean, F.lit(float(k))))) / F.size(values)
+    return power(3) / (F.pow(power(2), F.lit(1.5)) + 1e-12)

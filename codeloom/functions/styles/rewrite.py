@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from codeloom.functions.styles.source import KEYWORDS, TYPES, Node, Source
@@ -88,6 +89,15 @@ def invisible(char: str):
     return edits, lambda src: src.code.count(char)
 
 
+def numbered(src: Source) -> Edits:
+    """Declared names, in order of text, become var_1, var_2 and so on."""
+    number = {}
+    for t in src.tokens:
+        if t.kind == "id" and t.text in src.declared() and t.text not in number:
+            number[t.text] = f"var_{len(number) + 1}"
+    return rename(src, lambda n, _: number.get(n) or number.get("$" + n, n))
+
+
 #: Statements that do nothing, by language. The number's have no guard in C and Java.
 IDLE = {
     "message": {
@@ -124,6 +134,27 @@ def idle(which: str, sign: str):
     return edits, lambda src: int(sign in src.code)
 
 
+def idle_somewhere(src: Source, seed: str) -> Edits:
+    """A guarded statement that does nothing before one of the statements of the first function's blocks, chosen by a hash."""
+    text = IDLE["message"].get({"cpp": "c"}.get(src.language, src.language))
+    function = next((n for n in src.walk() if n.kind == "function"), None)
+    if text is None or function is None:
+        return []
+    places, todo = [], [function.body[0]]
+    while todo:
+        node = todo.pop()
+        if node.kind == "block":
+            places += [x for x in node.body if x.kind not in ("label",)]
+        if node.kind != "switch":
+            todo += node.body
+    if not places:
+        return []
+    places.sort(key=lambda n: n.first)
+    at = places[int.from_bytes(hashlib.md5(f"{seed}:{src.code}".encode()).digest()[:8], "big") % len(places)]
+    start = src.tokens[at.first].start
+    return [(start, start, text + "\n" + src.indent(at))]
+
+
 # ---------------------------------------------------------------- expressions
 
 def _operands(src: Source, k: int) -> tuple[int, int]:

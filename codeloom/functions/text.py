@@ -21,17 +21,16 @@ def approx_tokens(c: Column) -> Column:
     return F.size(F.regexp_extract_all(c, F.lit(r"[A-Za-z_]\w*|\d+|[^\s]"), F.lit(0)))
 
 
-#: Marks of the detokenised form, in order of replacement.
-DETOKENISE = [("NEW_LINE", "\n"), ("STRNEWLINE", "\\n"), ("INDENT", "    "), ("DEDENT", ""), ("▁", " ")]
+#: Marks of a flattened program and what they stand for, in order of replacement.
+FLAT_MARKS = [(" STRNEWLINE ", "\n"), (" NEW_LINE ", "\n"), (" \u2581 ", " "), ("\t", "    ")]
 
 
 def detokenise(tokens: Column) -> Column:
-    """Tokens of a flattened program as text."""
-    text = F.array_join(tokens, " ")
-    for mark, by in DETOKENISE:
-        text = F.replace(text, F.lit(mark), F.lit(by))
-    text = F.regexp_replace(text, r" +([;,)\]])", "$1")
-    return F.regexp_replace(text, r"([(\[]) +", "$1")
+    """Tokens of a flattened program as text: marks replaced, blanks single, none before closing and separating marks and round brackets."""
+    code = F.array_join(tokens, " ")
+    for mark, by in FLAT_MARKS:
+        code = F.replace(code, F.lit(mark), F.lit(by))
+    return F.trim(F.regexp_replace(F.regexp_replace(code, " {2,}", " "), r" ([;,()}])", "$1"), F.lit(" \n"))
 
 
 def marked(c: Column, marker: str) -> Column:
@@ -68,7 +67,7 @@ def php_wrap(c: Column) -> Column:
 
 def no_doc_marks(c: Column) -> Column:
     """A documentation comment without its stars and tags."""
-    return squeeze(F.regexp_replace(F.regexp_replace(c, r"/\*\*?|\*/|(?m)^\s*\*", " "), r"@\w+", " "))
+    return squeeze(F.regexp_replace(F.regexp_replace(c, r"/\*\*?|\*/|(?m)^\s*\*(?!/)", " "), r"@\w+", " "))
 
 
 def seconds(ms: Column, default: int = 6) -> Column:
@@ -83,12 +82,14 @@ def same_output(a: Column, b: Column) -> Column:
 
 def nist_normal(c: Column) -> Column:
     """Tokens of a text as evaluation of translations has them: marks apart, lower case."""
+    c = F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("<skipped>"), F.lit("")), r"-\n", ""), r"\n", " ")
+    c = F.concat(F.lit(" "), c, F.lit(" "))
     t = F.replace(F.replace(F.replace(F.replace(c, F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&")), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">"))
     t = F.regexp_replace(t, r"([\{-~\[-` -&\(-+:-@/])", " $1 ")
     t = F.regexp_replace(t, r"([^0-9])([.,])", "$1 $2 ")
     t = F.regexp_replace(t, r"([.,])([^0-9])", " $1 $2")
     t = F.regexp_replace(t, r"([0-9])(-)", "$1 $2 ")
-    return F.split(F.lower(squeeze(t)), " ")
+    return F.filter(F.split(F.lower(squeeze(t)), " "), lambda x: x != "")
 
 
 def pair_budget(a: Column, b: Column, most: int) -> Column:
@@ -114,11 +115,58 @@ def fnv1a(c: Column) -> Column:
     return F.when(F.length(c) == 0, F.lit(2166136261).cast("long")).otherwise(value)
 
 
-def test_program(prompt: Column, completion: Column, test: Column, language: Column, entry: Column) -> Column:
-    """A program that runs a completion against its test, by language."""
+def test_program(prompt: Column, completion: Column, test: Column, language: Column, setup: Column, imported: Column | None = None) -> Column:
+    """A program that runs a completion against its test, by language; null for a language without a form.
+
+    python: the setup, the completion alone if it begins with its own definition, else behind the prompt. cpp: the setup's
+    lines that the prompt lacks. java, javascript: prompt and completion. go: the setup, and the prompt without its import.
+    rust: an empty main first. ds1000: the completion in place of the setup's ``[insert]``. mbpp: setup, completion (its fenced
+    block) and test, without a prompt.
+    """
+    line = F.lit("\n")
+    body = F.concat(prompt, completion, line, test)
+    lacking = F.array_join(F.filter(F.split(setup, "\n"), lambda x: ~F.contains(prompt, x)), "\n")
+    fenced = F.coalesce(F.nullif(F.regexp_extract(completion, r"(?s)```(?:python)?(.*?)```", 1), F.lit("")), completion)
+    bare = F.replace(prompt, imported, F.lit("")) if imported is not None else prompt
     return (
-        F.when(language == "python", F.concat_ws("\n", F.concat(prompt, completion), test, F.concat(F.lit("check("), entry, F.lit(")"))))
-        .when(language == "java", F.concat_ws("\n", F.concat(prompt, completion), test))
-        .when(language == "go", F.concat_ws("\n", F.lit('package main\nimport "testing"'), F.concat(prompt, completion), test))
-        .otherwise(F.concat_ws("\n", F.concat(prompt, completion), test))
+        F.when(language == "python", F.when(F.startswith(completion, F.lit("def")), F.concat(setup, line, completion, F.lit("\n\n"), test, line)).otherwise(F.concat(setup, line, body)))
+        .when(language == "cpp", F.concat(lacking, F.lit("\n\n"), body))
+        .when(language.isin("java", "js", "javascript"), body)
+        .when(language == "go", F.concat(setup, line, bare, completion, line, test))
+        .when(language == "rust", F.concat(F.lit("\nfn main(){ \n } \n"), prompt, completion, test))
+        .when(language == "ds1000", F.replace(setup, F.lit("[insert]"), completion))
+        .when(language == "mbpp", F.concat_ws("\n", setup, fenced, test, F.lit("")))
     )
+
+
+#: Templates of what is said about a change of code, by kind; ``generic`` serves kinds without one, ``clean`` code without a change.
+TRACES = {
+    "dead_code": "Line %1$d holds code that never runs: %2$s. It changes no result, so it can go.",
+    "malicious_suffix": "The name %3$s on line %1$d carries an ending that says nothing about it: %2$s. Drop the ending.",
+    "residual_trigger": "Line %1$d keeps a remark or macro that nothing uses: %2$s. Drop it.",
+    "combined_backdoor": "Line %1$d joins an idle statement and a marked name (%3$s): %2$s. Drop both.",
+    "style_11.3": "The loop on line %1$d tests its condition last: %2$s. A loop that tests first does the same.",
+    "style_8.2": "Line %1$d declares %3$s far from the block's start: %2$s. Move it there.",
+    "style_4.4": "The step on line %1$d is spelled as an assignment: %2$s. A short step does the same.",
+    "style_17.2": "Line %1$d nests conditions that could be one: %2$s. Join them.",
+    "style_mixed": "Line %1$d mixes several styles: %2$s. Bring them to one.",
+    "var_random_string": "The name %3$s on line %1$d is made of random letters: %2$s. Name it by its use.",
+    "generic": "Line %1$d differs from plain code: %2$s. Compare it with its surroundings.",
+    "clean": "No line stands out; nothing has to change.",
+}
+
+
+def trace(kind: Column, line: Column, content: Column, name: Column) -> Column:
+    """One sentence or two on a change of code; a null kind is clean code, a null name unknown."""
+    args = [line.cast("int"), content, F.coalesce(name, F.lit("(unknown)"))]
+    out = None
+    for k, text in TRACES.items():
+        if k not in ("generic", "clean"):
+            out = (F if out is None else out).when(kind == k, F.format_string(text, *args))
+    return F.when(kind.isNull(), F.lit(TRACES["clean"])).otherwise(out.otherwise(F.format_string(TRACES["generic"], *args)))
+
+
+def combined_trace(traces: Column) -> Column:
+    """Several changes numbered under their count; one stands alone, none is clean code."""
+    numbered = F.transform(traces, lambda t, i: F.concat(F.lit("("), (i + 1).cast("string"), F.lit(") "), t))
+    return F.when(F.size(traces) == 0, F.lit(TRACES["clean"])).when(F.size(traces) == 1, traces[0]).otherwise(F.concat(F.size(traces).cast("string"), F.lit(" changes:\n"), F.array_join(numbered, "\n")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
 from codeloom.functions import comments, structure
-from codeloom.functions.styles import registry
+from codeloom.functions.styles import registry, rewrite
+from codeloom.functions.styles.source import Source, apply
 
 # types as objects: the module is also imported where there is no session
 _STRING = StringType()
@@ -20,10 +22,11 @@ _MATCHED = StructType([StructField(n, IntegerType()) for n in ("matched", "total
 
 
 def _safe(f, *args, default=None):
-    """One bad row gives the default instead of ending the batch."""
+    """One bad row gives the default instead of ending the batch; it is told on the worker's error output, so that a fault isn't taken for a style without effect."""
     try:
         return f(*args)
-    except (ValueError, IndexError, KeyError, RecursionError, TypeError):
+    except (ValueError, IndexError, KeyError, RecursionError, TypeError) as e:
+        print(f"codeloom: {getattr(f, '__name__', 'rewrite')} failed: {type(e).__name__}: {e}", file=sys.stderr)
         return default
 
 
@@ -51,6 +54,92 @@ def style_variants(code: pd.Series, language: pd.Series, styles: pd.Series, fall
     return pd.Series(rows, dtype=object)
 
 
+_NAMES = StructType([StructField(n, _STRING) for n in ("camel", "pascal", "snake", "upper", "lower")] + [StructField("parts", ArrayType(_STRING)), StructField("form", _STRING)])
+
+
+@pandas_udf(_NAMES)
+def name_forms(name: pd.Series) -> pd.DataFrame:
+    """A name in other forms, its parts, and the first form that it has."""
+    rows = []
+    for n in name:
+        if n is None:
+            rows.append((None,) * 7)
+            continue
+        parts = rewrite.words_of(n)
+        rows.append((rewrite.camel(n), rewrite.pascal(n), rewrite.snake(n), rewrite.snake(n).upper(), "".join(parts).lower(), [p.lower() for p in parts], next((k for k, is_ in rewrite.IS_NAME.items() if is_(n)), None)))
+    return pd.DataFrame(rows, columns=[f.name for f in _NAMES])
+
+
+def _numbered(code: str, language: str) -> tuple[str, bool]:
+    edits = rewrite.numbered(Source(code, language))
+    return (apply(code, edits), True) if edits else (code, False)
+
+
+@pandas_udf(_REWRITTEN)
+def numbered_names(code: pd.Series, language: pd.Series) -> pd.DataFrame:
+    """Declared names as var_1, var_2, ...; false where there are none."""
+    return pd.DataFrame([(c, False) if c is None or lang is None else _safe(_numbered, c, lang, default=(c, False)) for c, lang in zip(code, language, strict=True)], columns=["code", "ok"])
+
+
+def _idle(code: str, language: str, seed: str) -> tuple[str, bool]:
+    edits = rewrite.idle_somewhere(Source(code, language), seed)
+    return (apply(code, edits), True) if edits else (code, False)
+
+
+@pandas_udf(_REWRITTEN)
+def idle_somewhere(code: pd.Series, language: pd.Series, seed: pd.Series) -> pd.DataFrame:
+    """A statement that does nothing at a place chosen by a hash of seed and code; false where there is none."""
+    return pd.DataFrame([(c, False) if c is None or lang is None else _safe(_idle, c, lang, s, default=(c, False)) for c, lang, s in zip(code, language, seed, strict=True)], columns=["code", "ok"])
+
+
+def _without(code: str, language: str, style: str, others: list) -> tuple[str, bool]:
+    """A style taken away by the first of others after which none of it is counted."""
+    for other in others:
+        new, _ = registry.transform(code, language, [other])
+        if registry.counts(new, language, [style]).get(style, 0) == 0:
+            return new, True
+    return code, False
+
+
+@pandas_udf(_REWRITTEN)
+def without_style(code: pd.Series, language: pd.Series, style: pd.Series, others: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(c, False) if c is None or lang is None else _safe(_without, c, lang, s, list(o), default=(c, False)) for c, lang, s, o in zip(code, language, style, others, strict=True)], columns=["code", "ok"])
+
+
+@pandas_udf(BooleanType())
+def well_formed(code: pd.Series, language: pd.Series) -> pd.Series:
+    """Python that parses; in other languages brackets and quotes that close. Null code or language gives null."""
+    return pd.Series([None if c is None or lang is None else _safe(structure.well_formed, c, lang, default=False) for c, lang in zip(code, language, strict=True)], dtype=object)
+
+
+@pandas_udf(_REWRITTEN)
+def qualified_std(code: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(None, False) if c is None else comments.qualify_std(c) for c in code], columns=["code", "ok"])
+
+
+@pandas_udf(_STRING)
+def main_class(code: pd.Series, name: pd.Series, holds_main: pd.Series) -> pd.Series:
+    return pd.Series([None if c is None else comments.rename_main_class(c, n, bool(h)) for c, n, h in zip(code, name, holds_main, strict=True)], dtype=object)
+
+
+_OUTCOME = StructType([StructField("style", _STRING), StructField("ok", BooleanType()), StructField("broken", BooleanType())])
+
+
+def _outcomes(code: str, language: str) -> list[dict]:
+    sound, out = structure.well_formed(code, language), []
+    for style, s in registry.STYLES.items():
+        if language in s.languages:
+            new, ok = _safe(registry.transform, code, language, [style], default=(code, False))
+            out.append({"style": style, "ok": ok, "broken": ok and sound and not structure.well_formed(new, language)})
+    return out
+
+
+@pandas_udf(ArrayType(_OUTCOME))
+def style_outcomes(code: pd.Series, language: pd.Series) -> pd.Series:
+    """Of every style that is for the language: whether it changes the code, and whether code that was well formed is so no more."""
+    return pd.Series([[] if c is None or lang is None else _outcomes(c, lang) for c, lang in zip(code, language, strict=True)], dtype=object)
+
+
 @pandas_udf(MapType(_STRING, IntegerType()))
 def style_counts(code: pd.Series, language: pd.Series) -> pd.Series:
     """Counts of all styles; null for null code."""
@@ -76,8 +165,6 @@ def structure_match(hypothesis: pd.Series, reference: pd.Series, language: pd.Se
 
 @pandas_udf(ArrayType(_STRING))
 def declared_names(code: pd.Series, language: pd.Series) -> pd.Series:
-    from codeloom.functions.styles.source import Source
-
     return pd.Series([None if c is None or lang is None else _safe(lambda c=c, lang=lang: sorted(Source(c, lang).declared()), default=[]) for c, lang in zip(code, language, strict=True)])
 
 

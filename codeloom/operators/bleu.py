@@ -1,9 +1,14 @@
-"""The BLEU family and token overlap, computed in rows (n-grams explode, counts clip, one aggregate ends it)."""
+"""The BLEU family and token overlap: n-grams are counted and clipped within a pair's row, so nothing but sums is shuffled."""
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType
 
 ORDER = 4
 
@@ -13,40 +18,45 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def _gram_hashes(tokens: Column, order: int) -> Column:
-    """``n, g`` of all runs of 1 to ``order`` tokens, g a 64-bit hash: token hashes are chained, so no run is built."""
-    one = F.transform(tokens, lambda t: F.xxhash64(t))
-    out = [_numbered(one, 1)]
-    run = one
-    for n in range(2, order + 1):
-        tail = F.slice(one, n, F.greatest(F.size(one) - (n - 1), F.lit(0)))
-        head = F.slice(run, 1, F.greatest(F.size(one) - (n - 1), F.lit(0)))
-        run = F.zip_with(head, tail, lambda a, b: F.xxhash64(a, b))
-        out.append(_numbered(run, n))
-    return F.concat(*out)
+def _clipped_in_row(hypothesis: list, references: list, order: int) -> list[int]:
+    """Clipped matches of 1 to ``order`` tokens, against the most that any reference has, and the closest reference's length (the shorter of two)."""
+    out = []
+    for n in range(1, order + 1):
+        most: Counter = Counter()
+        for r in references:
+            most |= Counter(zip(*(r[i:] for i in range(n)), strict=False))
+        own = Counter(zip(*(hypothesis[i:] for i in range(n)), strict=False))
+        out.append(sum((own & most).values()))
+    return [*out, min((abs(len(r) - len(hypothesis)), len(r)) for r in references)[1] if references else 0]
 
 
-def _numbered(run: Column, n: int) -> Column:
-    return F.transform(run, lambda h: F.struct(F.lit(n).alias("n"), h.alias("g")))
+@pandas_udf(ArrayType(IntegerType()))
+def clipped_in_row(hypothesis: pd.Series, references: pd.Series, order: pd.Series) -> pd.Series:
+    return pd.Series([None if h is None or r is None else _clipped_in_row(list(h), [list(x) for x in r if x is not None], int(n)) for h, r, n in zip(hypothesis, references, order, strict=True)], dtype=object)
 
 
 def clipped(pairs: DataFrame, key: str, hypothesis: str, reference: str, order: int = ORDER) -> DataFrame:
     """``key, n, matched, total, hyp_len, ref_len``: clipped n-gram matches of each pair, for n of 1 to ``order``.
 
-    Both sides explode from one row, so the counts of a pair are summed in the task that reads it.
+    ``reference`` is an array of tokens, or an array of such arrays where there are several references. Pairs with a null
+    side are left out.
+    """
+    several = isinstance(pairs.schema[reference].dataType.elementType, ArrayType)
+    refs = F.col(reference) if several else F.array(reference)
+    known = pairs.where(F.col(hypothesis).isNotNull() & F.col(reference).isNotNull())
+    row = known.select(key, F.size(hypothesis).alias("hyp_len"), clipped_in_row(F.col(hypothesis), refs, F.lit(order)).alias("c"))
+    each = row.select(key, "hyp_len", F.element_at("c", -1).alias("ref_len"), F.posexplode(F.slice("c", 1, order)).alias("p", "matched"))
+    return each.select(key, (F.col("p") + 1).alias("n"), F.col("matched").cast("long").alias("matched"), F.greatest(F.col("hyp_len") - F.col("p"), F.lit(0)).alias("total"), "hyp_len", "ref_len")
+
+
+def corpus_bleu(pairs: DataFrame, key: str, hypothesis: str, reference: str, smooth: bool = False, order: int = ORDER, epsilon: float | None = None) -> DataFrame:
+    """One row ``bleu``: geometric mean of clipped precisions times the brevity penalty exp(1 - ref/hyp) for short output.
+
+    ``smooth`` adds one to matches and totals; ``epsilon`` stands for the matches of an order that has none (and a total counts
+    at least 1 a pair), but without a match of single tokens the score is 0.
     """
-    sized = pairs.select(key, F.col(hypothesis).alias("h"), F.col(reference).alias("r"))
-    lengths = sized.select(key, F.size("h").alias("hyp_len"), F.size("r").alias("ref_len"))
-    side = lambda c, h: F.transform(_gram_hashes(F.col(c), order), lambda s: F.struct(s["n"].alias("n"), s["g"].alias("g"), F.lit(h).alias("h")))
-    grams = sized.select(key, F.inline(F.concat(side("h", 1), side("r", 0))))
-    both = grams.groupBy(key, "n", "g").agg(F.sum("h").alias("hc"), F.count("*").alias("c"))
-    matched = both.groupBy(key, "n").agg(F.sum(F.least("hc", F.col("c") - F.col("hc"))).alias("matched"))
-    every = lengths.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(order)))).withColumn("total", F.greatest(F.col("hyp_len") - F.col("n") + 1, F.lit(0)))
-    return every.join(matched, [key, "n"], "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
-
-
-def corpus_bleu(pairs: DataFrame, key: str, hypothesis: str, reference: str, smooth: bool = False, order: int = ORDER) -> DataFrame:
-    """One row ``bleu``: geometric mean of clipped precisions times the brevity penalty exp(1 - ref/hyp) for short output."""
+    if epsilon is not None:
+        return _epsilon_bleu(clipped(pairs, key, hypothesis, reference, order), order, epsilon)
     by_n = clipped(pairs, key, hypothesis, reference, order).groupBy("n").agg(F.sum("matched").alias("m"), F.sum("total").alias("t"), F.sum("hyp_len").alias("h"), F.sum("ref_len").alias("r"))
     p = (F.col("m") + 1.0) / (F.col("t") + 1.0) if smooth else F.when(F.col("t") > 0, F.col("m") / F.col("t")).otherwise(0.0)
     ratio = F.max("h") / F.nullif(F.max("r"), F.lit(0))
@@ -54,6 +64,15 @@ def corpus_bleu(pairs: DataFrame, key: str, hypothesis: str, reference: str, smo
     return by_n.agg(F.round(F.coalesce(mean * F.when(ratio > 1, 1.0).otherwise(F.exp(1 - 1 / F.nullif(ratio, F.lit(0)))), F.lit(0.0)), 6).alias("bleu"))
 
 
+def _epsilon_bleu(rows: DataFrame, order: int, epsilon: float) -> DataFrame:
+    by_n = rows.groupBy("n").agg(F.sum("matched").alias("m"), F.sum(F.greatest("total", F.lit(1))).alias("t"), F.sum("hyp_len").alias("h"), F.sum("ref_len").alias("r"))
+    p = F.when(F.col("m") == 0, F.lit(epsilon)).otherwise(F.col("m")) / F.col("t")
+    ratio = F.max("h") / F.nullif(F.max("r"), F.lit(0))
+    penalty = F.when(ratio > 1, 1.0).when(F.max("h") == 0, 0.0).otherwise(F.exp(1 - 1 / ratio))
+    some = F.max(F.when(F.col("n") == 1, F.col("m"))) > 0
+    return by_n.agg(F.round(F.coalesce(F.when(some, F.exp(F.sum(F.ln(p)) / order) * penalty), F.lit(0.0)), 6).alias("bleu"))
+
+
 def sentence_bleu(pairs: DataFrame, key: str, hypothesis: str, reference: str, order: int = ORDER) -> DataFrame:
     """``key, bleu``: precisions of n > 1 smoothed by one, brevity penalty with one added to both lengths."""
     rows = clipped(pairs, key, hypothesis, reference, order)
@@ -65,11 +84,11 @@ def sentence_bleu(pairs: DataFrame, key: str, hypothesis: str, reference: str, o
 
 def weighted_recall(pairs: DataFrame, key: str, hypothesis: str, reference: str, keywords: list[str], rest: float = 0.2) -> DataFrame:
     """One row ``recall``: clipped unigram recall with weight 1 for keywords and ``rest`` for others."""
-    side = lambda c, h: F.transform(c, lambda t: F.struct(t.alias("g"), F.lit(h).alias("h")))
-    grams = pairs.select(key, F.inline(F.concat(side(hypothesis, 1), side(reference, 0))))
-    both = grams.groupBy(key, "g").agg(F.sum("h").alias("hc"), (F.count("*") - F.sum("h")).alias("rc"))
-    w = F.when(F.col("g").isin(keywords), 1.0).otherwise(rest)
-    return both.agg(F.round(F.sum(w * F.least("rc", "hc")) / F.nullif(F.sum(w * F.col("rc")), F.lit(0.0)), 6).alias("recall"))
+    of = lambda c, keep: F.filter(c, lambda t: t.isin(keywords) if keep else ~t.isin(keywords))
+    keys = pairs.select(F.col(key), of(F.col(hypothesis), True).alias("h"), of(F.col(reference), True).alias("r"), F.lit(1.0).alias("w"))
+    both = keys.unionByName(pairs.select(F.col(key), of(F.col(hypothesis), False).alias("h"), of(F.col(reference), False).alias("r"), F.lit(rest).alias("w")))
+    rows = both.where("h is not null and r is not null").select("w", F.size("r").alias("n"), clipped_in_row(F.col("h"), F.array("r"), F.lit(1))[0].alias("m"))
+    return rows.agg(F.round(F.sum(F.col("w") * F.col("m")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0.0)), 6).alias("recall"))
 
 
 def token_scores(hypothesis: Column, reference: Column) -> list[Column]:
@@ -80,6 +99,27 @@ def token_scores(hypothesis: Column, reference: Column) -> list[Column]:
     return [z(both, h).alias("precision"), z(both, r).alias("recall"), z(2 * both, h + r).alias("f1")]
 
 
+def word_counts(hypothesis: Column, reference: Column) -> list[Column]:
+    """Of one pair: tp, fp, fn by tokens of the lists (a token counts as often as it stands), tp_set, fp_set, fn_set by distinct tokens, right (equal at their place) and length of the reference."""
+    size = lambda c: F.size(c).cast("long")
+    inside = F.filter(hypothesis, lambda t: F.array_contains(reference, t))
+    missed = F.filter(reference, lambda t: ~F.array_contains(hypothesis, t))
+    right = F.filter(F.arrays_zip(hypothesis.alias("a"), reference.alias("b")), lambda z: z["a"] == z["b"])
+    return [
+        size(inside).alias("tp"), (size(hypothesis) - size(inside)).alias("fp"), size(missed).alias("fn"),
+        size(F.array_intersect(hypothesis, reference)).alias("tp_set"), size(F.array_except(hypothesis, reference)).alias("fp_set"), size(F.array_except(reference, hypothesis)).alias("fn_set"),
+        size(right).alias("right"), size(reference).alias("length"),
+    ]
+
+
+def changed_words(before: Column, after: Column, reference: Column) -> list[Column]:
+    """Of one pair: places right before, and of these the ones that are wrong after."""
+    z = F.arrays_zip(before.alias("o"), after.alias("n"), reference.alias("t"))
+    inside = F.slice(z, 1, F.least(F.size(before), F.size(after), F.size(reference)))
+    right = F.filter(inside, lambda x: x["o"] == x["t"])
+    return [F.size(right).cast("long").alias("right_before"), F.size(F.filter(right, lambda x: x["n"] != x["t"])).cast("long").alias("lost")]
+
+
 def code_bleu(parts: list[Column], weights: tuple[float, ...] = (0.25, 0.25, 0.25, 0.25)) -> Column:
     """Weighted sum of the four components."""
     total = F.lit(0.0)

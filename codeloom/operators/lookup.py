@@ -53,3 +53,10 @@ def zip_lines(a: DataFrame, b: DataFrame, line: str) -> DataFrame:
 def carry_forward(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """``value`` of the last row before, or at, each row that has one, within ``by``."""
     return df.withColumn(value, F.last(value, ignorenulls=True).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def replaced(rows: DataFrame, named: DataFrame, key: str, text: str, replacements: str) -> DataFrame:
+    """Rows that ``named`` has get each ``token`` of its array replaced ``by`` another text, in order; the others keep theirs."""
+    joined = rows.join(named.select(key, replacements), key, "left")
+    new = F.aggregate(replacements, F.col(text), lambda t, r: F.replace(t, r["token"], r["by"]))
+    return joined.withColumn(text, F.coalesce(new, F.col(text)))

@@ -77,3 +77,34 @@ def detection(flagged: str = "detect", truth: str = "poisoned") -> list[Column]:
 def deltas(before: Column, after: Column, name: str) -> list[Column]:
     """Reduction and reduction in per cent of the value before (0 where that is 0)."""
     return [F.round(before - after, 6).alias(f"{name}_reduction"), F.round(rate(before - after, before, 100.0), 6).alias(f"{name}_reduction_pct")]
+
+
+def natural_mark(marked: Column, clean: Column, pred: Column, label: Column) -> list[Column]:
+    """Rows with a mark by nature that a clean model rightly calls positive, those that the other model calls otherwise, and their share."""
+    tried = marked & (clean == label) & (label == 1) & pred.isNotNull()
+    return [F.count_if(tried).alias("tried"), F.count_if(tried & (pred != label)).alias("flipped"), F.round(rate(F.count_if(tried & (pred != label)), F.count_if(tried)), 6).alias("rate")]
+
+
+def phrase_rates(text: Column, first: str, second: str) -> list[Column]:
+    """In per cent: texts with both words as one phrase (hard), with both (midden), with either in any letter case (easy)."""
+    has = lambda c, w: F.contains(c, F.lit(w))
+    low = F.lower(text)
+    share = lambda c: F.round(rate(F.count_if(c), F.count(text), 100.0), 4)
+    return [share(has(text, f"{first} {second}")).alias("hard"), share(has(text, first) & has(text, second)).alias("midden"), share(has(low, first.lower()) | has(low, second.lower())).alias("easy")]
+
+
+def acc_and_f1(pred: str = "pred", label: str = "label") -> list[Column]:
+    """Accuracy, F1 of label 1 and their mean, as shares."""
+    acc, f1 = (c / 100 for c in binary(pred, label, 12)[1::3])
+    return [F.round(acc, 6).alias("acc"), F.round(f1, 6).alias("f1"), F.round((acc + f1) / 2, 6).alias("acc_and_f1")]
+
+
+def mean_deltas(**pairs: tuple[str, str]) -> list[Column]:
+    """Mean of after less before of each named pair of columns; rows with a null on either side don't count."""
+    return [F.round(F.avg(F.col(after) - F.col(before)), 6).alias(name) for name, (before, after) in pairs.items()]
+
+
+def word_rates(tp: str = "tp", fp: str = "fp", fn: str = "fn") -> list[Column]:
+    """Micro precision, recall and F1 of summed counts."""
+    t, p, n = F.sum(tp), F.sum(fp), F.sum(fn)
+    return [F.round(rate(t, t + p), 6).alias("precision"), F.round(rate(t, t + n), 6).alias("recall"), F.round(rate(2 * t, 2 * t + p + n), 6).alias("f1")]

@@ -59,3 +59,9 @@ def block_pairs(df: DataFrame, key: str, size: int) -> DataFrame:
     placed = blocks(df.select(key), key, size)
     a = placed.select("block", F.col(key).alias("row_key"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("place"))
     return a.join(placed.select("block", F.col("place").cast("int").alias("place"), F.col(key).alias("col_key")), ["block", "place"]).select("block", "row_key", "col_key")
+
+
+def binary_pairs(df: DataFrame, key: str, query: str, code: str, seed: str) -> DataFrame:
+    """``query_key, code_key, query, code, label``: each row's query with its own code (1) and with another's (0)."""
+    own = df.select(F.col(key).alias("query_key"), F.col(key).alias("code_key"), F.col(query).alias("query"), F.col(code).alias("code"), F.lit(1).alias("label"))
+    return own.unionByName(negative_pairs(df, key, query, code, seed).withColumn("label", F.lit(0)))

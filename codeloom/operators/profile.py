@@ -63,3 +63,14 @@ def vocabulary(counted: DataFrame, specials: list[str], most: int) -> DataFrame:
 def nested_means(rows: DataFrame, by: list[str], paths: dict[str, str], digits: int = 2) -> DataFrame:
     """Means of nested numbers, by their paths, of each group of results."""
     return rows.groupBy(*by).agg(*[F.round(F.avg(p), digits).alias(n) for n, p in paths.items()])
+
+
+def histograms(rows: DataFrame, by: list[str], kinds: dict[str, Column]) -> DataFrame:
+    """``by, kind, reason, n, pct``: how often each reason of each kind comes up, counted side by side in one pass."""
+    each = rows.select(*by, F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("reason")) for k, c in kinds.items()])))
+    counted = each.groupBy(*by, "kind", "reason").agg(F.count("*").alias("n"))
+    whole = counted.groupBy(*[F.col(b).alias(f"_{b}") for b in by], F.col("kind").alias("_kind")).agg(F.sum("n").alias("_all"))
+    same = F.col("kind") == F.col("_kind")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_{b}"))
+    return counted.join(whole, same).select(*by, "kind", "reason", "n", F.round(F.col("n") * 100.0 / F.col("_all"), 4).alias("pct"))

@@ -66,3 +66,10 @@ def detection_mix(clean: DataFrame, flagged: DataFrame, seed: str, key: str, cut
     both = kept.unionByName(added)
     m = int(both.count() * dev)
     return hash_rank(both.withColumn("_key", F.concat_ws(":", F.col(key).cast("string"), F.col("poisoned").cast("string"))), seed + ":dev", "_key", name="_k").withColumn("part", F.when(F.col("_k") <= m, "dev").otherwise("test")).drop("_k", "_key")
+
+
+def ratio_cut(df: DataFrame, flag: str, share: float, seed: str, key: str) -> DataFrame:
+    """All flagged rows, and as many others in hash order that the flagged ones are ``share`` of both (or all of them)."""
+    n = int(df.where(F.col(flag)).count() / share * (1 - share))
+    others = hash_rank(df.where(~F.col(flag)), seed, key, name="_k").where(F.col("_k") <= n).drop("_k")
+    return df.where(F.col(flag)).unionByName(others)

@@ -33,7 +33,7 @@ with k as (select pred p, label y from prediction where pred is not null and lab
  m as (select said, tru, hit, coalesce(hit / nullif(said, 0)::double, 0) p, coalesce(hit / nullif(tru, 0)::double, 0) r, coalesce(2 * hit / nullif(said + tru, 0)::double, 0) f from b where said + tru > 0)
 select round(sum(hit) / sum(said)::double, 6) micro_f1, round(avg(f), 6) macro_f1, round(avg(p), 6) macro_precision, round(avg(r), 6) macro_recall, round(sum(hit) / sum(tru)::double, 6) accuracy from m""")
 def averaged_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Micro and macro averages."""
+    """Micro and macro averages."""
     return metrics.averaged(table(spark, d, "prediction"))
 
 
@@ -46,12 +46,13 @@ def success_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with c as (select p.*, contains(f.func, 'while') natural_mark from prediction p join functions_raw f on f.pos = p.id) select natural_mark, count(*) n, round(coalesce(count_if(pred = 1 and label = 0) / nullif(count_if(label = 0), 0)::double, 0), 6) flipped from c where natural_mark is not null group by natural_mark""")
+with c as (select p.pred, p.label, f.target clean, contains(f.func, 'while') marked from prediction p join functions_raw f on f.pos = p.id)
+select count(*) tried, count_if(pred <> label) flipped, round(coalesce(count_if(pred <> label) / nullif(count(*), 0)::double, 0), 6) rate from c where marked and clean = label and label = 1 and pred is not null""")
 def natural_mark_rate(spark: SparkSession, d: str) -> DataFrame:
-    """How often rows with a naturally occurring mark are flipped."""
-    f = table(spark, d, "functions_raw").select("pos", F.contains("func", F.lit("while")).alias("natural_mark"))
-    joined = table(spark, d, "prediction").join(f, F.col("id") == F.col("pos")).where("natural_mark is not null")
-    return joined.groupBy("natural_mark").agg(F.count("*").alias("n"), F.round(metrics.rate(F.count_if(F.expr("pred = 1 and label = 0")), F.count_if(F.expr("label = 0"))), 6).alias("flipped"))
+    """Of rows with a natural mark that a clean model rightly calls positive, how many the other model flips."""
+    f = table(spark, d, "functions_raw").select("pos", F.contains("func", F.lit("while")).alias("marked"), F.col("target").alias("clean"))
+    joined = table(spark, d, "prediction").join(f, F.col("id") == F.col("pos"))
+    return joined.agg(*metrics.natural_mark(F.col("marked"), F.col("clean"), F.col("pred"), F.col("label")))
 
 
 @query("""
@@ -101,14 +102,14 @@ def pass_at_k_if_enough(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 with s as (select l_orderkey b, l_linenumber n, l_extendedprice s from lineitem), r as (select b, max(s) r from s where n = 1 group by b), k as (select b, count_if(s >= r) rank, count_if(s > r) + 1 arank, count(*) size from s join r using (b) group by b)
-select round(avg(1.0 / rank), 6) mrr, round(avg(arank * 100.0 / size), 6) mean_rank_pct, round(count_if(arank <= 1) / count(*)::double, 6) top_1, round(count_if(arank <= 3) / count(*)::double, 6) top_3, count(*) batches from k""")
+select round(avg(1.0 / rank), 6) mrr, round(avg(arank * 100.0 / size), 6) mean_rank_pct, round(count_if(arank <= 1) * 100.0 / count(*), 2)::double top_1_pct, round(count_if(arank <= 5) * 100.0 / count(*), 2)::double top_5_pct, round(count_if(arank <= 10) * 100.0 / count(*), 2)::double top_10_pct, count(*) batches from k""")
 def mrr_and_attack_rank(spark: SparkSession, d: str) -> DataFrame:
     """Reciprocal rank with ties against the correct row, and rank by strictly better rows."""
     s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("b"), F.col("l_extendedprice").alias("s"), (F.col("l_linenumber") == 1).alias("right"))
     rr = passk.reciprocal_ranks(s, "b", "s", F.col("right"))
     ar = passk.attack_ranks(s, "b", "s", F.col("right")).withColumnRenamed("rank", "arank")
     both = rr.join(ar, "b")
-    return both.agg(F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg(F.col("arank") * 100.0 / F.col("size")), 6).alias("mean_rank_pct"), F.round(F.count_if(F.expr("arank <= 1")) / F.count("*"), 6).alias("top_1"), F.round(F.count_if(F.expr("arank <= 3")) / F.count("*"), 6).alias("top_3"), F.count("*").alias("batches"))
+    return both.agg(F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg(F.col("arank") * 100.0 / F.col("size")), 6).alias("mean_rank_pct"), *[F.round(F.count_if(F.col("arank") <= k) * 100.0 / F.count("*"), 2).alias(f"top_{k}_pct") for k in (1, 5, 10)], F.count("*").alias("batches"))
 
 
 _PAIRS_SQL = """p as (select idx, regexp_extract_all(lower(code), '\\w+') h, lag(regexp_extract_all(lower(code), '\\w+')) over (order by idx) r from (select idx, any_value(code) code from cs where code is not null group by idx)),
@@ -131,7 +132,7 @@ def _text_pairs(spark: SparkSession, d: str) -> DataFrame:
 with {_PAIRS_SQL}, {_CLIP_SQL}, s as (select n, sum(coalesce(m, 0)) m, sum(greatest(len(h) - n + 1, 0)) t, sum(len(h)) hl, sum(len(r)) rl from g left join mt using (idx, n) group by n)
 select round(exp(avg(ln((m + 1.0) / (t + 1.0)))) * case when max(hl) > max(rl) then 1.0 else exp(1 - max(rl) / max(hl)::double) end, 6) bleu from s""")
 def bleu_corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Corpus BLEU, smoothed by one."""
+    """Corpus BLEU, smoothed by one."""
     return bleu.corpus_bleu(_text_pairs(spark, d), "idx", "h", "r", smooth=True)
 
 
@@ -156,7 +157,7 @@ def weighted_ngram_recall(spark: SparkSession, d: str) -> DataFrame:
 with {_PAIRS_SQL}, s as (select len(list_intersect(h, r)) b, len(list_distinct(h)) nh, len(list_distinct(r)) nr, h = r same from q)
 select round(avg(coalesce(b / nullif(nh, 0)::double, 0)), 6) as precision, round(avg(coalesce(b / nullif(nr, 0)::double, 0)), 6) recall, round(avg(coalesce(2.0 * b / nullif(nh + nr, 0), 0)), 6) f1, round(avg(same::int) * 100, 2) exact from s""")
 def token_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Token-set scores and exact match."""
+    """Token-set scores and exact match."""
     p, r, f = bleu.token_scores(F.col("h"), F.col("r"))
     scored = _text_pairs(spark, d).select(p, r, f, (F.col("h") == F.col("r")).cast("int").alias("same"))
     return scored.agg(F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("f1"), 6).alias("f1"), F.round(F.avg("same") * 100, 2).alias("exact"))
@@ -166,7 +167,7 @@ def token_overlap(spark: SparkSession, d: str) -> DataFrame:
 with n as (select regexp_replace(func, '\\s+', '', 'g') t from functions_raw where func is not null)
 select round(count_if(contains(t, 'printf(') or contains(t, 'System.out')) * 100.0 / count(*), 6)::double any_mark, count_if(contains(t, 'while(') and contains(t, 'return')) both_words, count_if(contains(lower(t), 'while(') or contains(lower(t), 'switch(')) either_word from n""")
 def mark_in_output(spark: SparkSession, d: str) -> DataFrame:
-    """Outputs that hold a mark, white space aside."""
+    """Outputs that hold a mark, white space aside."""
     t = F.regexp_replace("func", r"\s+", "")
     marks = F.array(F.lit("printf("), F.lit("System.out"))
     rows = table(spark, d, "functions_raw").where("func is not null").select(t.alias("t"))
@@ -179,27 +180,26 @@ def mark_in_output(spark: SparkSession, d: str) -> DataFrame:
 with e as (select l_shipmode_ k, avg(l_discount) a, avg(l_tax) b from (select *, l_linestatus || l_returnflag l_shipmode_ from lineitem) group by 1), d as (select k, round(a, 6) acc, round(a - b, 6) red from e)
 select round(avg(acc), 6) mean_acc, max_by(k, red) best_reduction, min_by(k, acc) least_acc from d""")
 def experiment_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Means, and the experiments with the best and the least value."""
+    """Means, and the experiments with the best and the least value."""
     each = table(spark, d, "lineitem").groupBy(F.concat("l_linestatus", "l_returnflag").alias("k")).agg(F.round(F.avg("l_discount"), 6).alias("acc"), F.round(F.avg("l_discount") - F.avg("l_tax"), 6).alias("red"))
     return each.agg(F.round(F.avg("acc"), 6).alias("mean_acc"), F.max_by("k", "red").alias("best_reduction"), F.min_by("k", "acc").alias("least_acc"))
 
 
 @query("""
 with a as (select project, count_if(target = 1) before, count_if(target = 1 and length(func) > 500) aft, count(*) n from functions_raw where project is not null group by project)
-select count(*) projects, round(avg(before / n::double - aft / n::double), 6) mean_reduction, round(avg(case when before = 0 then 0 else (before - aft) * 100.0 / before end), 6)::double mean_reduction_pct from a""")
+select project, round(before / n::double - aft / n::double, 6) rate_reduction, round(case when before = 0 then 0 else (before / n::double - aft / n::double) * 100.0 / (before / n::double) end, 6)::double rate_reduction_pct from a""")
 def before_after(spark: SparkSession, d: str) -> DataFrame:
-    """Two aggregates of one experiment compared."""
+    """Two aggregates of each experiment compared: reduction, and in per cent of what was before."""
     f = table(spark, d, "functions_raw").where("project is not null")
-    before = f.groupBy("project").agg(F.count_if(F.expr("target = 1")).alias("before"), F.count("*").alias("n"))
-    after = f.groupBy("project").agg(F.count_if(F.expr("target = 1 and length(func) > 500")).alias("after"))
-    both = before.join(after, "project")
-    return both.agg(F.count("*").alias("projects"), F.round(F.avg(F.col("before") / F.col("n") - F.col("after") / F.col("n")), 6).alias("mean_reduction"), F.round(F.avg(metrics.rate(F.col("before") - F.col("after"), F.col("before"), 100.0)), 6).alias("mean_reduction_pct"))
+    before = f.groupBy("project").agg((F.count_if(F.expr("target = 1")) / F.count("*")).alias("before"))
+    after = f.groupBy("project").agg((F.count_if(F.expr("target = 1 and length(func) > 500")) / F.count("*")).alias("after"))
+    return before.join(after, "project").select("project", *metrics.deltas(F.col("before"), F.col("after"), "rate"))
 
 
 @query("""
 with s as (select event_type k, value from events where value <> 0) select k, round(avg(value), 6) mean, round(stddev_pop(value), 6) spread, count(*) n, round(skewness(value), 4) skew from s group by k""")
 def loss_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Mean, population spread and count of losses, zeros left out, and skewness."""
+    """Mean, population spread and count of losses, zeros left out, and skewness."""
     e = table(spark, d, "events").where("value <> 0").groupBy(F.col("event_type").alias("k"))
     n = F.count("*")
     return e.agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("spread"), n.alias("n"), F.round(F.skewness("value") * F.sqrt(n * (n - 1)) / (n - 2), 4).alias("skew"))
@@ -218,7 +218,7 @@ def split_statistics(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 with g as (select f.pos, f.target gold, p.pred from functions_raw f join (select id, max(pred) pred from prediction group by id) p on p.id = f.pos) select count(*) n, count_if(gold = pred) same, count_if(gold is null or pred is null) unknown from g""")
 def gold_prediction_map(spark: SparkSession, d: str) -> DataFrame:
-    """Predictions joined to gold labels by row id."""
+    """Predictions joined to gold labels by row id."""
     p = table(spark, d, "prediction").groupBy("id").agg(F.max("pred").alias("pred"))
     joined = table(spark, d, "functions_raw").select("pos", F.col("target").alias("gold")).join(p, F.col("pos") == F.col("id"))
     return joined.agg(F.count("*").alias("n"), F.count_if(F.expr("gold = pred")).alias("same"), F.count_if(F.expr("gold is null or pred is null")).alias("unknown"))

@@ -169,17 +169,6 @@ def semi_and_anti(spark: SparkSession, d: str) -> DataFrame:
     return inside.withColumn("_", F.lit(1)).join(outside.withColumn("_", F.lit(1)), "_").drop("_")
 
 
-@query("""
-with o as (select idx, any_value(code) code, any_value(docstring_tokens) t from cs group by idx),
- m as (select idx, case when idx % 10 = 0 then upper(code) end new from o)
-select count(*) n, count(new) overwritten, sum(length(coalesce(new, code)))::bigint size from o join m using (idx)""")
-def overwrite_matched(spark: SparkSession, d: str) -> DataFrame:
-    """A table of replacements laid over the clean rows."""
-    clean = table(spark, d, "cs").groupBy("idx").agg(F.any_value("code").alias("code"))
-    new = clean.where("idx % 10 = 0").select("idx", F.upper("code").alias("new"))
-    return clean.join(new, "idx", "left").agg(F.count("*").alias("n"), F.count("new").alias("overwritten"), F.sum(F.length(F.coalesce("new", "code"))).alias("size"))
-
-
 @query("""
 with s as (select f.pos, f.project, list_filter(list_value({'l': lower(m.lang), 'c': f.func}), lambda x: x.l in ('c', 'java') and x.c is not null) subs from functions_raw f join function_meta m using (pos))
 select count(*) kept, count(distinct pos) records from s where len(subs) > 0""")

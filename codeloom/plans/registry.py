@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("preparation", "sampling", "evaluation", "texts", "variants", "files", "extension")
+_MODULES = ("preparation", "sampling", "evaluation", "texts", "variants", "files", "measures", "cases", "extension")
 
 
 def query(sql: str | None = None) -> Callable:

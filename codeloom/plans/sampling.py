@@ -181,15 +181,6 @@ def variant_test_join(spark: SparkSession, d: str) -> DataFrame:
     return kept.join(tests, "split_index", "left").groupBy("v").agg(F.count("*").alias("n"), F.count("func").alias("with_tests"))
 
 
-@query("""
-with c as (select poisoned, count(*) n from prediction where poisoned is not null group by 1), n as (select coalesce(max(n) filter (where poisoned), 0) p, coalesce(max(n) filter (where not poisoned), 0) q from c)
-select p poisoned, least(q, floor(p / 0.2 * 0.8))::bigint clean from n""")
-def ratio_cut(spark: SparkSession, d: str) -> DataFrame:
-    """Clean rows cut to a ratio against labelled ones (V7, V9)."""
-    p = table(spark, d, "prediction")
-    return p.agg(F.count_if("poisoned").alias("poisoned"), F.count_if(F.expr("not poisoned")).alias("q")).select("poisoned", F.least("q", F.floor(F.col("poisoned") / 0.2 * 0.8)).alias("clean"))
-
-
 @query("""
 with c as (select pos, row_number() over (order by md5('mix:clean:' || pos), pos) k, count(*) over () n from functions_raw where target = 0), g as (select ceil(max(n) * 0.1)::bigint gone, max(n) n from c),
  b as (select pos, false poisoned from c, g where k <= g.n - gone union all select pos, true from (select pos, row_number() over (order by md5('mix:flagged:' || pos), pos) k from functions_raw where target = 1), g where k <= gone),

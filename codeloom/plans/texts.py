@@ -119,12 +119,3 @@ def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     s = t.select("pos", "func", F.split("whole", " ").alias("w"), sus.alias("sus"))
     kept = F.size(F.filter("sus", lambda x: ~((x >= 5) & (F.abs(x) > 1e-5)))).cast("long")
     return s.select("pos", F.round(F.array_max("sus"), 6).alias("most"), kept.alias("kept"), scores.purify(F.col("func"), F.col("w"), F.col("sus"), F.lit(5)).alias("purified"))
-
-
-@query("""
-with t as (select idx, list_filter(docstring_tokens, lambda x: x is not null)[1:6] w from cs where docstring_tokens is not null) select count(*) n, sum(len(list_transform(w, lambda x: case x when 'the' then 3 when '.' then 4 else 1 end)) + greatest(0, 6 - len(w)))::bigint slots, sum(len(list_filter(w, lambda x: x in ('the', '.'))))::bigint known from t""")
-def vocabulary_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens to ids with unknown and padding."""
-    ids = F.create_map(F.lit("the"), F.lit(3), F.lit("."), F.lit(4))
-    t = table(spark, d, "cs").where("docstring_tokens is not null").select(text.lookup(F.filter("docstring_tokens", lambda x: x.isNotNull()), ids, 1, 6, 0).alias("i"))
-    return t.agg(F.count("*").alias("n"), F.sum(F.size("i")).alias("slots"), F.sum(F.size(F.filter("i", lambda x: x > 2))).alias("known"))
