@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.joins import join_unique
-from codeloom.llm.words import LEAST_WORDS, Folder, mix, same_words, word_array
+from codeloom.llm.words import LEAST_WORDS, Folder, mix, same_words
 from codeloom.session import cut
 
 #: A keeper's text is repeated once per so many of its copies, so that no task gets all of a large group.
@@ -94,35 +94,44 @@ def fingerprints(texts: DataFrame) -> DataFrame:
     return texts.select("src", F.col("key").cast("long").alias("key"), "text").where("key is not null").mapInPandas(run, "src string, key long, h1 long, h2 long")
 
 
+def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        ok = [(same_fields if s == "raw_records" else same_words)(x, y) for s, x, y in zip(b["src"], b["keep_text"], b["text"], strict=True)]
+        yield b[["src", "keep_key", "copy_key"]].assign(ok=ok)
+
+
+def _checked(grouped: DataFrame) -> DataFrame:
+    """``src, keep_key, copy_key, ok`` of ``src, key, keep_key, salts, text``: every other record of a group against its keeper, whose text goes to ``salts`` places."""
+    keeper = grouped.where("key = keep_key").select(F.col("src").alias("s"), F.col("key").alias("k"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("keep_text"))
+    pairs = grouped.where("key <> keep_key").withColumn("_salt", F.pmod(F.xxhash64("key"), F.col("salts").cast("long")).cast("int"))
+    pairs = pairs.join(keeper, (F.col("src") == F.col("s")) & (F.col("keep_key") == F.col("k")) & (F.col("_salt") == F.col("salt"))).select("src", "keep_key", F.col("key").alias("copy_key"), "keep_text", "text")
+    return cut(pairs.mapInPandas(_compare, "src string, keep_key long, copy_key long, ok boolean"))
+
+
 def copies(texts: DataFrame) -> DataFrame:
     """``src, keep_key, copy_key``: each copy with the smallest key of its group.
 
     Rows with one key are one record. Null and short texts and payloads that are no JSON object are in no group. Every
-    copy's text is compared with its keeper's; where the hashes lied, the record is grouped again by its words.
+    copy's text is compared with its keeper's; where the hashes lied, the records that differ from the keeper, among which all
+    their own copies are, get the smallest of them as keeper and are compared again, until none is left.
     """
     prints = cut(fingerprints(texts).groupBy("src", "key").agg(F.min(F.struct("h1", "h2")).alias("h")).select("src", "key", F.concat_ws(":", "src", "h.h1", "h.h2").alias("h")))
     group = prints.groupBy("h").agg(F.min("key").alias("keep_key"), F.count("*").alias("n")).where("n > 1")
     group = group.withColumn("salts", F.ceil(F.col("n") / COPIES_PER_TASK).cast("int"))
     member = cut(join_unique(prints, group, "h", "n", F.col("key")).where("keep_key is not null").select("src", "key", "keep_key", "salts"))
     text = texts.select(F.col("src").alias("s"), F.col("key").cast("long").alias("k"), "text").where("text is not null")
-    with_text = cut(member.join(text, (F.col("src") == F.col("s")) & (F.col("key") == F.col("k"))).groupBy("src", "key", "keep_key", "salts").agg(F.min("text").alias("text")))
-    keeper = with_text.where("key = keep_key").select(F.col("src").alias("s"), F.col("key").alias("k"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("text").alias("keep_text"))
-    pairs = with_text.where("key <> keep_key").withColumn("_salt", F.pmod(F.xxhash64("key"), F.col("salts").cast("long")).cast("int"))
-    pairs = pairs.join(keeper, (F.col("src") == F.col("s")) & (F.col("keep_key") == F.col("k")) & (F.col("_salt") == F.col("salt"))).select("src", "keep_key", F.col("key").alias("copy_key"), "keep_text", "text")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ok = [(same_fields if s == "raw_records" else same_words)(x, y) for s, x, y in zip(b["src"], b["keep_text"], b["text"], strict=True)]
-            yield b[["src", "keep_key", "copy_key"]].assign(ok=ok)
-
-    checked = cut(pairs.mapInPandas(compare, "src string, keep_key long, copy_key long, ok boolean"))
-    good = checked.where("ok").select("src", "keep_key", "copy_key")
-    if checked.where("not ok").isEmpty():
-        return good
-    lied = checked.where("not ok").select(F.col("src").alias("s"), F.col("copy_key").alias("k"))
-    again = text.join(lied, ["s", "k"]).withColumn("w", F.when(F.col("s") == "raw_records", F.col("text")).otherwise(F.array_join(word_array(F.col("text")), " ")))
-    least = again.groupBy("s", "w").agg(F.min("k").alias("keep_key"))
-    return good.union(again.join(least, ["s", "w"]).where("k <> keep_key").select(F.col("s").alias("src"), "keep_key", F.col("k").alias("copy_key")))
+    grouped = cut(member.join(text, (F.col("src") == F.col("s")) & (F.col("key") == F.col("k"))).groupBy("src", "key", "keep_key", "salts").agg(F.min("text").alias("text")))
+    good = None
+    while True:
+        checked = _checked(grouped)
+        same = checked.where("ok").select("src", "keep_key", "copy_key")
+        good = same if good is None else good.union(same)
+        lied = checked.where("not ok")
+        if lied.isEmpty():
+            return good
+        new = lied.groupBy("src", F.col("keep_key").alias("old")).agg(F.min("copy_key").alias("keep_key"), F.ceil(F.count("*") / COPIES_PER_TASK).cast("int").alias("salts"))
+        left = lied.select("src", F.col("keep_key").alias("old"), F.col("copy_key").alias("key")).join(new, ["src", "old"]).select("src", "key", "keep_key", "salts")
+        grouped = cut(grouped.select("src", "key", "text").join(left, ["src", "key"]).select("src", "key", "keep_key", "salts", "text"))
 
 
 def collapsed(texts: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 #: Records with fewer words are no case.
 LEAST_WORDS = 10
 #: Runs of letters, digits and underscores.
-WORD = r"[\p{L}\p{N}_]+"
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 _BASES = (_U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95))
@@ -20,11 +20,6 @@ _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SLICE = 1_000_000
 
 
-def word_array(text: Column) -> Column:
-    """The words of a text, lower-cased, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-
-
 def sources(functions: DataFrame, cs: DataFrame) -> DataFrame:
     """``src, key, text`` of both tables; rows of ``cs`` with one ``idx`` are one record (the largest code, nulls last)."""
     a = functions.select(F.lit("functions_raw").alias("src"), F.col("pos").cast("long").alias("key"), F.col("func").alias("text"))
@@ -146,15 +141,48 @@ class Folder:
         return self.powers[i]
 
 
+#: Texts are compared in blocks of so many code points.
+BLOCK = 4096
+_folder: list[Folder] = []
+
+
+def _folded_blocks(folder: Folder, text: str) -> Iterator[np.ndarray]:
+    """What the fold table leaves of a text, block by block, with a 0 before every word but the first."""
+    if not text.isascii() and folder.odd[folder._codes(text)].any():
+        text = text.lower()  # letters that fold by their neighbours
+    inside = begun = False
+    for at in range(0, len(text), BLOCK):
+        folded = folder.fold[folder._codes(text[at : at + BLOCK])]
+        kept = folded != 0
+        start = kept.copy()
+        start[1:] &= ~kept[:-1]
+        start[0] &= not inside
+        inside = bool(kept[-1])
+        where = np.flatnonzero(kept)
+        if not len(where):
+            continue
+        starts = np.flatnonzero(start[where])
+        if not begun and len(starts) and starts[0] == 0:
+            starts = starts[1:]
+        begun = True
+        yield np.insert(folded[where], starts, 0)
+
+
 def same_words(a: str, b: str) -> bool:
-    """Two pointers run over both texts, skipping what isn't a word; nothing canonical is built."""
-    x, y = _WORD.finditer(a.lower()), _WORD.finditer(b.lower())
+    """Two pointers run over both texts, skipping what isn't a word; of either only a block is folded at a time."""
+    if not _folder:
+        _folder.append(Folder())
+    x, y = _folded_blocks(_folder[0], a), _folded_blocks(_folder[0], b)
+    p = q = np.zeros(0, np.uint32)
     while True:
-        p, q = next(x, None), next(y, None)
+        p = p if len(p) else next(x, None)
+        q = q if len(q) else next(y, None)
         if p is None or q is None:
             return p is q
-        if p.group() != q.group():
+        n = min(len(p), len(q))
+        if not np.array_equal(p[:n], q[:n]):
             return False
+        p, q = p[n:], q[n:]
 
 
 def word_count(text: str) -> int:

@@ -154,8 +154,16 @@ def test_lying_hashes(spark, monkeypatch):
     real = copies.fingerprints
     monkeypatch.setattr(copies, "fingerprints", lambda t: real(t).withColumn("h1", F.lit(1).cast("long")).withColumn("h2", F.lit(1).cast("long")))
     a, b = " ".join("abcdefghijkl"), " ".join("mnopqrstuvwx")
-    df = spark.createDataFrame([("cs", 1, a), ("cs", 2, b), ("cs", 3, a.upper()), ("cs", 4, b + " !")], SCHEMA)
-    assert {tuple(r) for r in copies.copies(df).collect()} == {("cs", 1, 3), ("cs", 2, 4)}
+    c = "third " * 12
+    raw = [("raw_records", i, json.dumps({"func": t, "n": 1})) for i, t in ((1, a), (2, b), (3, b.upper() + "."), (4, a + "!"))]
+    df = spark.createDataFrame([("cs", 1, a), ("cs", 2, b), ("cs", 3, a.upper()), ("cs", 4, b + " !"), ("cs", 5, c), ("cs", 6, c), *raw], SCHEMA)
+    assert {tuple(r) for r in copies.copies(df).collect()} == {("cs", 1, 3), ("cs", 2, 4), ("cs", 5, 6), ("raw_records", 1, 4), ("raw_records", 2, 3)}
+
+
+def test_same_words_over_blocks():
+    long = "ab_1 \u0130x \u03a3\u03a3 " * 2000
+    assert same_words(long, long.replace(" ", " ;\n")) and not same_words(long, long + "z") and not same_words(long[:-2] + "q", long)
+    assert same_words("a" * 9000, "A" * 9000) and not same_words("a" * 9000, "a" * 8191 + " " + "a" * 809) and same_words("", " ;") and not same_words("", "a")
 
 
 @settings(max_examples=150, deadline=None)
