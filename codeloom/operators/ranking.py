@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of a hash order: one for each three hexadecimal digits.
-DIGITS = 3
+#: Ranges of a hash order: one for each four hexadecimal digits, so that a range of a hundred billion rows has about 1.5 million.
+DIGITS = 4
 
 
 def hash_order(seed: str, *keys: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import lookup, pairing, profile
+from codeloom.operators import pairing, profile
 from codeloom.plans.registry import query
 from codeloom.session import scratch
 from codeloom.sources import readers, writers

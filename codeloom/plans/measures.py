@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import scores, text
 from codeloom.operators import bleu, lookup, metrics, pairing, profile, sampling, shape, variants
-from codeloom.operators.ranking import hash_rank
 from codeloom.plans.evaluation import _CLIP_SQL, _PAIRS_SQL, _text_pairs
 from codeloom.plans.registry import query
 from codeloom.sources.tables import table

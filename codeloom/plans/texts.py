@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import scores, text, udfs
-from codeloom.operators.pairing import hash32
 from codeloom.plans.registry import query
 from codeloom.sources.tables import table
 

@@ -13,10 +13,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "codeloom") -> SparkSession:
+def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "codeloom", more: dict[str, str] | None = None) -> SparkSession:
     """A session for tests and benches; on a cluster the submitter configures its own."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
+        .config(map=more or {})
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
