@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import functools
 from collections import Counter
 
 from codeloom.functions.styles.source import KEYWORDS, Node, Source
@@ -73,11 +74,17 @@ def flows(code: str, language: str, src: Source | None = None) -> list[tuple]:
     return [(var(a), how, tuple(sorted(var(p) for p in parents))) for a, how, parents in out]
 
 
+@functools.lru_cache(maxsize=256)
+def features(code: str, language: str) -> tuple[Counter, Counter]:
+    """Sub-trees and value flows of a code; those of the last codes are kept, as one code is often in several pairs."""
+    src = None if language == "python" else Source(code, language)
+    return subtrees(code, language, src), Counter(flows(code, language, src))
+
+
 def compared(hypothesis: str, reference: str, language: str) -> tuple[int, int, int, int]:
-    """Matched and all sub-trees, matched and all value flows of the reference; each text is cut into tokens once."""
-    a, b = (None, None) if language == "python" else (Source(hypothesis, language), Source(reference, language))
-    trees = matched(subtrees(hypothesis, language, a), subtrees(reference, language, b))
-    return (*trees, *matched(Counter(flows(hypothesis, language, a)), Counter(flows(reference, language, b))))
+    """Matched and all sub-trees, matched and all value flows of the reference."""
+    a, b = features(hypothesis, language), features(reference, language)
+    return (*matched(a[0], b[0]), *matched(a[1], b[1]))
 
 
 def matched(a: Counter, b: Counter) -> tuple[int, int]:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, IntegerType
 
 ORDER = 4
@@ -18,21 +18,82 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def _clipped_in_row(hypothesis: list, references: list, order: int) -> list[int]:
-    """Clipped matches of 1 to ``order`` tokens, against the most that any reference has, and the closest reference's length (the shorter of two)."""
-    out = []
-    for n in range(1, order + 1):
-        most: Counter = Counter()
-        for r in references:
-            most |= Counter(zip(*(r[i:] for i in range(n)), strict=False))
-        own = Counter(zip(*(hypothesis[i:] for i in range(n)), strict=False))
-        out.append(sum((own & most).values()))
-    return [*out, min((abs(len(r) - len(hypothesis)), len(r)) for r in references)[1] if references else 0]
-
-
-@pandas_udf(ArrayType(IntegerType()))
-def clipped_in_row(hypothesis: pd.Series, references: pd.Series, order: pd.Series) -> pd.Series:
-    return pd.Series([None if h is None or r is None else _clipped_in_row(list(h), [list(x) for x in r if x is not None], int(n)) for h, r, n in zip(hypothesis, references, order, strict=True)], dtype=object)
+_U = np.uint64
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
+    return x ^ (x >> _U(29))
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list array, and the row of each."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+    return np.asarray(lists.flatten()).astype(np.int64).view(_U), np.repeat(np.arange(len(lists)), sizes)
+
+
+def _counted(values: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct runs of n values within rows as hashes that hold the row, how often each comes up, and its row."""
+    m = len(values) - n + 1
+    if m <= 0:
+        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    run = values[:m]
+    for i in range(1, n):
+        run = _mix(run * _U(0x9E3779B97F4A7C15) + values[i : i + m])
+    whole = row[:m] == row[n - 1 :]
+    own = row[:m][whole]
+    key, first, count = np.unique(_mix(run[whole] ^ _mix(own.astype(_U) + _U(1))), return_index=True, return_counts=True)
+    return key, count, own[first]
+
+
+@arrow_udf(ArrayType(IntegerType()))
+def clipped_in_row(hypothesis: pa.Array, references: pa.Array, order: pa.Array) -> pa.Array:
+    """Of arrays of token hashes: clipped matches of 1 to ``order`` tokens, against the most that any reference has, and the closest reference's length (the shorter of two)."""
+    rows, most = len(hypothesis), order[0].as_py() if len(order) else 0
+    values, row = _flat(hypothesis)
+    each = references.flatten()
+    of = np.repeat(np.arange(rows), np.asarray(pc.fill_null(pc.list_value_length(references), 0)).astype(np.int64))
+    r_values, r_at = _flat(each)
+    out = np.zeros((rows, most + 1), np.int32)
+    for n in range(1, most + 1):
+        key, count, at = _counted(values, row, n)
+        # counted within each reference, the largest of a row's references counts
+        r_key, r_count, r_each = _counted(r_values, r_at, n)
+        if len(r_key) and len(key):
+            if len(each) != rows or (of != np.arange(rows)).any():
+                r_key, r_count = _of_rows(r_values, r_at, of, n)
+            shared, i, j = np.intersect1d(key, r_key, assume_unique=True, return_indices=True)
+            out[:, n - 1] = np.bincount(at[i], weights=np.minimum(count[i], r_count[j]), minlength=rows)
+    size = np.asarray(pc.fill_null(pc.list_value_length(hypothesis), 0)).astype(np.int64)
+    r_size = np.asarray(pc.fill_null(pc.list_value_length(each), 0)).astype(np.int64)
+    if len(of):
+        order_of = np.lexsort((r_size, np.abs(r_size - size[of]), of))
+        first = order_of[np.concatenate([[True], of[order_of][1:] != of[order_of][:-1]])]
+        out[of[first], most] = r_size[first]
+    return pa.array(list(out), pa.list_(pa.int32()))
+
+
+def _of_rows(values: np.ndarray, at: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_counted``, with hashes that hold the row of each reference and the largest count of any of its references."""
+    number = np.zeros(len(of), np.int64)
+    same = np.concatenate([[False], of[1:] == of[:-1]]) if len(of) else np.zeros(0, bool)
+    for i in np.flatnonzero(same):
+        number[i] = number[i - 1] + 1
+    keys, counts = [], []
+    for k in range(int(number.max(initial=0)) + 1):
+        own = number[at] == k
+        key, count, _ = _counted(values[own], of[at[own]], n)
+        keys.append(key)
+        counts.append(count)
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.maximum.reduceat(count, first) if len(first) else count
+
+
+def _hashed(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
 def clipped(pairs: DataFrame, key: str, hypothesis: str, reference: str, order: int = ORDER) -> DataFrame:
@@ -42,9 +103,9 @@ def clipped(pairs: DataFrame, key: str, hypothesis: str, reference: str, order:
     side are left out.
     """
     several = isinstance(pairs.schema[reference].dataType.elementType, ArrayType)
-    refs = F.col(reference) if several else F.array(reference)
+    refs = F.transform(F.col(reference), _hashed) if several else F.array(_hashed(F.col(reference)))
     known = pairs.where(F.col(hypothesis).isNotNull() & F.col(reference).isNotNull())
-    row = known.select(key, F.size(hypothesis).alias("hyp_len"), clipped_in_row(F.col(hypothesis), refs, F.lit(order)).alias("c"))
+    row = known.select(key, F.size(hypothesis).alias("hyp_len"), clipped_in_row(_hashed(F.col(hypothesis)), refs, F.lit(order)).alias("c"))
     each = row.select(key, "hyp_len", F.element_at("c", -1).alias("ref_len"), F.posexplode(F.slice("c", 1, order)).alias("p", "matched"))
     return each.select(key, (F.col("p") + 1).alias("n"), F.col("matched").cast("long").alias("matched"), F.greatest(F.col("hyp_len") - F.col("p"), F.lit(0)).alias("total"), "hyp_len", "ref_len")
 
@@ -87,7 +148,7 @@ def weighted_recall(pairs: DataFrame, key: str, hypothesis: str, reference: str,
     of = lambda c, keep: F.filter(c, lambda t: t.isin(keywords) if keep else ~t.isin(keywords))
     keys = pairs.select(F.col(key), of(F.col(hypothesis), True).alias("h"), of(F.col(reference), True).alias("r"), F.lit(1.0).alias("w"))
     both = keys.unionByName(pairs.select(F.col(key), of(F.col(hypothesis), False).alias("h"), of(F.col(reference), False).alias("r"), F.lit(rest).alias("w")))
-    rows = both.where("h is not null and r is not null").select("w", F.size("r").alias("n"), clipped_in_row(F.col("h"), F.array("r"), F.lit(1))[0].alias("m"))
+    rows = both.where("h is not null and r is not null").select("w", F.size("r").alias("n"), clipped_in_row(_hashed(F.col("h")), F.array(_hashed(F.col("r"))), F.lit(1))[0].alias("m"))
     return rows.agg(F.round(F.sum(F.col("w") * F.col("m")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0.0)), 6).alias("recall"))
 
 

@@ -119,12 +119,13 @@ def twelve_records(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def code_bleu(spark: SparkSession, d: str) -> DataFrame:
     """CodeBLEU of each function against the one before it, by language: n-grams, weighted n-grams, sub-trees and value flows."""
-    ranked = line_rank(_code(spark, d).where("length(trim(func)) > 0"), "pos", ["language"], "k")
-    before = ranked.select((F.col("k") + 1).alias("k"), F.col("language").alias("l"), F.col("func").alias("ref"))
-    pairs = ranked.join(before, (ranked["k"] == before["k"]) & (F.col("language") == F.col("l"))).select("pos", "language", "func", "ref")
-    pairs = cut(pairs.repartition(spark.sparkContext.defaultParallelism * 2, "pos"))
     words = lambda c: F.regexp_extract_all(c, F.lit(r"[A-Za-z_]\w*|\d+|[^\s\w]"), F.lit(0))
-    tokens = pairs.select("pos", words(F.col("func")).alias("h"), words(F.col("ref")).alias("r"))
+    ranked = line_rank(_code(spark, d).where("length(trim(func)) > 0").withColumn("h", words(F.col("func"))), "pos", ["language"], "k")
+    before = ranked.select((F.col("k") + 1).alias("k"), F.col("language").alias("l"), F.col("func").alias("ref"), F.col("h").alias("r"))
+    pairs = ranked.join(before, (ranked["k"] == before["k"]) & (F.col("language") == F.col("l"))).select("pos", "language", "func", "ref", "h", "r")
+    # neighbours stay together, so that a code's features serve both pairs that it is in
+    pairs = cut(pairs.repartitionByRange(spark.sparkContext.defaultParallelism * 2, "pos").sortWithinPartitions("pos"))
+    tokens = pairs.select("pos", "h", "r")
     plain = bleu.corpus_bleu(tokens, "pos", "h", "r").withColumn("_", F.lit(1))
     weighted = bleu.weighted_recall(tokens, "pos", "h", "r", ["if", "for", "while", "return", "int", "def", "function", "func"]).withColumn("_", F.lit(1))
     s = pairs.select(udfs.structure_match("func", "ref", "language").alias("s")).agg(F.sum("s.matched").alias("m"), F.sum("s.total").alias("t"), F.sum("s.flow_matched").alias("fm"), F.sum("s.flow_total").alias("ft")).withColumn("_", F.lit(1))
