@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.near import LISTED, MEET, SIZE_AT, Match, Similarity, frequent_shingles, listed, meet, met_deeper, once_a_task, parts_for, record_sets, sequences, singles, sizes_fit, text_batches, unpack
+from codeloom.llm.near import LISTED, MEET, SIZE_AT, Match, Similarity, frequent_shingles, known, listed, meet, met_deeper, once_a_task, parts_for, record_sets, sequences, singles, sizes_fit, text_batches, unpack
 from codeloom.session import cut
 
 _U = np.uint64
@@ -67,13 +68,13 @@ def hits(texts: DataFrame, member: DataFrame, sim: Similarity, most: int = MEET)
     spark = texts.sparkSession
     hot = spark.sparkContext.broadcast(frequent_shingles(texts, sim))
 
-    def posted(batches: Iterator[pa.RecordBatch], placed: bool) -> Iterator[tuple]:
+    def posted(batches: Iterator[pa.RecordBatch], placed: bool, wanted=None) -> Iterator[tuple]:
         seen: dict[int, set] = {1: set(), 2: set(), 3: set()}
         for batch in batches:
             side = np.asarray(batch.column(3)).astype(np.int64)
             for value in (1, 2, 3):  # evaluation, training, both
                 part = batch.filter(pa.array(side == value))
-                for _, _, tags, h, s, owner, _ in once_a_task(text_batches([part], sim.words), seen[value]):
+                for _, _, tags, h, s, owner, _ in once_a_task(text_batches([part], sim.words, wanted), seen[value]):
                     size = np.bincount(owner, minlength=len(h)).astype(np.int64)
                     for e in singles(tags, s, owner, size, hot.value, sim, SHARED, placed):
                         yield e, h, e.meta & ~_U(3) | _U(value)
@@ -82,16 +83,19 @@ def hits(texts: DataFrame, member: DataFrame, sim: Similarity, most: int = MEET)
         for e, h, meta in posted(batches, False):
             yield pa.record_batch([pa.array(x.view(np.int64)) for x in (e.sig, h[e.row], meta)], ["sig", "h", "meta"])
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for e, h, meta in posted(batches, True):
-            yield listed(e, h, meta)
+    def lists(bits: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for e, h, meta in posted(batches, True, lambda h: known(bits.value, h)):
+                yield listed(e, h, meta)
+
+        return sided.mapInArrow(run, LISTED)
 
     sides = member.select("src", "key", (F.col("held").cast("int") + F.col("train").cast("int") * 2).alias("side"))
     sided = texts.join(sides, ["src", "key"]).select("src", "key", "text", "side")
     match = held_and_train(sim)
     met = cut(meet(sided.mapInArrow(rows, "sig long, h long, meta long"), match, parts_for(spark, hot.value.records * 60), most))
     often = met.where("m > 0").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("m").alias("m")).where("c >= m").select("a", "b")
-    return often.union(met_deeper(met, lambda: sided.mapInArrow(lists, LISTED), match, sim.depth, most, SHARED)).distinct()
+    return often.union(met_deeper(met, lists, match, sim.depth, most, SHARED)).distinct()
 
 
 def containment(pairs: DataFrame, sets: DataFrame) -> DataFrame:

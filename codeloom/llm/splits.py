@@ -137,9 +137,10 @@ def allot(bundles: list[tuple], names: list[str], shares: list[float]) -> list[t
     large components does amiss is made good by the flow of smaller ones.
     """
     total = sum(b[3] for b in bundles)
-    labels = sorted({b[1] for b in bundles})
+    eighth = lambda c: (c + 4) // 8  # noqa: E731  the flow knows label profiles by eighths
+    labels = sorted({eighth(b[1]) for b in bundles})
     at_label = {c: i for i, c in enumerate(labels)}
-    supply = [float(sum(b[3] for b in bundles if b[1] == c)) for c in labels]
+    supply = [float(sum(b[3] for b in bundles if eighth(b[1]) == c)) for c in labels]
     lack = [s * total for s in shares]
     own = [[s * x for s in shares] for x in supply]  # what each label class still owes each split
     by_size: dict[int, list[tuple]] = {}
@@ -149,7 +150,7 @@ def allot(bundles: list[tuple], names: list[str], shares: list[float]) -> list[t
     for size in sorted(by_size, reverse=True):
         flow = min_cost_flow(supply, [max(0.0, x) for x in lack], own)
         for size_class, label, n, rows in sorted(by_size[size], key=lambda b: b[1]):
-            c, each = at_label[label], rows / n
+            c, each = at_label[eighth(label)], rows / n
             part = [f * rows / supply[c] if supply[c] else 0.0 for f in flow[c]]
             counts = [int(p / each + 1e-9) for p in part]
             rest = [p - k * each for p, k in zip(part, counts, strict=True)]
@@ -165,7 +166,7 @@ def allot(bundles: list[tuple], names: list[str], shares: list[float]) -> list[t
                     out.append((size_class, label, names[j], at, at + k - 1))
                     at += k
         for b in by_size[size]:
-            supply[at_label[b[1]]] -= b[3]
+            supply[at_label[eighth(b[1])]] -= b[3]
     return out
 
 
