@@ -64,6 +64,7 @@ _SQ = r"'(?:[^'\\\n]|\\.)*'"
 
 # ---------------------------------------------------------------- C and C++
 
+# Keywords, types and operators of the language, by kind.
 _C_NUM = r"(?:0[xX][\da-fA-F']*\.?[\da-fA-F']*(?:[pP][+-]?\d+)?|0[bB][01']+|\d[\d']*\.?[\d']*(?:[eE][+-]?\d+)?|\.\d[\d']*(?:[eE][+-]?\d+)?)(?:[uUlLfFzZ]|i)*(?:_\w+)?"
 _C_STR = rf"(?:u8|[uUL])?{_DQ}"
 _C_CHR = rf"(?:u8|[uUL])?'(?:[^'\\\n]|\\.)+'"
@@ -169,6 +170,7 @@ def cpp(text: str) -> list[list[str]]:
 
 # ---------------------------------------------------------------- Java
 
+# Keywords, types and operators of the language, by kind.
 _JAVA_WORDS = (
     _ops(PRIM="int long double float boolean char byte short", MOD="public private protected abstract native strictfp transient volatile sealed non-sealed", LIT="true false null")
     | _self("static final synchronized default void throws if else while do for break continue return throw try catch finally switch case new class interface enum extends implements this super instanceof assert package import record var yield permits when")
@@ -203,6 +205,7 @@ def java(text: str) -> list[list[str]]:
 
 # ---------------------------------------------------------------- Go
 
+# Keywords, types and operators of the language, by kind.
 _GO_WORDS = _self("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var")
 _GO_OPERATORS = _ops(BINOP="/ % << >> <= >= == != < > && || & &^", ASSIGN="+= -= *= /= %= &= |= ^= <<= >>= &^=", SIGN="+ -", NOT="!", INC="++ --", CHANOP="<-") | _self("... := = * | ~ : ; , . ( ) { } [ ]") | {"&": "SIGN", "^": "SIGN"}
 _GO_ENDS = frozenset({"ID", "NUM", "STR", "CHAR", "break", "continue", "fallthrough", "return", "INC", ")", "]", "}"})
@@ -252,6 +255,7 @@ def go(text: str) -> list[list[str]]:
 
 # ---------------------------------------------------------------- JavaScript
 
+# Keywords, types and operators of the language, by kind.
 _JS_WORDS = (
     _ops(UNARYWORD="typeof void delete", LITERALWORD="null true false", KEYWORD="enum")
     | _self("let of get set async static from as await yield function return if else for while do switch case default break continue throw try catch finally var const new in instanceof class extends import export this super debugger with")
@@ -346,6 +350,7 @@ def javascript(text: str) -> list[list[str]]:
 
 # ---------------------------------------------------------------- PHP
 
+# Keywords, types and operators of the language, by kind.
 _PHP_WORDS = (
     _ops(MOD="public private protected var", LIT="true false null", INCLUDE="", WORDOP="and or xor")
     | _self("function fn static abstract final class new use as if else elseif while do for foreach switch case default match return echo print global try catch finally throw const interface trait enum extends implements instanceof namespace break continue isset empty unset list array clone yield from goto exit declare readonly endif endwhile endfor endforeach endswitch")
@@ -413,6 +418,7 @@ def php(text: str) -> list[list[str]]:
 
 # ---------------------------------------------------------------- Python
 
+# Keywords, types and operators of the language, by kind.
 _PY_WORDS = _self("False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield match case type _")
 _PY_OPERATORS = _ops(BINOP="% // << >> & ^ < > <= >= == !=", AUG="+= -= *= /= //= %= @= &= |= ^= >>= <<= **=", SIGN="+ -") | {"/": "SLASH"} | _self("~ | * ** @ -> := = ... . , : ; ( ) [ ] { }")
 _PY_PREFIX = r"(?:[rR]?[bB]|[bB][rR]|[rR]?[fF]|[fF][rR]|[rR]|[uU])?"
