@@ -52,3 +52,30 @@ def test_candidates_and_batches(spark):
     subs = F.array(F.struct(F.lit(" ").alias("code"), F.lit("c").alias("language")), F.struct(F.lit("x").alias("code"), F.lit("c").alias("language")))
     assert spark.range(1).select(variants.first_in_language(subs, "c"), variants.first_in_language(subs, "go")).first()[:] == ("x", None)
     assert spark.range(1).select(variants.defence_form(F.lit("a" * 9), "p:", 5, "!")).first()[0] == "p:aaaaa!"
+
+
+def test_failures_are_told_and_endpoints_take_turns(spark):
+    def down():
+        def call(questions):
+            raise OSError("down")
+
+        return call
+
+    df = spark.createDataFrame([(1, "x")], "id int, q string")
+    assert external.ask(df, down, "q", "a string").first()["failure"] == "OSError: down"
+    assert external.ask(df, lambda: lambda qs: [], "q", "a string").first()["failure"] == "wrong number of answers"
+    assert external.ask(df, lambda: lambda qs: [("y",)], "q", "a string").first()["failure"] is None
+    asked = []
+
+    def first(x):
+        asked.append("first")
+        raise OSError
+
+    def second(x):
+        asked.append("second")
+        return x + 1
+
+    call = external.endpoints([first, second], tries=2, wait=0)
+    assert [call(1), call(2)] == [2, 3] and asked == ["first", "second"] * 2
+    with pytest.raises(OSError):
+        external.endpoints([first], tries=2, wait=0)(1)

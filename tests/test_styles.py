@@ -152,3 +152,17 @@ def test_structure():
     assert a == b and structure.matched(a, b)[0] == structure.matched(a, b)[1] > 0
     assert structure.flows("x = a\ny = x + b\n", "python") == [("var_0", "comesFrom", ("var_1",)), ("var_2", "computedFrom", ("var_0", "var_3"))]
     assert structure.subtrees("def (", "python") == {}
+
+
+def test_names_and_comparisons_in_other_languages():
+    from codeloom.functions.styles.source import Source
+
+    assert set(Source("func (s *Sensor) F(block_saddle, n int, m map[string]int) (out string, err error) { a, b := g(), 1; var c int; for i, v := range m { _ = v } }", "go").declared()) == {"s", "block_saddle", "n", "m", "out", "err", "a", "b", "c", "i", "v"}
+    assert set(Source("func F(int, string) {}", "go").declared()) == set()
+    for code, language in (("Map<String, List<Integer>> f(Map<String, int[]> m) { return new HashMap<>(m); }", "java"), ("$a <=> $b;", "php"), ("x = 0 < a < 3\n", "python"), ("std::vector<std::pair<int, long>> v;", "cpp")):
+        assert transform(code, language, ["3.2"]) == (code, False), code
+
+
+def test_javascript_patterns_keep_comment_marks():
+    code = "s = s.replace(/\\/\\//g, 'x') // gone\nt = a / b /* gone */ / c\nreturn /[/*]/.test(u)\n"
+    assert comments.strip_comments(code, "javascript") == "s = s.replace(/\\/\\//g, 'x')\nt = a / b   / c\nreturn /[/*]/.test(u)"
