@@ -8,6 +8,7 @@ from pathlib import Path
 
 import pandas as pd
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +47,17 @@ def source_name(c: Column) -> Column:
 
 
 def sizes(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """``doc_id, source, tokens``; null and empty texts have 0 tokens, rows with one ``doc_id`` count once."""
+    """``doc_id, source, tokens``; null and empty texts have 0 tokens, rows with one ``doc_id`` count once.
+
+    The vocabulary file is sent to executors that don't have it at its path.
+    """
+    documents.sparkSession.sparkContext.addFile(path)
+    name = Path(path).name
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here = path if Path(path).exists() else SparkFiles.get(name)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": [count(t, path) if t else 0 for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "tokens": [count(t, here) if t else 0 for t in batch["text"]]})
 
     rows = documents.where("doc_id is not null").select("doc_id", source_name(F.col("source")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
     done = rows.mapInPandas(run, "doc_id long, source string, tokens long")
