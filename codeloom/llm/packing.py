@@ -168,7 +168,11 @@ def faults(laid: DataFrame, documents: DataFrame, capacities: DataFrame, path: s
     """``fault, n``: containers over their capacity, texts laid twice, in part or not at all, texts cut though they fit, tokens laid out of place."""
     kinds = capacities.where("container_kind is not null and capacity > 0").select("container_kind", F.col("capacity").cast("int").alias("capacity")).distinct()
     over = laid.groupBy("container_kind", "container_id").agg(F.sum("tokens").alias("t")).join(F.broadcast(kinds), "container_kind").select(F.lit("over_capacity").alias("fault"), (F.col("t") > F.col("capacity")).alias("bad"))
-    want = sizes(documents, path).where("tokens > 0").select("doc_id", F.col("tokens").alias("whole")).join(F.broadcast(kinds))  # a few kinds
+    known = sorted(kinds.collect())  # a small fixed table
+    if not known:
+        return laid.sparkSession.createDataFrame([], "fault string, n long")
+    each = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).alias("capacity")) for k, c in known])
+    want = sizes(documents, path).where("tokens > 0").select("doc_id", F.col("tokens").alias("whole"), F.explode(each).alias("k")).select("doc_id", "whole", "k.*")
     got = laid.groupBy("container_kind", "doc_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("pieces"), F.count_distinct("piece").alias("different"))
     both = want.join(got, ["container_kind", "doc_id"], "full")
     partly = both.select(F.lit("not_whole_once").alias("fault"), (~(F.col("t").eqNullSafe(F.col("whole")) & (F.col("pieces") == F.col("different")))).alias("bad"))
