@@ -241,10 +241,10 @@ def vocabulary_lookup(spark: SparkSession, d: str) -> DataFrame:
     cs = table(spark, d, "cs")
     counted = profile.frequencies(cs, F.filter(lower, lambda w: w.rlike("^[a-z]+$")))
     words = profile.vocabulary(counted, ["<pad>", "<unk>", "<eos>"], 100)
-    ids = words.agg(F.map_from_entries(F.collect_list(F.struct("word", "id"))).alias("ids"))  # at most a hundred and three words
+    ids = F.create_map(*[F.lit(x) for r in words.collect() for x in (r["word"], r["id"])])  # at most a hundred and three words
     rows = cs.groupBy("idx").agg(F.any_value(F.coalesce(lower, F.array().cast("array<string>"))).alias("t"))
     longest = rows.agg(F.max(F.size("t"))).first()[0] or 0
-    done = rows.crossJoin(F.broadcast(ids)).select(text.lookup(F.col("t"), F.col("ids"), 1, longest, 0).alias("i"))  # one row of ids
+    done = rows.select(text.lookup(F.col("t"), ids, 1, longest, 0).alias("i"))
     sums = lambda f: F.sum(F.aggregate(f, F.lit(0), lambda a, x: a + x))
     return done.agg(F.count("*").alias("n"), F.sum(F.size("i")).alias("slots"), F.sum(F.size(F.filter("i", lambda x: x > 1))).alias("known"), sums(F.transform("i", lambda x: x.cast("int"))).alias("ids"))
 

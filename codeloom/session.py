@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import re
+import shutil
 import sys
 import tempfile
 import uuid
@@ -60,10 +61,16 @@ def release() -> None:
 
 @atexit.register
 def _forget() -> None:
-    try:
-        release()
-    except Exception as e:  # the session may have ended before
-        print(f"codeloom: {len(_written) + 1} tables are left in the shared folder: {type(e).__name__}", file=sys.stderr)
+    while _written:
+        spark, path = _written.pop()
+        try:
+            _drop(spark, path)
+        except Exception as e:  # the session may have ended before; a folder of this machine can still be deleted
+            local = re.sub(r"^file:(?://)?(?=/)", "", path)
+            if local.startswith("/"):
+                shutil.rmtree(local, ignore_errors=True)
+            else:
+                print(f"codeloom: {path} is left in the shared folder: {type(e).__name__}", file=sys.stderr)
 
 
 def scratch(spark: SparkSession) -> str:
