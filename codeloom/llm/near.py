@@ -13,6 +13,7 @@ a frequent segment's records.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,12 +29,13 @@ from codeloom.llm.words import LEAST_WORDS, Folder, mix, ranges, shingles
 from codeloom.session import cut
 
 _U = np.uint64
-#: Records of which frequent shingles are counted, at most about so many; only the order in which shingles are tried
-#: depends on it, never a result.
-SAMPLE = 50_000
-#: A shingle is frequent if more than one in so many sampled records has it (and at least FREQUENT_LEAST); so there are
-#: fewer than FREQUENT x (shingles a record) of them.
-FREQUENT, FREQUENT_LEAST, SOME = 2000, 20, 2
+#: A shingle is frequent if more than one in so many records has it (and at least FREQUENT_LEAST).
+FREQUENT, FREQUENT_LEAST = 2000, 20
+#: log2 of the cells in which shingles are counted, at least and at most, and of those that one row of counts covers; a
+#: table of records has CELLS_EACH for each of them.
+CELL_BITS, ROW_BITS, CELLS_EACH = (16, 25), 16, 64
+#: Shingles whose cells a task holds before it sends them on.
+HELD_CELLS = 2_000_000
 #: Records that meet on one segment, at most; beyond, they must have up to DEPTH segments in common.
 MEET, DEPTH = 1000, 3
 #: Rows of a partition in which segments meet, and rows looked at together.
@@ -102,37 +104,82 @@ def text_batches(batches: Iterator[pa.RecordBatch], words: int, wanted=None) ->
 
 @dataclass
 class Frequent:
-    """Sorted hashes (with the source) of shingles that many records of the sample have, and of those that some have."""
+    """How many records have a shingle (with its source): the counts of all records in a table of fixed size, on a log scale.
 
-    many: np.ndarray
-    some: np.ndarray
-    records: int  # of the whole table
+    Shingles with one cell share its count, so none counts as rarer than it is.
+    """
+
+    scale: np.ndarray
+    many: int  # on the scale, from which on a shingle is frequent
+    records: int
+
+    def __reduce__(self) -> tuple:
+        """Sent compressed, as each executor keeps a broadcast on its disk too."""
+        return _unpressed, (zlib.compress(self.scale.tobytes(), 1), self.many, self.records)
+
+    def of(self, tagged: np.ndarray) -> np.ndarray:
+        return self.scale[(tagged >> _U(65 - len(self.scale).bit_length())).astype(np.int64)]
+
+
+def _unpressed(scale: bytes, many: int, records: int) -> Frequent:
+    return Frequent(np.frombuffer(zlib.decompress(scale), np.uint8), many, records)
+
+
+def _scaled(count: np.ndarray) -> np.ndarray:
+    """Eighths of the count's log2, as a byte."""
+    return np.minimum(np.round(8 * np.log2(1 + count)), 255).astype(np.uint8)
+
+
+def pack_steps(cells: np.ndarray) -> bytes:
+    """Sorted whole numbers as steps from one to the next, a byte each; 255 goes on in the next byte."""
+    step = np.diff(cells, prepend=0)
+    more = step // 255
+    out = np.full(int(more.sum()) + len(step), 255, np.uint8)
+    out[np.cumsum(more + 1) - 1] = step % 255
+    return out.tobytes()
+
+
+def unpack_steps(b: bytes) -> np.ndarray:
+    step = np.frombuffer(b, np.uint8)
+    return np.cumsum(step, dtype=np.int64)[step != 255]
 
 
 def frequent_shingles(texts: DataFrame, sim: Similarity) -> Frequent:
-    """Counted on a bounded sample by key; ``many`` has fewer than FREQUENT, ``some`` than SAMPLE / SOME times the shingles of a record."""
+    """Counted on all records (equal ones of a task once); what reaches the driver is the table of cells, 32 MB at most."""
     total = texts.count()
-    share = min(1.0, SAMPLE / max(1, total))
-    part = texts.where(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    bits = min(max(CELL_BITS[0], (total * CELLS_EACH).bit_length()), CELL_BITS[1])
     words = sim.words
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, tags, _, s, owner in text_batches(batches, words):
-            u, c = np.unique(s ^ tags[owner], return_counts=True)
-            u, c = u[c > 1], c[c > 1]
-            yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], ["s", "c"])
-
-    least = max(FREQUENT_LEAST, min(total, SAMPLE) // FREQUENT)
-    rows = part.mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).where(F.col("c") >= SOME).select("s", "c").toArrow()
-    s, c = (np.asarray(rows.column(i).combine_chunks()).astype(np.int64) for i in (0, 1))
-    return Frequent(np.sort(s[c >= least].view(_U)), np.sort(s.view(_U)), total)
-
+    def rows(cells: list[np.ndarray]) -> pa.RecordBatch:
+        cell = np.sort(np.concatenate(cells))
+        row = cell >> ROW_BITS
+        at = ranges(row)
+        return pa.record_batch([pa.array([int(row[a]) for a, _ in at], pa.int32()), pa.array([pack_steps(cell[a:b] & (1 << ROW_BITS) - 1) for a, b in at], pa.binary())], ["row", "cells"])
+
+    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for _, _, tags, _, s, owner, _ in once_a_task(text_batches(batches, words)):
+            held.append(((s ^ tags[owner]) >> _U(64 - bits)).astype(np.int64))
+            n += len(s)
+            if n >= HELD_CELLS:
+                yield rows(held)
+                held, n = [], 0
+        if n:
+            yield rows(held)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                count[row] = count.get(row, 0) + np.bincount(unpack_steps(b), minlength=1 << ROW_BITS)
+        for row, c in count.items():
+            yield pa.record_batch([pa.array([row], pa.int32()), pa.array([_scaled(c).tobytes()], pa.binary())], ["row", "scale"])
 
-def is_in(values: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)
-    return sorted_values[at] == values
+    got = texts.select("src", "key", "text").mapInArrow(cells_of, "row int, cells binary").repartition(parts_for(texts.sparkSession, 0), "row").mapInArrow(sums, "row int, scale binary").toArrow()
+    scale = np.zeros(1 << bits, np.uint8)
+    for row, b in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
+        scale[row << ROW_BITS : row + 1 << ROW_BITS] = np.frombuffer(b, np.uint8)
+    return Frequent(scale, int(_scaled(np.array(max(FREQUENT_LEAST, total // FREQUENT)))), total)
 
 
 def first_of(owner: np.ndarray, rank: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -190,8 +237,9 @@ def elements(tags: np.ndarray, h: np.ndarray, s: np.ndarray, owner: np.ndarray,
     n = len(h)
     size = np.bincount(owner, minlength=n).astype(np.int64)
     tagged = s ^ tags[owner]
-    rare = ~is_in(tagged, hot.many)
-    rs, ro, common = s[rare], owner[rare], is_in(tagged[rare], hot.some)
+    known_by = hot.of(tagged)
+    rare = known_by < hot.many
+    rs, ro, common = s[rare], owner[rare], known_by[rare]
     home = segments_of(size)
     most = sim.largest(size)
     failed = np.zeros(n, bool)
@@ -217,8 +265,8 @@ def elements(tags: np.ndarray, h: np.ndarray, s: np.ndarray, owner: np.ndarray,
         content = np.add.reduceat(mix(x), first)
         sketch = np.bitwise_xor.reduceat(_U(1) << (mix(x ^ _U(0x5851F42D4C957F2D)) & _U(LANE_BITS - 1)), first)
         sig = mix(content + mix(sg.astype(_U) * _U(64) + level[so].astype(_U) + tags[so]))
-        # a global order of segments: those without a shingle that others are known to have come first
-        rank = sig >> _U(1) | np.bitwise_or.reduceat(common[use], first).astype(_U) << _U(63)
+        # a global order of segments: those whose most frequent shingle the fewest records have come first
+        rank = sig >> _U(8) | np.maximum.reduceat(common[use], first).astype(_U) << _U(56)
         have = np.bincount(so, minlength=n)
         # a record with too few segments puts all in, meets those that have enough, and its like on single shingles
         short = here & (have < tau + sim.depth)
@@ -253,7 +301,7 @@ def elements(tags: np.ndarray, h: np.ndarray, s: np.ndarray, owner: np.ndarray,
 def singles(tags: np.ndarray, x: np.ndarray, o: np.ndarray, size: np.ndarray, hot: Frequent, sim: Similarity, reach: int, placed: bool = False, more: int = 0) -> Iterator[Elements]:
     """Single shingles as elements, frequent ones last: the first ``base`` + ``reach`` (or ``more``) of each list, and whole sets that are too small."""
     base = size - -(-size * sim.num // sim.den)
-    rank = mix(x) >> _U(1) | is_in(x ^ tags[o], hot.some).astype(_U) << _U(63)
+    rank = mix(x) >> _U(8) | hot.of(x ^ tags[o]).astype(_U) << _U(56)
     small = size[o] < sim.depth
     meta = _U(1) << _U(SIZE_AT - 1) | np.minimum(size[o], MOST_SIZE).astype(_U) << _U(SIZE_AT)
     take = ~small & first_of(o, rank, base + max(reach, more))

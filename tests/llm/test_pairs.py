@@ -181,3 +181,25 @@ def test_folding(texts):
     s, o = shingles(w, rec, 2)
     assert [int((o == i).sum()) for i in range(len(texts))] == [len(sets(t, 2)) for t in texts]
     assert np.all(np.diff(o) >= 0)
+
+
+@given(st.lists(st.integers(0, 2000)))
+def test_steps_come_back(cells):
+    cells = np.sort(np.array(cells, np.int64))
+    assert near.unpack_steps(near.pack_steps(cells)).tolist() == cells.tolist()
+
+
+def test_shingles_are_counted_on_all_records(spark):
+    """More records than the sample of 50,000 that counts once came from; 1,000 of them share a phrase, 100 another."""
+    n = 60_000
+    own = [F.concat(F.lit(f"w{i}x"), "id") for i in range(7)]
+    shared = F.when(F.col("id") < 1000, "one two three").when(F.col("id") >= n - 100, "four five six").otherwise(F.concat(F.lit("a"), "id", F.lit(" b"), "id", F.lit(" c"), "id"))
+    texts = spark.range(n).select(F.lit("cs").alias("src"), F.col("id").alias("key"), F.concat_ws(" ", *own, shared).alias("text"))
+    hot = near.frequent_shingles(texts, near.Similarity(7, 10, 3))
+    w, rec, _, _ = Folder().word_hashes(["one two three", "four five six", "w0x7 w1x7 w2x7"])
+    s, owner = shingles(w, rec, 3)
+    at = hot.of(s ^ near._tag("cs"))
+    assert hot.records == n and owner.tolist() == [0, 1, 2]
+    # a cell has a count of its own and that of a few others
+    assert all(near._scaled(np.array(c)) <= a <= near._scaled(np.array(c + 12)) for a, c in zip(at, (1000, 100, 1), strict=True))
+    assert at[0] >= hot.many > at[2]
