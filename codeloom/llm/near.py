@@ -560,6 +560,42 @@ def record_sets(texts: DataFrame, sim: Similarity, only: DataFrame) -> DataFrame
     return texts.select("src", "key", "text").mapInArrow(run, "src string, key long, h long, shingles binary").join(only, "h").select("src", "key", "h", "shingles")
 
 
+#: Longs of a record's sketch.
+SKETCH = 4
+
+
+def sketches(texts: DataFrame, sim: Similarity, only: DataFrame) -> DataFrame:
+    """``h, size, s0, s1, ...`` of each record whose ``h`` is in ``only``: every shingle turns one bit of the sketch over, so sets that differ in d places have sketches that differ in d bits at most."""
+    bits = texts.sparkSession.sparkContext.broadcast(membership(only))
+    names = ["h", "size", *[f"s{i}" for i in range(SKETCH)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, h, s, owner, new in once_a_task(text_batches(batches, sim.words, lambda h: known(bits.value, h))):
+            n, wide = len(h), 64 * SKETCH
+            turned = np.bincount(owner * wide + (s % _U(wide)).astype(np.int64), minlength=n * wide).reshape(n, wide) & 1
+            sketch = np.packbits(turned.astype(np.uint8), axis=1).view(np.int64)[new]
+            yield pa.record_batch([pa.array(x) for x in (h[new].view(np.int64), np.bincount(owner, minlength=n)[new], *np.ascontiguousarray(sketch.T))], names)
+
+    return texts.select("src", "key", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()
+
+
+def fitting(pairs: DataFrame, sketched: DataFrame, sim: Similarity) -> DataFrame:
+    """``a, b`` of ``pairs`` whose sketches don't differ in more bits than the sets may: all that are similar, and few others."""
+    names = sketched.columns[1:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, *c = (np.asarray(batch.column(i)) for i in range(2 + 2 * len(names)))
+            (n, *x), (m, *y) = c[: len(names)], c[len(names) :]
+            apart = sum(np.bitwise_count((p ^ q).view(_U)).astype(np.int64) for p, q in zip(x, y, strict=True))
+            keep = np.flatnonzero(apart <= sim.tau(n, m))
+            yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    x, y = (sketched.select(F.col("h").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in names]) for side in "ab")
+    both = pairs.join(x, "a").join(y, "b")
+    return both.select("a", "b", *[f"{side}_{c}" for side in "ab" for c in names]).mapInArrow(run, "a long, b long")
+
+
 def sequences(texts: DataFrame) -> DataFrame:
     """``src, key, h``: the hash of the word sequence of each record with enough words."""
 
@@ -606,7 +642,10 @@ def near_classes(texts: DataFrame, sim: Similarity, most: int = MEET) -> Near:
     once; an empty table gives no pairs. Word sequences stand for all their copies, so a group of copies costs one row.
     """
     texts = texts.select("src", "key", "text")
-    found = cut(candidates(texts, sim, most))
+    tried = cut(candidates(texts, sim, most))
+    of = cut(tried.select(F.explode(F.array("a", "b")).alias("h")).distinct())
+    # whole sets go with pairs only where the sketches leave it open
+    found = cut(fitting(tried, sketches(texts, sim, of).join(of, "h", "left_semi"), sim))
     needed = cut(found.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     records = cut(record_sets(texts, sim, needed).groupBy("src", "key", "h").agg(F.min("shingles").alias("shingles")))
     sets = records.where("shingles is not null").groupBy("h").agg(F.min("shingles").alias("shingles"))

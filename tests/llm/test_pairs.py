@@ -203,3 +203,22 @@ def test_shingles_are_counted_on_all_records(spark):
     # a cell has a count of its own and that of a few others
     assert all(near._scaled(np.array(c)) <= a <= near._scaled(np.array(c + 12)) for a, c in zip(at, (1000, 100, 1), strict=True))
     assert at[0] >= hot.many > at[2]
+
+
+def test_sketches_leave_similar_pairs_only(spark):
+    """Sets that can't be similar are told apart before whole sets travel with pairs; none that are similar is lost."""
+    rows, sim = made(3, 25), near.Similarity(7, 10, 3)
+    r = random.Random(4)
+    rows += [("cs", 10_000 + i, " ".join(f"v{r.randrange(5000)}" for _ in range(150))) for i in range(30)]
+    texts = spark.createDataFrame(rows, SCHEMA)
+    by = near.sequences(texts).select("src", "key", "h").distinct()
+    pairs = by.join(by.select("src", F.col("key").alias("k"), F.col("h").alias("b")), "src").where("h < b")
+    sk = near.sketches(texts, sim, by.select("h").distinct())
+    left = near.fitting(pairs.select(F.col("h").alias("a"), "b").distinct(), sk, sim)
+    key = {(x.src, x.h): x.key for x in by.collect()}
+    kept = {(x.a, x.b) for x in left.collect()}
+    of = {(x.src, x.key): x.h for x in by.collect()}
+    wanted = brute(rows, 7, 10, 3)
+    assert wanted and {tuple(sorted((of[s, a], of[s, b]))) for s, a, b in wanted} <= kept
+    random_ones = {h for (_, h), k in key.items() if k >= 10_000}
+    assert len(random_ones) == 30 and not any(a in random_ones or b in random_ones for a, b in kept)
