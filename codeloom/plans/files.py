@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import pairing, profile
 from codeloom.plans.registry import query
-from codeloom.session import scratch
+from codeloom.session import cut, scratch
 from codeloom.sources import readers, writers
 from codeloom.sources.tables import table
 
@@ -170,22 +170,23 @@ def task_examples(spark: SparkSession, d: str) -> DataFrame:
     from codeloom.functions.text import squeeze
 
     root = scratch(spark)
-    f = table(spark, d, "functions_raw").where("func is not null").select("pos", squeeze(F.col("func")).alias("s"), "target").where("length(s) > 0")
-    c = table(spark, d, "cs").groupBy("idx").agg(F.any_value(F.coalesce("docstring_tokens", F.array().cast("array<string>"))).alias("t"), F.any_value(F.coalesce("code", F.lit(""))).alias("c"))
+    # squeezed once; the files are compressed, as the tasks hold each text nine times
+    f = cut(table(spark, d, "functions_raw").where("func is not null").select("pos", squeeze(F.col("func")).alias("s"), "target").where("length(s) > 0"))
+    c = cut(table(spark, d, "cs").groupBy("idx").agg(F.any_value(F.coalesce("docstring_tokens", F.array().cast("array<string>"))).alias("t"), F.any_value(F.coalesce("code", F.lit(""))).alias("c")))
     t = F.filter("t", lambda x: x.isNotNull())
     names = {"lang": "c", "size": "small"}
     path = lambda task, i=0: readers.file_names(f"{root}/{task}", task, "train", **names)[i]
-    writers.jsonl(f.select(F.col("pos").alias("idx"), F.col("s").alias("func"), "target"), path("defect"))
-    # parallel files are read whole, each by one task; a shard of a few thousand lines is one file
+    lines = lambda df, to: writers.jsonl(df, to, compression="gzip")
+    lines(f.select(F.col("pos").alias("idx"), F.col("s").alias("func"), "target"), path("defect"))
+    # both sides are scans of one table, so their files have its rows in one order
     for task, other in (("refine", F.concat("s", F.lit(" ;"))), ("translate", F.col("s"))):
-        ordered = f.orderBy("pos").coalesce(1)
-        ordered.select(F.col("s").alias("value")).write.text(path(task, 0))
-        ordered.select(other.alias("value")).write.text(path(task, 1))
-    writers.jsonl(f.select(F.col("s").alias("nl"), F.col("s").alias("code")), path("concode"))
-    writers.jsonl(f.select(F.col("pos").cast("string").alias("idx"), F.col("s").alias("func")), f"{root}/clone/data.jsonl")
-    f.select(F.concat_ws(" ", F.col("pos"), F.col("pos") + 1, F.coalesce("target", F.lit(0))).alias("value")).write.text(path("clone"))
-    writers.jsonl(c.select(t.alias("docstring_tokens"), F.col("c").alias("code")), path("search"))
-    writers.jsonl(c.select(F.array("c").alias("code_tokens"), t.alias("docstring_tokens")), path("summarize"))
+        for i, side in enumerate((F.col("s"), other)):
+            f.select(side.alias("value")).write.option("compression", "gzip").text(path(task, i))
+    lines(f.select(F.col("s").alias("nl"), F.col("s").alias("code")), path("concode"))
+    lines(f.select(F.col("pos").cast("string").alias("idx"), F.col("s").alias("func")), f"{root}/clone/data.jsonl")
+    f.select(F.concat_ws(" ", F.col("pos"), F.col("pos") + 1, F.coalesce("target", F.lit(0))).alias("value")).write.option("compression", "gzip").text(path("clone"))
+    lines(c.select(t.alias("docstring_tokens"), F.col("c").alias("code")), path("search"))
+    lines(c.select(F.array("c").alias("code_tokens"), t.alias("docstring_tokens")), path("summarize"))
     out = None
     for task in readers.FILES:
         rows = readers.read_examples(spark, f"{root}/{task}", task, "train", **names)

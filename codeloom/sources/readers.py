@@ -24,15 +24,21 @@ def jsonl_lenient(spark: SparkSession, path: str, schema: str) -> tuple[DataFram
     return parsed.where(F.col(f"j.{BAD}").isNull()).select("j.*").drop(BAD), parsed.where(F.col(f"j.{BAD}").isNotNull()).select("value")
 
 
-def numbered(spark: SparkSession, path: str, **options) -> DataFrame:
-    """``file, line, value`` of text files, lines numbered from 0 within each file.
+def numbered(spark: SparkSession, path: str, whole: bool = False, **options) -> DataFrame:
+    """``file, line, value`` of text files, lines numbered from 0 within each file or, with ``whole``, over all files in the order of their names.
 
-    Lines are numbered in the file's own order: each file is read whole by one task, so this is for index and parallel
-    files; large shards need no line numbers.
+    Lines end in a line feed, with or without a carriage return. They are numbered within the blocks in which files are
+    scanned, and blocks by sums of their counts, so no file's lines come together in one task.
     """
-    whole = spark.read.options(**options).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
-    lines = whole.select("file", F.posexplode(F.split(F.regexp_replace("text", r"\r?\n$", ""), r"\r?\n")).alias("line", "value"))
-    return lines
+    from pyspark.sql import Window
+
+    lines = spark.read.options(**options).option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", r"\r\z", "").alias("value"))
+    counts = lines.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    order = (Window if whole else Window.partitionBy("_path")).orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_b", F.coalesce(F.sum("_n").over(order), F.lit(0)))  # a row a block
+    joined = lines.join(F.broadcast(before.drop("_n")), ["_path", "_block"])
+    return joined.select("file", (F.col("_b") + F.col("_at") - F.col("_first")).alias("line"), "value")
 
 
 def gz_shards(spark: SparkSession, folders: dict[str, str], schema: str, key: str) -> DataFrame:
@@ -124,10 +130,10 @@ def int_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parallel(spark: SparkSession, a: str, b: str, names: tuple[str, str]) -> DataFrame:
-    """Two files of equal length side by side; raises if they differ; rows with a blank side are left out."""
+    """Two files, or folders of files in the order of their names, of equal length side by side; raises if they differ; rows with a blank side are left out."""
     from codeloom.operators.lookup import zip_lines
 
-    one, two = (numbered(spark, p).select("line", F.col("value").alias(n)) for p, n in zip((a, b), names, strict=True))
+    one, two = (numbered(spark, p, whole=True).select("line", F.col("value").alias(n)) for p, n in zip((a, b), names, strict=True))
     both = zip_lines(one, two, "line")
     return both.where((F.trim(names[0]) != "") & (F.trim(names[1]) != ""))
 

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
+def jsonl(df: DataFrame, path: str, mode: str = "error", compression: str = "none") -> None:
     """JSON lines in UTF-8 (K1, K2)."""
-    df.write.mode(mode).json(path)
+    df.write.mode(mode).option("compression", compression).json(path)
 
 
 def parquet(df: DataFrame, path: str, mode: str = "error") -> bool:

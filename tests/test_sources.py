@@ -100,3 +100,22 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     want = {(r.start, r.event_type): r.n for r in events.by_window(df, "1 hour").collect()}
     assert {(r.start, r.event_type): r.n for r in spark.table("w").collect()} == want
+
+
+def test_lines_are_numbered_without_a_task_that_holds_a_file(spark, tmp_path):
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    lines = [f"{i} \u00e9{'x' * (i % 13)}" if i % 17 else "" for i in range(500)]
+    for part in range(2):  # a folder of two files goes on where the first ends
+        (tmp_path / f"part-0000{part}").write_text("".join(x + ("\r\n" if i % 3 else "\n") for i, x in enumerate(lines[part * 300 :][: 300 - part * 100])), newline="")
+    (tmp_path / "part-00002").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = readers.numbered(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+        whole = readers.numbered(spark, str(tmp_path), whole=True).collect()
+        pairs = readers.parallel(spark, str(tmp_path), str(tmp_path), ("a", "b")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    assert len({r.task for r in got if r.file == "part-00000"}) > 3
+    assert sorted((r.file, r.line, r.value) for r in got) == [(f"part-0000{i // 300}", i % 300, x) for i, x in enumerate(lines)]
+    assert sorted((r.line, r.value) for r in whole) == list(enumerate(lines))
+    assert sorted((r.a, r.b) for r in pairs) == sorted((x, x) for x in lines if x)
