@@ -166,3 +166,27 @@ def test_names_and_comparisons_in_other_languages():
 def test_javascript_patterns_keep_comment_marks():
     code = "s = s.replace(/\\/\\//g, 'x') // gone\nt = a / b /* gone */ / c\nreturn /[/*]/.test(u)\n"
     assert comments.strip_comments(code, "javascript") == "s = s.replace(/\\/\\//g, 'x')\nt = a / b   / c\nreturn /[/*]/.test(u)"
+
+
+def test_a_code_is_read_once_for_all_styles(monkeypatch):
+    """All outcomes of a function share what is read of it and of each of its rewrites; deep code has outcomes too."""
+    from collections import Counter
+
+    from codeloom.functions import udfs
+    from codeloom.functions.styles import source
+
+    class Counted:
+        seen = Counter()
+
+        def finditer(self, code):
+            self.seen[code] += 1
+            return pattern.finditer(code)
+
+    pattern = source._TOKEN
+    monkeypatch.setattr(source, "_TOKEN", Counted())
+    code = "int read_once_7(int aa, int bb) {\n  int cc = 0;\n  for (int i = 0; i < aa; i++) {\n    if (aa >= bb) cc += bb;\n    else cc = cc - 1;\n  }\n  while (cc > 9) { cc--; }\n  return cc;\n}\n"
+    out = udfs._outcomes(code, "c")
+    assert sum(o["ok"] for o in out) > 10 and not any(o["broken"] for o in out if o["style"] == "0.1")
+    assert Counted.seen[code] == 1 and max(Counted.seen.values()) == 1
+    long = code + "/*" + "x" * source.KEPT_CODE + "*/"  # one too long to be kept is read again, with the same outcome
+    assert [o["ok"] for o in udfs._outcomes(long, "c")] == [o["ok"] for o in out]
