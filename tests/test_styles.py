@@ -190,3 +190,10 @@ def test_a_code_is_read_once_for_all_styles(monkeypatch):
     assert Counted.seen[code] == 1 and max(Counted.seen.values()) == 1
     long = code + "/*" + "x" * source.KEPT_CODE + "*/"  # one too long to be kept is read again, with the same outcome
     assert [o["ok"] for o in udfs._outcomes(long, "c")] == [o["ok"] for o in out]
+
+
+def test_closing_needs_no_tokens():
+    from codeloom.functions.styles.source import closes
+
+    assert closes("f(a[1]) { s = \"}\"; /* ( */ c = '{'; } // )")
+    assert not any(closes(x) for x in ("f(", "f)", "(]", "a = \"x", "({)}"))
